@@ -23,7 +23,8 @@ SLOT_MS = 400
 def explode_schedule(responses: DataFrame) -> DataFrame:
     """One row per scheduled slot from responses of (first_slot, leader -> offsets)."""
     return (responses.select("first_slot", F.explode("leaders").alias("leader", "offsets"))
-            .select((F.col("first_slot") + F.explode("offsets")).alias("slot"), "leader"))
+            .select("first_slot", "leader", F.explode("offsets").alias("offset"))
+            .select((F.col("first_slot") + F.col("offset")).alias("slot"), "leader"))
 
 
 def union_epochs(*schedules: DataFrame) -> DataFrame:
