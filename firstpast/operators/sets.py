@@ -38,18 +38,19 @@ def acceptance(merkle_ok: str = "merkle_ok", sig_ok: str = "sig_ok") -> Column:
     return F.when(failed, "bad").when(F.col(sig_ok).isNull(), "unverifiable").otherwise("ok")
 
 
-def dedup_payload(shreds: DataFrame) -> DataFrame:
+def dedup_payload(shreds: DataFrame, *also: Column) -> DataFrame:
     """One row per distinct payload of a (provider, set): its first arrival and copies.
 
     A byte-identical copy is a duplicate before any validity check and never moves
-    a timestamp. Arrival ties are settled by content, so reruns agree.
+    a timestamp. Arrival ties are settled by content, so reruns agree. ``also``
+    adds grouping columns (a stream's event-time window).
     """
     if "leader" not in shreds.columns:
         shreds = shreds.withColumn("leader", F.lit(None).cast("string"))
     keys = [*PROVIDER_SET, "payload_hash"]
     content = [c for c in (*_CONTENT, "structural") if c in shreds.columns]
     first = F.min(F.struct("rx_ns", *content)).alias("first")
-    return (shreds.groupBy(*keys).agg(first, F.count("*").alias("copies"))
+    return (shreds.groupBy(*also, *keys).agg(first, F.count("*").alias("copies"))
             .select(*keys, "copies", "first.*"))
 
 
@@ -156,7 +157,11 @@ def fold_positions(per_position: DataFrame) -> DataFrame:
 
 def set_rows(shreds: DataFrame) -> DataFrame:
     """The 19-column result row per (provider, slot, set)."""
-    distinct = judged(shreds)
+    return rows_of_distinct(judged(shreds))
+
+
+def rows_of_distinct(distinct: DataFrame) -> DataFrame:
+    """Result rows from distinct payloads with their verdict."""
     split = invalid_split(distinct).drop("invalid")
     rows = fold_positions(_per_position(distinct)).join(split, list(PROVIDER_SET), "left")
 

@@ -26,37 +26,48 @@ def first_seen(events: DataFrame) -> DataFrame:
 def raced_signatures(events: DataFrame) -> DataFrame:
     """First sightings with the earliest time, the number of sources and ``behind`` ns.
 
-    ``behind`` is set only for contested signatures (two or more sources).
+    ``behind`` is set only for contested signatures (two or more sources). ``lead``
+    marks one row per signature.
     """
     raced = race_min(first_seen(events), "ns", ["signature"])
-    return raced.withColumn("behind", F.when(F.col("contestants") >= 2, F.col("ns") - F.col("win_ns")))
+    lead = F.row_number().over(Window.partitionBy("signature").orderBy("source")) == 1
+    return (raced.withColumn("behind", F.when(F.col("contestants") >= 2, F.col("ns") - F.col("win_ns")))
+            .withColumn("lead", lead))
 
 
 def txn_race(events: DataFrame) -> DataFrame:
     """Per source: seen, contested, wins and mean time behind; plus the run's totals."""
-    lead = F.row_number().over(Window.partitionBy("signature").orderBy("source")) == 1
-    per_source = (raced_signatures(events).withColumn("lead", lead).groupBy("source").agg(
+    return totals_of(raced_signatures(events))
+
+
+def totals_of(raced: DataFrame) -> DataFrame:
+    """Race totals per source from scored sightings."""
+    per_source = raced.groupBy("source").agg(
         F.count("*").alias("seen"), F.count("behind").alias("contested"),
         F.count_if(F.col("behind") == 0).alias("wins"),
         F.sum(F.col("behind").cast("decimal(20,0)")).alias("behind"),
         F.count_if("lead").alias("led"),
-        F.count_if(F.col("lead") & F.col("behind").isNotNull()).alias("contested_led")))
+        F.count_if(F.col("lead") & F.col("behind").isNotNull()).alias("contested_led"))
     # One row per source is left, so the totals are summed over a handful of rows.
     everyone = Window.partitionBy(F.lit(0))
-    raced = F.col("contested") > 0
+    contested = F.col("contested") > 0
     return (per_source
             .withColumn("distinct_signatures", F.sum("led").over(everyone))
             .withColumn("contested_signatures", F.sum("contested_led").over(everyone))
             .select("source", "seen", "contested", "wins",
-                    F.when(raced, F.col("wins").cast("double") / F.col("contested")).alias("winrate"),
-                    F.when(raced, F.col("behind").cast("double") / F.col("contested") / F.lit(1e3))
+                    F.when(contested, F.col("wins").cast("double") / F.col("contested")).alias("winrate"),
+                    F.when(contested, F.col("behind").cast("double") / F.col("contested") / F.lit(1e3))
                     .alias("behind_mean_us"),
                     "distinct_signatures", "contested_signatures"))
 
 
 def txn_percentiles(events: DataFrame) -> DataFrame:
     """Nearest-rank percentiles of time behind, over every contested sighting."""
-    ranks = nearest_rank(raced_signatures(events), ["source"], "behind", BEHIND_QUANTILES)
+    return percentiles_of(raced_signatures(events))
+
+
+def percentiles_of(raced: DataFrame) -> DataFrame:
+    ranks = nearest_rank(raced, ["source"], "behind", BEHIND_QUANTILES)
     return ranks.select("source", *[micros(name).alias(f"{name}_us") for name in BEHIND_QUANTILES])
 
 
@@ -108,11 +119,12 @@ def landing_distance(triggers: DataFrame, landed: DataFrame,
                     (F.col("landed_slot") - F.col("trigger_slot")).alias("distance")))
 
 
-def throttle(df: DataFrame, key: str, time: str, gap: int, start: int = 0, block: int | None = None) -> DataFrame:
+def throttle(df: DataFrame, key: str, time: str, gap: int, start: int = 0,
+             last: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """Keep a row only if at least ``gap`` passed since the last kept row of its key.
 
-    The clock of every key starts at ``start``, so rows before ``start + gap`` are
-    dropped; a dropped row is lost, not postponed. Returns the kept (key, time).
+    The clock of a key starts at its time in ``last`` (key, last_at), else at
+    ``start``; a dropped row is lost, not postponed. Returns the kept (key, time).
 
     Which rows are kept depends on the last one kept before, so time is cut into
     blocks and each block is scanned once, in parallel, for every state it could
@@ -122,35 +134,40 @@ def throttle(df: DataFrame, key: str, time: str, gap: int, start: int = 0, block
     rows per block -- and each block replays its rows from its known entry state.
     """
     block = block or gap * 64
-    times = (df.filter(F.col(time).isNotNull()).select(key, F.col(time).cast("bigint").alias("at")).distinct()
-             .withColumn("block", F.floor((F.col("at") - F.lit(start)) / F.lit(float(block))).cast("bigint")))
+    times = df.filter(F.col(time).isNotNull()).select(key, F.col(time).cast("bigint").alias("at")).distinct()
+    clock = F.lit(start).cast("bigint")
+    if last is not None:
+        times = times.join(last.select(key, "last_at"), key, "left")
+        clock = F.coalesce("last_at", clock)
+    times = (times.filter(F.col("at") >= clock + gap)
+             .select(key, "at", F.floor((F.col("at") - F.lit(start)) / F.lit(float(block))).cast("bigint").alias("block")))
+    name_type = f"`{key}` {df.schema[key].dataType.simpleString()}"
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each possible first action of a block, the last action it leads to."""
         at = sorted(pdf["at"].tolist())
         opens = start + int(pdf["block"].iloc[0]) * block
-        last = _chain_ends(at, gap)
-        firsts = [i for i, t in enumerate(at) if i == 0 or at[i - 1] < opens + gap]
-        rows = {"first_at": [at[i] for i in firsts], "last_at": [last[i] for i in firsts]}
-        return pd.DataFrame({key: pdf[key].iloc[0], "block": pdf["block"].iloc[0], **rows})
+        ends = _chain_ends(at, gap)
+        firsts = [i for i in range(len(at)) if i == 0 or at[i - 1] < opens + gap]
+        return pd.DataFrame({key: pdf[key].iloc[0], "block": pdf["block"].iloc[0],
+                             "first_at": [at[i] for i in firsts], "last_at": [ends[i] for i in firsts]})
 
-    key_type = df.schema[key].dataType.simpleString()
-    moves = times.groupBy(key, "block").applyInPandas(
-        exits, f"`{key}` {key_type}, block bigint, first_at bigint, last_at bigint")
-    # Runs of first actions that end alike are one move.
-    compact = (moves.groupBy(key, "block", "last_at").agg(F.max("first_at").alias("upto")))
+    # First actions that end alike are one move.
+    moves = (times.groupBy(key, "block")
+             .applyInPandas(exits, f"{name_type}, block bigint, first_at bigint, last_at bigint")
+             .groupBy(key, "block", "last_at").agg(F.max("first_at").alias("upto")))
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         """Chain the blocks of a key: when each block may first act."""
-        allowed, out = start + gap, []
-        for number, moves_of in pdf.sort_values(["block", "upto"]).groupby("block", sort=True):
+        allowed, out = start, []
+        for number, choices in pdf.sort_values(["block", "upto"]).groupby("block", sort=True):
             out.append((pdf[key].iloc[0], number, allowed))
-            reachable = moves_of[moves_of["upto"] >= allowed]
+            reachable = choices[choices["upto"] >= allowed]
             if len(reachable):
                 allowed = int(reachable["last_at"].iloc[0]) + gap
         return pd.DataFrame(out, columns=[key, "block", "allowed"])
 
-    opened = compact.groupBy(key).applyInPandas(entries, f"`{key}` {key_type}, block bigint, allowed bigint")
+    opened = moves.groupBy(key).applyInPandas(entries, f"{name_type}, block bigint, allowed bigint")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         allowed, kept = int(pdf["allowed"].iloc[0]), []
@@ -161,7 +178,7 @@ def throttle(df: DataFrame, key: str, time: str, gap: int, start: int = 0, block
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), time: kept})
 
     return (times.join(opened, [key, "block"]).groupBy(key, "block")
-            .applyInPandas(replay, f"`{key}` {key_type}, `{time}` bigint"))
+            .applyInPandas(replay, f"{name_type}, `{time}` bigint"))
 
 
 def _chain_ends(at: list[int], gap: int) -> list[int]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from firstpast.functions import binary, numeric, text
 from firstpast.operators import dims, h2h, packets, quality, race, ranges, sets, stats, txns
@@ -15,6 +16,7 @@ from firstpast.plans import checks, reports
 from firstpast.plans.views import spark_view
 from firstpast.session import configure, working_path
 from firstpast.sources import readers, writers
+from firstpast.streaming import eager, sinks, slots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -627,3 +629,85 @@ def manifest(spark, sf_dir):
         *[number(f"$.{c}", c) for c in ("rows_fec_sets", "min_slot", "max_slot")],
         *[number(f"$.counters.{c}", c) for c in ("invalid_sig", "invalid_data", "invalid_unknown")],
         F.json_array_length(F.get_json_object("manifest", "$.notes")).alias("notes"))
+
+
+# -- streams -------------------------------------------------------------------
+
+def _in_parts(df: DataFrame, name: str, wait: int, run: Callable[[DataFrame], StreamingQuery],
+              parts: int = 3) -> None:
+    """Land a table for a stream in slot order and let the stream catch up after every part.
+
+    Each part is written by many tasks and only the order of the parts matters. The
+    last part also holds one row far ahead, which closes every slot. The stream is
+    stopped and resumed from its checkpoint between parts.
+    """
+    spark = df.sparkSession
+    path = working_path(spark, name)
+    top = df.agg(F.max("slot")).first()[0]
+    step = top // parts + 1
+    blank = [F.lit(top + wait + 1).alias(c) if c == "slot" else F.lit(None).cast(df.schema[c].dataType).alias(c)
+             for c in df.columns]
+    for part in range(parts):
+        df.filter(F.col("slot").between(part * step, (part + 1) * step - 1)).write.mode("append").parquet(path)
+        if part == parts - 1:
+            spark.range(1).select(*blank).write.mode("append").parquet(path)
+        stream_query = run(sinks.read_landed(spark, path, df.schema))
+        stream_query.awaitTermination()
+        if stream_query.exception() is not None:
+            raise stream_query.exception()
+
+
+@query
+def stream_set_rows(spark, sf_dir):
+    """Set rows of a packet stream, closed by the slot watermark."""
+    shreds = _shreds(spark, sf_dir).withColumn("leader", F.lit(None).cast("string"))
+    out, state = working_path(spark, "set-rows"), working_path(spark, "state")
+    _in_parts(shreds, "packets", slots.WAIT_SLOTS, lambda s: slots.set_rows_stream(s, out, state))
+    rows = spark.read.parquet(out).drop("batch", "leader")
+    return rows.join(spark_view(spark, sf_dir, "schedule"), "slot", "left")
+
+
+@query
+def stream_scoreboard(spark, sf_dir):
+    """The contested scoreboard over the set rows a stream has written."""
+    return sets.contested_scoreboard(stream_set_rows(spark, sf_dir))
+
+
+@query
+def stream_txn_race(spark, sf_dir):
+    """Transaction race over a stream of sightings, retired by the slot watermark."""
+    out, state = working_path(spark, "raced"), working_path(spark, "state")
+    _in_parts(spark_view(spark, sf_dir, "txn_events"), "sightings", slots.RETIRE_SLOTS,
+              lambda s: slots.txn_race_stream(s, out, state))
+    return txns.totals_of(spark.read.parquet(out))
+
+
+@query
+def stream_eager_ranges(spark, sf_dir):
+    """Completed ranges of a packet stream, each emitted once by the batch that fills it."""
+    out, state, store = (working_path(spark, n) for n in ("ranges", "state", "indices"))
+    emit = eager.eager_ranges(store, out)
+    _in_parts(spark_view(spark, sf_dir, "range_shreds"), "range-packets", 0,
+              lambda s: sinks.start(s.filter("provider IS NOT NULL"), emit, state))
+    return spark.read.parquet(out).drop("batch")
+
+
+@query
+def stream_throttle(spark, sf_dir):
+    """Throttled triggers of a stream, the last action of each source carried across batches."""
+    out, state = working_path(spark, "actions"), working_path(spark, "state")
+    act = eager.throttled(out, "source", "ns", 600_000_000_000, 1_704_067_200_000_000_000)
+    _in_parts(spark_view(spark, sf_dir, "txn_events"), "triggers", 0,
+              lambda s: sinks.start(s.filter("source IS NOT NULL"), act, state))
+    return spark.read.parquet(out).drop("batch")
+
+
+@query
+def stream_leaders(spark, sf_dir):
+    """Packets per leader, from a stream enriched with a schedule re-read every batch."""
+    out, state, schedule = (working_path(spark, n) for n in ("enriched", "state", "schedule"))
+    spark_view(spark, sf_dir, "schedule").write.parquet(schedule)
+    attach = eager.enriched(out, schedule)
+    _in_parts(_shreds(spark, sf_dir).select("provider", "slot"), "packets", 0,
+              lambda s: sinks.start(s.filter("provider IS NOT NULL"), attach, state))
+    return spark.read.parquet(out).groupBy("provider", "leader").agg(F.count("*").alias("packets"))

@@ -561,3 +561,13 @@ CHECKS["manifest"] = _SETS + """
 SELECT count(*) AS rows_fec_sets, min(slot) AS min_slot, max(slot) AS max_slot,
        CAST(sum(invalid_sig) AS BIGINT) AS invalid_sig, CAST(sum(invalid_data) AS BIGINT) AS invalid_data,
        CAST(sum(invalid_unknown) AS BIGINT) AS invalid_unknown, 3 AS notes FROM rows_"""
+
+# -- streams, after they have drained ---------------------------------------------
+
+CHECKS["stream_set_rows"] = CHECKS["set_rows"]
+CHECKS["stream_txn_race"] = CHECKS["txn_race"]
+CHECKS["stream_eager_ranges"] = CHECKS["completed_ranges"]
+CHECKS["stream_scoreboard"] = CHECKS["contested_scoreboard"]
+CHECKS["stream_throttle"] = CHECKS["throttled_triggers"]
+CHECKS["stream_leaders"] = check_ctes("shreds", "schedule") + """
+SELECT provider, leader, count(*) AS packets FROM shreds LEFT JOIN schedule USING (slot) GROUP BY ALL"""
