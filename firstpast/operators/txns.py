@@ -144,18 +144,20 @@ def throttle(df: DataFrame, key: str, time: str, gap: int, start: int = 0,
     name_type = f"`{key}` {df.schema[key].dataType.simpleString()}"
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each possible first action of a block, the last action it leads to."""
+        """For each possible first action of a block, the last action it leads to.
+
+        Neighbouring first actions that end alike are one row, named by the latest.
+        """
         at = sorted(pdf["at"].tolist())
         opens = start + int(pdf["block"].iloc[0]) * block
         ends = _chain_ends(at, gap)
         firsts = [i for i in range(len(at)) if i == 0 or at[i - 1] < opens + gap]
+        runs = [i for i in firsts if i == firsts[-1] or ends[i + 1] != ends[i]]
         return pd.DataFrame({key: pdf[key].iloc[0], "block": pdf["block"].iloc[0],
-                             "first_at": [at[i] for i in firsts], "last_at": [ends[i] for i in firsts]})
+                             "upto": [at[i] for i in runs], "last_at": [ends[i] for i in runs]})
 
-    # First actions that end alike are one move.
-    moves = (times.groupBy(key, "block")
-             .applyInPandas(exits, f"{name_type}, block bigint, first_at bigint, last_at bigint")
-             .groupBy(key, "block", "last_at").agg(F.max("first_at").alias("upto")))
+    moves = times.groupBy(key, "block").applyInPandas(
+        exits, f"{name_type}, block bigint, upto bigint, last_at bigint")
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         """Chain the blocks of a key: when each block may first act."""
@@ -170,12 +172,13 @@ def throttle(df: DataFrame, key: str, time: str, gap: int, start: int = 0,
     opened = moves.groupBy(key).applyInPandas(entries, f"{name_type}, block bigint, allowed bigint")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
         allowed, kept = int(pdf["allowed"].iloc[0]), []
-        for t in sorted(pdf["at"].tolist()):
-            if t >= allowed:
-                kept.append(t)
+        for t in pdf["at"].tolist():
+            kept.append(t >= allowed)
+            if kept[-1]:
                 allowed = t + gap
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), time: kept})
+        return pdf.loc[kept, [key, "at"]].rename(columns={"at": time})
 
     return (times.join(opened, [key, "block"]).groupBy(key, "block")
             .applyInPandas(replay, f"{name_type}, `{time}` bigint"))
