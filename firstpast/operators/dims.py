@@ -59,12 +59,20 @@ def with_leader(df: DataFrame, schedule: DataFrame, brands: DataFrame) -> DataFr
 
 def slot_totals(ranked: DataFrame, schedule: DataFrame, brands: DataFrame,
                 time: str = "delta_ns") -> DataFrame:
-    """(hub, slot, source) totals of a ranked table, with the slot's leader and brand."""
+    """(hub, slot, source) totals of a ranked table, with the slot's leader and brand.
+
+    The leader is joined to one row per (hub, slot); its few source totals travel
+    along as an array. ``lead`` marks one row per (hub, slot).
+    """
     totals = (ranked.groupBy("hub", "slot", "source")
               .agg(F.count("*").alias("samples"),
                    F.count_if(F.col("rank") == 0).alias("wins"),
                    exact_sum(time).alias("sum_d")))
-    return with_leader(totals, schedule, brands)
+    slots = (totals.groupBy("hub", "slot")
+             .agg(F.collect_list(F.struct("source", "samples", "wins", "sum_d")).alias("sources")))
+    return (with_leader(slots, schedule, brands)
+            .select("hub", "slot", "leader", "leader_provider", F.posexplode("sources").alias("nth", "s"))
+            .select("hub", "slot", "leader", "leader_provider", "s.*", (F.col("nth") == 0).alias("lead")))
 
 
 def unknown_leader_slots(totals: DataFrame) -> DataFrame:

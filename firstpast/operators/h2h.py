@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firstpast.functions.numeric import percent
@@ -29,31 +29,41 @@ def head_to_head(ranked: DataFrame, key: Sequence[str] = HUB_RACE) -> DataFrame:
 
     Pairs in which a never led are absent.
     """
-    led = (finishing_orders(ranked, key)
-           .select("hub", "races", "finish", F.posexplode("finish").alias("i", "source_a"))
-           .select("hub", "races", "source_a",
-                   F.explode(F.expr("slice(finish, i + 2, size(finish))")).alias("source_b"))
-           .groupBy("hub", "source_a", "source_b").agg(F.sum("races").alias("a_first_count")))
-    back = led.select("hub", F.col("source_a").alias("source_b"), F.col("source_b").alias("source_a"),
-                      F.col("a_first_count").alias("b_first_count"))
-    both = F.col("a_first_count") + F.coalesce("b_first_count", F.lit(0))
-    return (led.join(back, ["hub", "source_a", "source_b"], "left")
-            .select("hub", "source_a", "source_b", both.alias("both_present"), "a_first_count",
-                    percent(F.col("a_first_count"), both).alias("a_first_pct")))
+    return (_pairs(ranked, key)
+            .select("hub", F.explode(F.array(_side("a", "b"), _side("b", "a"))).alias("p"))
+            .select("hub", "p.*").filter(F.col("a_first_count") > 0)
+            .withColumn("a_first_pct", percent("a_first_count", "both_present")))
+
+
+def _pairs(ranked: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Unordered pairs (a < b) with the races either side led."""
+    ordered = F.col("first") < F.col("second")
+    return (finishing_orders(ranked, key)
+            .select("hub", "races", "finish", F.posexplode("finish").alias("i", "first"))
+            .select("hub", "races", "first",
+                    F.explode(F.expr("slice(finish, i + 2, size(finish))")).alias("second"))
+            .groupBy("hub", F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b"))
+            .agg(F.sum(F.when(ordered, F.col("races")).otherwise(0)).alias("led_by_a"),
+                 F.sum(F.when(ordered, 0).otherwise(F.col("races"))).alias("led_by_b")))
+
+
+def _side(one: str, other: str) -> Column:
+    return F.struct(F.col(one).alias("source_a"), F.col(other).alias("source_b"),
+                    (F.col("led_by_a") + F.col("led_by_b")).alias("both_present"),
+                    F.col(f"led_by_{one}").alias("a_first_count"))
 
 
 def h2h_matrix_long(h2h: DataFrame) -> DataFrame:
     """Both triangles of "row beats column %"; >= 60 is good, <= 40 bad."""
-    forward = h2h.select("hub", F.col("source_a").alias("row_source"),
-                         F.col("source_b").alias("col_source"),
-                         F.col("a_first_pct").alias("beats_pct"))
-    back = h2h.select("hub", F.col("source_b").alias("row_source"),
-                      F.col("source_a").alias("col_source"),
-                      percent(F.col("both_present") - F.col("a_first_count"),
-                              F.col("both_present")).alias("beats_pct"))
+    behind = F.col("both_present") - F.col("a_first_count")
+    cell = F.explode(F.array(
+        F.struct(F.col("source_a").alias("row_source"), F.col("source_b").alias("col_source"),
+                 F.col("a_first_pct").alias("beats_pct")),
+        F.struct(F.col("source_b").alias("row_source"), F.col("source_a").alias("col_source"),
+                 percent(behind, F.col("both_present")).alias("beats_pct"))))
     # A pair in which either side led at some time appears twice, with equal values.
-    cells = (forward.unionByName(back).groupBy("hub", "row_source", "col_source")
-             .agg(F.max("beats_pct").alias("beats_pct")))
+    cells = (h2h.select("hub", cell.alias("cell")).select("hub", "cell.*")
+             .groupBy("hub", "row_source", "col_source").agg(F.max("beats_pct").alias("beats_pct")))
     band = (F.when(F.col("beats_pct") >= 60, "good").when(F.col("beats_pct") <= 40, "bad")
             .otherwise("even"))
     return cells.withColumn("band", band)
@@ -61,9 +71,8 @@ def h2h_matrix_long(h2h: DataFrame) -> DataFrame:
 
 def h2h_matrix(matrix_long: DataFrame) -> DataFrame:
     """The matrix as a table: one row per source, best mean first, one column per opponent."""
-    score = F.avg("beats_pct").alias("mean_beats_pct")
-    wide = (matrix_long.groupBy("hub", "row_source")
-            .pivot("col_source").agg(F.round(F.first("beats_pct"), 1)))
-    scores = matrix_long.groupBy("hub", "row_source").agg(score)
-    return (wide.join(scores, ["hub", "row_source"])
+    mean = F.avg("beats_pct").over(Window.partitionBy("hub", "row_source"))
+    return (matrix_long.withColumn("mean_beats_pct", mean)
+            .groupBy("hub", "row_source", "mean_beats_pct")
+            .pivot("col_source").agg(F.round(F.first("beats_pct"), 1))
             .orderBy("hub", F.desc("mean_beats_pct"), "row_source"))

@@ -63,8 +63,12 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str,
     digit, keep the digit holding the rank, continue inside it. Each step is a
     map-side-combined count plus a join with one row per (group, quantile).
     """
-    # Equal values are counted once here; every later step reads these counts.
-    values = (df.filter(F.col(value).isNotNull())
+    # Equal values are counted once here; every later step reads these counts. Null
+    # groups are set aside first, else each join would filter its own copy of them.
+    known = F.col(value).isNotNull()
+    for col in by:
+        known = known & F.col(col).isNotNull()
+    values = (df.filter(known)
               .groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c")))
     ranks = F.array(*[
         F.struct(F.lit(name).alias("q"),

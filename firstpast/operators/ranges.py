@@ -21,34 +21,34 @@ def completed_ranges(shreds: DataFrame) -> DataFrame:
     ``ready_ns`` is the latest first arrival in the range. Rows after the last
     boundary belong to no range.
 
-    Each row takes the nearest boundary at or after it. That is looked up inside
-    blocks of indices and, for rows after their block's last boundary, over the
-    blocks, so a slot of any size is spread over many windows. A range is complete
-    when its rows are contiguous and the index before it is itself a boundary.
+    Each row takes the nearest boundary at or after it and the nearest before it.
+    They are looked up inside blocks of indices and, beyond a block's own
+    boundaries, over the blocks, so a slot of any size is spread over many windows.
     """
-    rows = (distinct_indices(shreds)
-            .withColumn("block", F.floor(F.col("shred_index") / F.lit(float(_BLOCK))).cast("bigint")))
     slot = ["provider", "slot"]
+    block = F.floor(F.col("shred_index") / F.lit(float(_BLOCK))).cast("bigint").alias("block")
     boundary = F.when(F.col("data_complete"), F.col("shred_index"))
-    later_blocks = Window.partitionBy(*slot).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    next_block_end = (rows.groupBy(*slot, "block").agg(F.min(boundary).alias("first_end"))
-                      .withColumn("later_end", F.min("first_end").over(later_blocks))
-                      .drop("first_end"))
-    at_or_after = (Window.partitionBy(*slot, "block").orderBy("shred_index")
-                   .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    labelled = (rows.withColumn("own_end", F.min(boundary).over(at_or_after))
-                .join(next_block_end, [*slot, "block"])
+    over_blocks = Window.partitionBy(*slot).orderBy("block")
+    # Straight from the packets: one row per block leaves a task.
+    around = (shreds.groupBy(*slot, block).agg(F.min(boundary).alias("first_end"), F.max(boundary).alias("last_end"))
+              .select(*slot, "block",
+                      F.min("first_end").over(over_blocks.rowsBetween(1, Window.unboundedFollowing)).alias("later_end"),
+                      F.max("last_end").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1))
+                      .alias("earlier_end")))
+    inside = Window.partitionBy(*slot, "block").orderBy("shred_index")
+    labelled = (distinct_indices(shreds).withColumn("block", block)
+                .withColumn("own_end", F.min(boundary).over(
+                    inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+                .withColumn("own_before", F.max(boundary).over(
+                    inside.rowsBetween(Window.unboundedPreceding, -1)))
+                .join(around, [*slot, "block"])
                 .withColumn("range_end", F.coalesce("own_end", "later_end"))
+                .withColumn("range_start", F.coalesce("own_before", "earlier_end", F.lit(-1)) + 1)
                 .filter(F.col("range_end").isNotNull()))
-    ranges = (labelled.groupBy(*slot, "range_end")
-              .agg(F.min("shred_index").alias("range_start"), F.count("*").alias("packets"),
-                   F.max("rx_ns").alias("ready_ns")))
-    ends = rows.filter("data_complete").select(*slot, F.col("shred_index").alias("before"))
-    filled = (ranges.filter(F.col("packets") == F.col("range_end") - F.col("range_start") + 1)
-              .withColumn("before", F.col("range_start") - 1))
-    opening = filled.filter(F.col("range_start") == 0)
-    following = filled.filter(F.col("range_start") > 0).join(ends, [*slot, "before"], "left_semi")
-    return (opening.unionByName(following)
+    return (labelled.groupBy(*slot, "range_end")
+            .agg(F.max("range_start").alias("range_start"), F.count("*").alias("packets"),
+                 F.max("rx_ns").alias("ready_ns"))
+            .filter(F.col("packets") == F.col("range_end") - F.col("range_start") + 1)
             .select(*slot, "range_start", "range_end", "packets", "ready_ns"))
 
 

@@ -29,7 +29,7 @@ DELAY_EDGES_NS = (
 
 PROVIDER_SET = ("provider", *SET_RACE)
 _CONTENT = ("is_code", "position", "shred_index", "num_data", "num_coding", "data_complete",
-            "last_in_slot", "merkle_ok", "sig_ok", "data_hash", "leader")
+            "last_in_slot", "merkle_ok", "sig_ok", "data_hash", "root", "version", "leader")
 
 
 def acceptance(merkle_ok: str = "merkle_ok", sig_ok: str = "sig_ok") -> Column:
@@ -38,20 +38,37 @@ def acceptance(merkle_ok: str = "merkle_ok", sig_ok: str = "sig_ok") -> Column:
     return F.when(failed, "bad").when(F.col(sig_ok).isNull(), "unverifiable").otherwise("ok")
 
 
-def dedup_payload(shreds: DataFrame, *also: Column) -> DataFrame:
+def dedup_payload(shreds: DataFrame, *also: Column, first_verdict: bool = False) -> DataFrame:
     """One row per distinct payload of a (provider, set): its first arrival and copies.
 
     A byte-identical copy is a duplicate before any validity check and never moves
     a timestamp. Arrival ties are settled by content, so reruns agree. ``also``
-    adds grouping columns (a stream's event-time window).
+    adds grouping columns (a stream's event-time window). ``first_verdict`` adds the
+    first signature verdict reached on any copy, as (rx_ns, sig_ok).
     """
     if "leader" not in shreds.columns:
         shreds = shreds.withColumn("leader", F.lit(None).cast("string"))
-    keys = [*PROVIDER_SET, "payload_hash"]
-    content = [c for c in (*_CONTENT, "structural") if c in shreds.columns]
-    first = F.min(F.struct("rx_ns", *content)).alias("first")
-    return (shreds.groupBy(*also, *keys).agg(first, F.count("*").alias("copies"))
-            .select(*keys, "copies", "first.*"))
+    # The hash leads the key: where the aggregate sorts, it tells rows apart at once.
+    keys = ["payload_hash", "slot", "fec_set_index", "provider"]
+    content = [c for c in _CONTENT if c in shreds.columns]
+    totals = [F.min(F.struct("rx_ns", *content)).alias("first"), F.count("*").alias("copies")]
+    verdicts = ["first_verdict"] if first_verdict else []
+    if first_verdict:
+        totals.append(F.min(F.when(F.col("sig_ok").isNotNull(), F.struct("rx_ns", "sig_ok"))).alias("first_verdict"))
+    return (shreds.filter(all_known(*keys)).groupBy(*also, *keys).agg(*totals)
+            # Always true. It keeps the whole aggregate in use by every reader, so that
+            # branches over the distinct payloads share one scan and one exchange.
+            .filter(F.col("copies") > 0)
+            .select(*keys, "copies", *verdicts, "first.*"))
+
+
+def all_known(*cols: str) -> Column:
+    """Every column is set. Stated before a shared aggregate, it spares the joins above
+    from pushing different null filters into each branch, which would undo the sharing."""
+    known = F.col(cols[0]).isNotNull()
+    for col in cols[1:]:
+        known = known & F.col(col).isNotNull()
+    return known
 
 
 def judged(shreds: DataFrame) -> DataFrame:
@@ -64,16 +81,15 @@ def match_truth(distinct: DataFrame) -> DataFrame:
 
     ``failure`` is invalid_sig (same content), invalid_data (different content) or
     invalid_unknown (no authenticated copy, or no content hash). Data and code
-    packets overlap in index, so ``is_code`` is part of the key. Failing packets
-    are counted per content first; the truth has one row per packet.
+    packets overlap in index, so ``is_code`` is part of the key. The truth has one
+    row per packet, so many failing copies of one packet are split by the skew join.
     """
     packet = [*SET_RACE, "is_code", "shred_index"]
     truth = (distinct.filter((F.col("verdict") == "ok") & F.col("data_hash").isNotNull())
              .groupBy(*packet)
              .agg(F.max(F.struct("rx_ns", "payload_hash", "data_hash")).alias("last"))
              .select(*packet, F.col("last.data_hash").alias("true_hash")))
-    failing = (distinct.filter(F.col("verdict") == "bad")
-               .groupBy("provider", *packet, "data_hash").agg(F.count("*").alias("packets")))
+    failing = distinct.filter(F.col("verdict") == "bad").select("provider", *packet, "data_hash", "rx_ns")
     same = F.col("data_hash") == F.col("true_hash")
     return (failing.join(truth, packet, "left")
             .withColumn("failure", F.when(same, "invalid_sig").when(~same, "invalid_data")
@@ -82,12 +98,10 @@ def match_truth(distinct: DataFrame) -> DataFrame:
 
 def invalid_split(distinct: DataFrame) -> DataFrame:
     """Failures per (provider, set) by kind; the three always sum to ``invalid``."""
-    def of(kind: str) -> Column:
-        return F.sum(F.when(F.col("failure") == kind, F.col("packets")).otherwise(0)).alias(kind)
-
+    kinds = ("invalid_sig", "invalid_data", "invalid_unknown")
     return (match_truth(distinct).groupBy(*PROVIDER_SET)
-            .agg(F.sum("packets").alias("invalid"),
-                 of("invalid_sig"), of("invalid_data"), of("invalid_unknown")))
+            .agg(F.count("*").alias("invalid"),
+                 *[F.count_if(F.col("failure") == kind).alias(kind) for kind in kinds]))
 
 
 def kth_arrival(arrivals: str, k: str) -> Column:
@@ -111,7 +125,7 @@ def _per_position(distinct: DataFrame) -> DataFrame:
     ok = F.col("verdict") == "ok"
     counted = ok & (F.col("position") < MAX_POSITION)
     return (distinct
-            .groupBy(*PROVIDER_SET,
+            .groupBy(*SET_RACE, "provider",
                      F.when(counted, F.col("is_code")).alias("kind"),
                      F.when(counted, F.col("position")).alias("slot_position"))
             .agg(F.min(F.when(counted, F.col("rx_ns"))).alias("arrival"),
@@ -209,60 +223,72 @@ def order_scoreboard(scoreboard: DataFrame) -> DataFrame:
     return scoreboard.orderBy(F.desc_nulls_last("winrate"), F.desc("coverage"), "provider")
 
 
+def _eligible(version: int | None) -> Column:
+    matches = F.lit(True) if version is None else F.coalesce(F.col("version") == version, F.lit(False))
+    return matches & F.col("root").isNotNull()
+
+
+def _first_root(version: int | None) -> Column:
+    """Root of the first packet, from whichever provider, that has one and the right version."""
+    return F.min(F.when(_eligible(version), F.struct("rx_ns", "payload_hash", "root")))
+
+
+def _sound(version: int | None) -> Column:
+    return F.coalesce(_eligible(version) & (F.col("root") == F.col("set_root")), F.lit(False))
+
+
 def structural_valid(packets: DataFrame, version: int | None = None) -> DataFrame:
-    """Attach ``structural`` and the set's signature verdict ``set_sig_ok``.
+    """Attach ``structural``.
 
     A packet is structurally sound if its version matches and its root equals the
-    root the set showed first, from whichever provider. The leader's signature is
-    judged once per set: the first verdict reached on a sound packet counts.
-    ``packets`` needs ``root`` and, with ``version``, a ``version`` column.
+    root the set showed first, from whichever provider. ``packets`` needs ``root``
+    and, with ``version``, a ``version`` column.
     """
-    matches = F.lit(True) if version is None else F.coalesce(F.col("version") == version, F.lit(False))
-    eligible = packets.withColumn("eligible", matches & F.col("root").isNotNull())
-    first_root = (eligible.filter("eligible").groupBy(*SET_RACE)
-                  .agg(F.min(F.struct("rx_ns", "payload_hash", "root")).alias("first"))
-                  .select(*SET_RACE, F.col("first.root").alias("set_root")))
-    sound = (eligible.join(first_root, list(SET_RACE), "left")
-             .withColumn("structural", F.col("eligible") & (F.col("root") == F.col("set_root")))
-             .withColumn("structural", F.coalesce("structural", F.lit(False)))
-             .drop("eligible", "set_root"))
-    return sound.join(set_signature(sound), list(SET_RACE), "left")
+    roots = (packets.groupBy(*SET_RACE).agg(_first_root(version).alias("first"))
+             .select(*SET_RACE, F.col("first.root").alias("set_root")))
+    return (packets.join(roots, list(SET_RACE), "left")
+            .withColumn("structural", _sound(version)).drop("set_root"))
 
 
 def set_signature(sound: DataFrame) -> DataFrame:
-    """First signature verdict, in arrival order, among a set's sound packets."""
+    """The leader's signature, judged once per set: the first verdict, in arrival
+    order, reached on one of its sound packets."""
     return (sound.filter(F.col("structural") & F.col("sig_ok").isNotNull())
             .groupBy(*SET_RACE)
             .agg(F.min(F.struct("rx_ns", "payload_hash", "sig_ok")).alias("first"))
             .select(*SET_RACE, F.col("first.sig_ok").alias("set_sig_ok")))
 
 
-def live_set_stats(packets: DataFrame) -> DataFrame:
+def live_set_stats(packets: DataFrame, version: int | None = None) -> DataFrame:
     """Per (provider, set): first, decode and last times and counts, live semantics.
 
     The set's size is known from the first code packet of any provider, sound or
     not. A provider can decode at its first sound packet at or after both that
-    moment and its own ``num_data``-th distinct position.
-
-    ``packets`` carries ``structural``; see ``structural_valid``.
+    moment and its own ``num_data``-th distinct position. ``first_sig`` carries the
+    provider's first signature verdict.
     """
-    size = (packets.filter("is_code").groupBy(*SET_RACE)
-            .agg(F.min(F.struct("rx_ns", "payload_hash", "num_data", "num_coding")).alias("size"))
-            .select(*SET_RACE, F.col("size.num_data").alias("set_data"),
-                    F.col("size.num_coding").alias("set_coding"),
-                    F.struct("size.rx_ns", "size.payload_hash").alias("known_at")))
+    distinct = dedup_payload(packets, first_verdict=True)
     at = F.struct("rx_ns", "payload_hash")
+    sized = F.struct("rx_ns", "payload_hash", "num_data", "num_coding")
+    facts = (distinct.groupBy(*SET_RACE)
+             .agg(_first_root(version).alias("first"), F.min(F.when(F.col("is_code"), sized)).alias("size"))
+             .select(*SET_RACE, F.col("first.root").alias("set_root"),
+                     F.col("size.num_data").alias("set_data"), F.col("size.num_coding").alias("set_coding"),
+                     F.when(F.col("size").isNotNull(), F.struct("size.rx_ns", "size.payload_hash"))
+                     .alias("known_at")))
     sound = F.col("structural")
     counted = sound & (F.col("position") < MAX_POSITION)
     per_position = (
-        dedup_payload(packets).join(size, list(SET_RACE), "left")
-        .groupBy(*PROVIDER_SET,
+        distinct.join(facts, list(SET_RACE)).withColumn("structural", _sound(version))
+        .groupBy(*SET_RACE, "provider",
                  F.when(counted, F.col("is_code")).alias("kind"),
                  F.when(counted, F.col("position")).alias("slot_position"))
         .agg(F.min(F.when(counted, at)).alias("arrival"),
              F.min(F.when(sound, F.col("rx_ns"))).alias("first_ok"),
              F.max(F.when(sound, F.col("rx_ns"))).alias("last_ok"),
              F.min(F.when(sound & (at >= F.col("known_at")), at)).alias("first_known"),
+             F.min(F.when(sound & F.col("first_verdict").isNotNull(),
+                          F.struct("first_verdict.rx_ns", "payload_hash", "first_verdict.sig_ok"))).alias("first_sig"),
              F.sum("copies").alias("received"),
              F.sum(F.col("copies") - 1).alias("duplicated"),
              F.count_if(~sound).alias("invalid"),
@@ -272,7 +298,7 @@ def live_set_stats(packets: DataFrame) -> DataFrame:
               .agg(F.array_sort(F.collect_list("arrival")).alias("arrivals"),
                    F.count("kind").alias("delivered"),
                    F.min("first_ok").alias("first_ok"), F.max("last_ok").alias("last_ok"),
-                   F.min("first_known").alias("first_known"),
+                   F.min("first_known").alias("first_known"), F.min("first_sig").alias("first_sig"),
                    F.sum("received").alias("received"),
                    F.sum("duplicated").alias("duplicated"), F.sum("invalid").alias("invalid"),
                    F.max("set_data").alias("set_data"), F.max("set_coding").alias("set_coding"),
@@ -285,21 +311,23 @@ def live_set_stats(packets: DataFrame) -> DataFrame:
     expected = F.col("set_data") + F.col("set_coding")
     return folded.select(
         *PROVIDER_SET, "first_ok", F.when(F.col("set_data").isNotNull(), decode).alias("decode"),
-        "last_ok", "received", "invalid", "duplicated", "delivered",
+        "last_ok", "first_sig", "received", "invalid", "duplicated", "delivered",
         saturating_sub(F.coalesce(expected, F.col("delivered")), F.col("delivered")).alias("missed"))
 
 
-def anchored_set_stats(packets: DataFrame, baseline: str | None) -> DataFrame:
+def anchored_set_stats(packets: DataFrame, baseline: str | None, version: int | None = None) -> DataFrame:
     """Signed delays of each provider to the set's anchor (negative = earlier).
 
     The anchor of each of the three times is the baseline provider's, else the
-    earliest. Sets without one sound packet from anyone give no rows.
+    earliest. Sets without one sound packet from anyone give no rows. The set's
+    signature verdict is the first any provider's sound packets led to.
     """
-    stats = live_set_stats(packets).join(set_signature(packets), list(SET_RACE), "left")
-    anchored = (stats
+    set_sig = F.min("first_sig").over(Window.partitionBy(*SET_RACE))
+    anchored = (live_set_stats(packets, version)
                 .withColumn("anchor_first", race_anchor("first_ok", "provider", baseline))
                 .withColumn("anchor_decode", race_anchor("decode", "provider", baseline))
                 .withColumn("anchor_last", race_anchor("last_ok", "provider", baseline))
+                .withColumn("set_sig_ok", set_sig["sig_ok"])
                 .filter(F.col("anchor_first").isNotNull()))
     valid = ((F.col("invalid") == 0) & F.coalesce("set_sig_ok", F.lit(False))
              & F.col("decode").isNotNull())
@@ -312,12 +340,12 @@ def anchored_set_stats(packets: DataFrame, baseline: str | None) -> DataFrame:
         F.col("duplicated").alias("duplicated_shreds"), valid.alias("is_valid"))
 
 
-def provider_counters(packets: DataFrame) -> DataFrame:
+def provider_counters(packets: DataFrame, version: int | None = None) -> DataFrame:
     """Per provider: packets received, invalid and duplicate, and sets it delivered first.
 
     A tie for first goes to the lowest provider.
     """
-    stats = live_set_stats(packets)
+    stats = live_set_stats(packets, version)
     order = Window.partitionBy(*SET_RACE).orderBy(F.asc_nulls_last("first_ok"), "provider")
     won = (F.row_number().over(order) == 1) & F.col("first_ok").isNotNull()
     return (stats.withColumn("won", won).groupBy("provider")

@@ -61,19 +61,19 @@ def races_per_hub(ranked: DataFrame) -> DataFrame:
             .groupBy("hub").agg(F.count("*").alias("races")))
 
 
-def leader_split(ranked_with_leader: DataFrame) -> DataFrame:
+def leader_split(totals: DataFrame) -> DataFrame:
     """Per (hub, leader's brand, source): how each source did on that brand's slots.
 
-    Expects the (hub, slot, source) totals of ``dims.slot_totals`` with a brand.
+    ``totals`` is ``dims.slot_totals``. Slots and sets of a brand are summed over its
+    few source rows: each slot has one leading row, each set one winner.
     """
-    led = ranked_with_leader.filter(F.col("leader_provider").isNotNull())
-    slots = (led.groupBy("hub", "leader_provider", "slot").agg(F.sum("wins").alias("races"))
-             .groupBy("hub", "leader_provider")
-             .agg(F.count("*").alias("slots_seen"), F.sum("races").alias("fec_sets")))
-    sources = (led.groupBy("hub", "leader_provider", "source")
-               .agg(F.sum("samples").alias("samples"), F.sum("wins").alias("wins"),
-                    F.sum("sum_d").alias("sum_d")))
-    return (sources.join(slots, ["hub", "leader_provider"])
+    of_brand = Window.partitionBy("hub", "leader_provider")
+    return (totals.filter(F.col("leader_provider").isNotNull())
+            .groupBy("hub", "leader_provider", "source")
+            .agg(F.sum("samples").alias("samples"), F.sum("wins").alias("wins"),
+                 F.sum("sum_d").alias("sum_d"), F.count_if("lead").alias("slots_led"))
+            .withColumn("slots_seen", F.sum("slots_led").over(of_brand))
+            .withColumn("fec_sets", F.sum("wins").over(of_brand))
             .select("hub", "leader_provider", "slots_seen", "fec_sets", "source", "samples", "wins",
                     percent("wins", "fec_sets").alias("win_rate_pct"),
                     mean_ms("sum_d", "samples").alias("avg_delta_ms")))
@@ -115,7 +115,8 @@ def first_provider_share(firsts: DataFrame) -> DataFrame:
     counts = (firsts.groupBy("hub", "src_ip")
               .agg(F.count("*").alias("first_count"), F.min("t").alias("window_start"),
                    F.max("t").alias("window_end")))
-    totals = counts.groupBy("hub").agg(F.sum("first_count").alias("hub_total"))
+    # A scan of one column with a row per hub to shuffle.
+    totals = firsts.groupBy("hub").agg(F.count("*").alias("hub_total"))
     return (counts.join(totals, "hub")
             .select("hub", "src_ip", "first_count",
                     percent("first_count", "hub_total").alias("first_share_pct"),
@@ -149,52 +150,52 @@ def signature_panel(arrivals: DataFrame, baselines: Sequence[str],
     of rows: equal arrivals are counted together first, and ranks among the valid
     ones are counted block by block.
     """
-    judged = (with_baseline_signature(
-                  arrivals.groupBy(*HUB_RACE, "source", time, "signature").agg(F.count("*").alias("n")),
-                  baselines, time)
-              .withColumn("verdict",
-                          F.when(F.coalesce("signature", F.lit("")) == F.col("true_signature"), "valid")
-                          .when(F.coalesce("signature", F.lit("")) == "", "none")
-                          .otherwise("bad")))
-    sets = (baseline_signatures(arrivals, baselines, time)
-            .groupBy("hub").agg(F.count("*").alias("sets")))
-    by = ["hub", "source"]
-    wrong = (judged.groupBy(*by).agg(
-        F.sum(F.when(F.col("verdict") == "bad", F.col("n")).otherwise(0)).alias("bad_sig_count"),
-        F.sum(F.when(F.col("verdict") == "none", F.col("n")).otherwise(0)).alias("no_sig_count"),
-        F.sum("n").alias("arrivals")))
-    valid = count_before(
-        judged.filter(F.col("verdict") == "valid").groupBy(*HUB_RACE, "source", time)
-        .agg(F.sum("n").alias("n")),
-        HUB_RACE, [time, "source"], F.floor(F.col(time) / F.lit(float(_RANK_BLOCK_NS))), "n")
+    same = arrivals.groupBy(*HUB_RACE, "source", time, "signature").agg(F.count("*").alias("n"))
+    signature = F.coalesce("signature", F.lit(""))
+    good = F.col("verdict") == "valid"
+    judged = (with_baseline_signature(same, baselines, time)
+              .withColumn("verdict", F.when(signature == F.col("true_signature"), "valid")
+                          .when(signature == "", "none").otherwise("bad"))
+              .groupBy(*HUB_RACE, "source", time)
+              .agg(F.sum(F.when(good, F.col("n")).otherwise(0)).alias("n"),
+                   F.sum(F.when(F.col("verdict") == "bad", F.col("n")).otherwise(0)).alias("bad"),
+                   F.sum(F.when(F.col("verdict") == "none", F.col("n")).otherwise(0)).alias("none")))
+    # Arrivals without a valid signature weigh nothing in the ranking.
+    ranked = count_before(judged, HUB_RACE, [time, "source"],
+                          F.floor(F.col(time) / F.lit(float(_RANK_BLOCK_NS))), "n")
+    valid = F.col("n") > 0
     # n equal arrivals take the ranks before, before + 1, ..., before + n - 1.
     rank_sum = (F.col("before") * F.col("n")
                 + F.floor(F.col("n") * (F.col("n") - 1) / F.lit(2.0)).cast("bigint"))
-    bins = (valid.groupBy(*by, delay_bin(time).alias("bin"))
+    by = ["hub", "source"]
+    bins = (ranked.groupBy(*by, F.when(valid, delay_bin(time)).alias("bin"))
             .agg(F.sum("n").alias("n"),
-                 F.count_if(F.col("before") == 0).alias("wins"),
+                 F.count_if(valid & (F.col("before") == 0)).alias("wins"),
                  F.sum(rank_sum).alias("sum_rank"),
                  exact_sum(F.col(time) * F.col("n")).alias("sum_d"),
-                 F.sum(F.when(F.col(time) < 0, F.col("n")).otherwise(0)).alias("neg")))
-    stats = (bins.withColumn("cum", running_total(by, "bin", "n"))
+                 F.sum(F.when(F.col(time) < 0, F.col("n")).otherwise(0)).alias("neg"),
+                 F.sum("bad").alias("bad"), F.sum("none").alias("none")))
+    panel = (bins.withColumn("cum", running_total(by, "bin", "n"))
              .withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
              .groupBy(*by)
              .agg(F.sum("n").alias("valid_samples"), F.sum("wins").alias("win_count"),
-                  F.sum("sum_rank").alias("sum_rank"), F.sum("sum_d").alias("sum_d"),
-                  F.sum("neg").alias("neg"),
+                  F.sum("sum_rank").alias("sum_rank"), F.sum("sum_d").alias("sum_d"), F.sum("neg").alias("neg"),
+                  F.sum("bad").alias("bad_sig_count"), F.sum("none").alias("no_sig_count"),
                   *percentile_columns(QUANTILES, "cum", "total", "bin")))
-    zero = F.lit(0).cast("bigint")
-    return (wrong.join(stats, by, "left").join(sets, "hub")
-            .select(*by, F.coalesce("valid_samples", zero).alias("valid_samples"),
-                    F.coalesce("win_count", zero).alias("win_count"),
-                    percent(F.coalesce("win_count", zero), "sets").alias("win_rate_pct"),
-                    (F.col("sum_rank").cast("double") / F.col("valid_samples")).alias("avg_rank"),
-                    mean_ms("sum_d", "valid_samples").alias("avg_delta_ms"),
-                    *QUANTILES,
-                    percent("neg", "valid_samples").alias("beats_baseline_pct"),
-                    percent(F.coalesce("valid_samples", zero), "sets").alias("valid_coverage_pct"),
-                    "bad_sig_count", "no_sig_count",
-                    percent("bad_sig_count", "arrivals").alias("bad_sig_pct_of_arrivals")))
+    sets = (baseline_signatures(arrivals, baselines, time)
+            .groupBy("hub").agg(F.count("*").alias("sets")))
+    arrived = F.col("valid_samples") + F.col("bad_sig_count") + F.col("no_sig_count")
+    return panel.join(sets, "hub").select(
+        *by, "valid_samples", "win_count",
+        percent("win_count", "sets").alias("win_rate_pct"),
+        F.when(F.col("valid_samples") > 0, F.col("sum_rank").cast("double") / F.col("valid_samples"))
+        .alias("avg_rank"),
+        F.when(F.col("valid_samples") > 0, mean_ms("sum_d", "valid_samples")).alias("avg_delta_ms"),
+        *QUANTILES,
+        percent("neg", "valid_samples").alias("beats_baseline_pct"),
+        percent("valid_samples", "sets").alias("valid_coverage_pct"),
+        "bad_sig_count", "no_sig_count",
+        percent(F.col("bad_sig_count"), arrived).alias("bad_sig_pct_of_arrivals"))
 
 
 def signature_mismatches(panel: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from firstpast.functions import binary, numeric, text
 from firstpast.operators import dims, h2h, packets, quality, race, ranges, sets, stats, txns
 from firstpast.operators.percentiles import binned_percentile
 from firstpast.plans import checks, reports
-from firstpast.plans.views import spark_view
+from firstpast.plans.views import scan, spark_view
 from firstpast.session import configure, working_path
 from firstpast.sources import readers, writers
 from firstpast.streaming import eager, sinks, slots
@@ -33,7 +33,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan(configure(spark), sf_dir, name)
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +192,8 @@ def invalid_split(spark, sf_dir):
 
 @query
 def truth_match(spark, sf_dir):
-    return sets.match_truth(sets.judged(_shreds(spark, sf_dir)))
+    matched = sets.match_truth(sets.judged(_shreds(spark, sf_dir)))
+    return matched.groupBy(*[c for c in matched.columns if c != "rx_ns"]).agg(F.count("*").alias("packets"))
 
 
 @query
@@ -236,23 +237,24 @@ def contested_scoreboard(spark, sf_dir):
 
 @query
 def structural_validity(spark, sf_dir):
-    return (_sound(spark, sf_dir).groupBy("provider", "structural", "set_sig_ok")
-            .agg(F.count("*").alias("packets")))
+    sound = _sound(spark, sf_dir)
+    return (sound.join(sets.set_signature(sound), list(race.SET_RACE), "left")
+            .groupBy("provider", "structural", "set_sig_ok").agg(F.count("*").alias("packets")))
 
 
 @query
 def anchored_set_stats(spark, sf_dir):
-    return sets.anchored_set_stats(_sound(spark, sf_dir), ANCHOR)
+    return sets.anchored_set_stats(_shreds(spark, sf_dir), ANCHOR, SHRED_VERSION)
 
 
 @query
 def delay_histogram(spark, sf_dir):
-    return sets.delay_histogram(sets.anchored_set_stats(_sound(spark, sf_dir), ANCHOR))
+    return sets.delay_histogram(sets.anchored_set_stats(_shreds(spark, sf_dir), ANCHOR, SHRED_VERSION))
 
 
 @query
 def provider_counters(spark, sf_dir):
-    return sets.provider_counters(_sound(spark, sf_dir))
+    return sets.provider_counters(_shreds(spark, sf_dir), SHRED_VERSION)
 
 
 @query
@@ -645,12 +647,12 @@ def _in_parts(df: DataFrame, name: str, wait: int, run: Callable[[DataFrame], St
     path = working_path(spark, name)
     top = df.agg(F.max("slot")).first()[0]
     step = top // parts + 1
-    blank = [F.lit(top + wait + 1).alias(c) if c == "slot" else F.lit(None).cast(df.schema[c].dataType).alias(c)
-             for c in df.columns]
+    fill = {"bigint": F.lit(top + wait + 1), "string": F.lit("")}
+    closing = [fill.get(f.dataType.simpleString(), F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]
     for part in range(parts):
         df.filter(F.col("slot").between(part * step, (part + 1) * step - 1)).write.mode("append").parquet(path)
         if part == parts - 1:
-            spark.range(1).select(*blank).write.mode("append").parquet(path)
+            spark.range(1).select(*closing).write.mode("append").parquet(path)
         stream_query = run(sinks.read_landed(spark, path, df.schema))
         stream_query.awaitTermination()
         if stream_query.exception() is not None:
@@ -688,7 +690,7 @@ def stream_eager_ranges(spark, sf_dir):
     out, state, store = (working_path(spark, n) for n in ("ranges", "state", "indices"))
     emit = eager.eager_ranges(store, out)
     _in_parts(spark_view(spark, sf_dir, "range_shreds"), "range-packets", 0,
-              lambda s: sinks.start(s.filter("provider IS NOT NULL"), emit, state))
+              lambda s: sinks.start(s.filter("provider <> ''"), emit, state))
     return spark.read.parquet(out).drop("batch")
 
 
@@ -698,7 +700,7 @@ def stream_throttle(spark, sf_dir):
     out, state = working_path(spark, "actions"), working_path(spark, "state")
     act = eager.throttled(out, "source", "ns", 600_000_000_000, 1_704_067_200_000_000_000)
     _in_parts(spark_view(spark, sf_dir, "txn_events"), "triggers", 0,
-              lambda s: sinks.start(s.filter("source IS NOT NULL"), act, state))
+              lambda s: sinks.start(s.filter("source <> ''"), act, state))
     return spark.read.parquet(out).drop("batch")
 
 
@@ -709,5 +711,5 @@ def stream_leaders(spark, sf_dir):
     spark_view(spark, sf_dir, "schedule").write.parquet(schedule)
     attach = eager.enriched(out, schedule)
     _in_parts(_shreds(spark, sf_dir).select("provider", "slot"), "packets", 0,
-              lambda s: sinks.start(s.filter("provider IS NOT NULL"), attach, state))
+              lambda s: sinks.start(s.filter("provider <> ''"), attach, state))
     return spark.read.parquet(out).groupBy("provider", "leader").agg(F.count("*").alias("packets"))

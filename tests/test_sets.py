@@ -181,10 +181,10 @@ def test_invalid_presence_counts_but_does_not_race(spark):
 # -- live (anchored) semantics -------------------------------------------------
 
 def live(spark, baseline, *shreds):
-    sounds = [dict(s, structural=s["merkle_ok"]) for s in shreds]
-    columns = [*schema.columns("shreds"), "structural"]
-    df = spark.createDataFrame([tuple(s[c] for c in columns) for s in sounds],
-                               schema.of("shreds").add("structural", "boolean"))
+    rooted = [dict(s, root="r" if s["merkle_ok"] else None) for s in shreds]
+    columns = [*schema.columns("shreds"), "root"]
+    df = spark.createDataFrame([tuple(s[c] for c in columns) for s in rooted],
+                               schema.of("shreds").add("root", "string"))
     return {r.provider: r for r in sets.anchored_set_stats(df, baseline).collect()}
 
 
