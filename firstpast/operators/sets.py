@@ -38,28 +38,24 @@ def acceptance(merkle_ok: str = "merkle_ok", sig_ok: str = "sig_ok") -> Column:
     return F.when(failed, "bad").when(F.col(sig_ok).isNull(), "unverifiable").otherwise("ok")
 
 
-def dedup_payload(shreds: DataFrame, *also: Column, first_verdict: bool = False) -> DataFrame:
+def dedup_payload(shreds: DataFrame, *also: Column) -> DataFrame:
     """One row per distinct payload of a (provider, set): its first arrival and copies.
 
     A byte-identical copy is a duplicate before any validity check and never moves
     a timestamp. Arrival ties are settled by content, so reruns agree. ``also``
-    adds grouping columns (a stream's event-time window). ``first_verdict`` adds the
-    first signature verdict reached on any copy, as (rx_ns, sig_ok).
+    adds grouping columns (a stream's event-time window).
     """
     if "leader" not in shreds.columns:
         shreds = shreds.withColumn("leader", F.lit(None).cast("string"))
     # The hash leads the key: where the aggregate sorts, it tells rows apart at once.
     keys = ["payload_hash", "slot", "fec_set_index", "provider"]
     content = [c for c in _CONTENT if c in shreds.columns]
-    totals = [F.min(F.struct("rx_ns", *content)).alias("first"), F.count("*").alias("copies")]
-    verdicts = ["first_verdict"] if first_verdict else []
-    if first_verdict:
-        totals.append(F.min(F.when(F.col("sig_ok").isNotNull(), F.struct("rx_ns", "sig_ok"))).alias("first_verdict"))
-    return (shreds.filter(all_known(*keys)).groupBy(*also, *keys).agg(*totals)
+    first = F.min(F.struct("rx_ns", *content)).alias("first")
+    return (shreds.filter(all_known(*keys)).groupBy(*also, *keys).agg(first, F.count("*").alias("copies"))
             # Always true. It keeps the whole aggregate in use by every reader, so that
             # branches over the distinct payloads share one scan and one exchange.
             .filter(F.col("copies") > 0)
-            .select(*keys, "copies", *verdicts, "first.*"))
+            .select(*keys, "copies", "first.*"))
 
 
 def all_known(*cols: str) -> Column:
@@ -228,9 +224,30 @@ def _eligible(version: int | None) -> Column:
     return matches & F.col("root").isNotNull()
 
 
-def _first_root(version: int | None) -> Column:
-    """Root of the first packet, from whichever provider, that has one and the right version."""
-    return F.min(F.when(_eligible(version), F.struct("rx_ns", "payload_hash", "root")))
+def set_facts(packets: DataFrame, version: int | None = None) -> DataFrame:
+    """Per set, over the packets of all providers in arrival order: the first root shown
+    (by a packet of the right version), the first signature verdict reached under that
+    root, and the size with the moment it became known (the first code packet, sound
+    or not).
+
+    Packets are reduced per (set, root) first; a sound set shows one root.
+    """
+    at = F.struct("rx_ns", "payload_hash")
+    eligible = _eligible(version)
+    roots = (packets.groupBy(*SET_RACE, F.when(eligible, F.col("root")).alias("set_root"))
+             .agg(F.min(F.when(eligible, at)).alias("shown_at"),
+                  F.min(F.when(F.col("sig_ok").isNotNull(), F.struct("rx_ns", "payload_hash", "sig_ok")))
+                  .alias("verdict"),
+                  F.min(F.when(F.col("is_code"), F.struct("rx_ns", "payload_hash", "num_data", "num_coding")))
+                  .alias("size")))
+    known = F.col("size").isNotNull()
+    return (roots.groupBy(*SET_RACE)
+            .agg(F.min(F.when(F.col("set_root").isNotNull(), F.struct("shown_at", "set_root", "verdict")))
+                 .alias("first"), F.min("size").alias("size"))
+            .select(*SET_RACE, F.col("first.set_root").alias("set_root"),
+                    F.col("first.verdict.sig_ok").alias("set_sig_ok"),
+                    F.col("size.num_data").alias("set_data"), F.col("size.num_coding").alias("set_coding"),
+                    F.when(known, F.struct("size.rx_ns", "size.payload_hash")).alias("known_at")))
 
 
 def _sound(version: int | None) -> Column:
@@ -238,48 +255,33 @@ def _sound(version: int | None) -> Column:
 
 
 def structural_valid(packets: DataFrame, version: int | None = None) -> DataFrame:
-    """Attach ``structural``.
+    """Attach ``structural`` and the set's signature verdict ``set_sig_ok``.
 
     A packet is structurally sound if its version matches and its root equals the
-    root the set showed first, from whichever provider. ``packets`` needs ``root``
-    and, with ``version``, a ``version`` column.
+    root the set showed first, from whichever provider. The leader's signature is
+    judged once per set. ``packets`` needs ``root`` and, with ``version``, a
+    ``version`` column.
     """
-    roots = (packets.groupBy(*SET_RACE).agg(_first_root(version).alias("first"))
-             .select(*SET_RACE, F.col("first.root").alias("set_root")))
-    return (packets.join(roots, list(SET_RACE), "left")
+    facts = set_facts(packets, version).select(*SET_RACE, "set_root", "set_sig_ok")
+    return (packets.join(facts, list(SET_RACE), "left")
             .withColumn("structural", _sound(version)).drop("set_root"))
 
 
-def set_signature(sound: DataFrame) -> DataFrame:
-    """The leader's signature, judged once per set: the first verdict, in arrival
-    order, reached on one of its sound packets."""
-    return (sound.filter(F.col("structural") & F.col("sig_ok").isNotNull())
-            .groupBy(*SET_RACE)
-            .agg(F.min(F.struct("rx_ns", "payload_hash", "sig_ok")).alias("first"))
-            .select(*SET_RACE, F.col("first.sig_ok").alias("set_sig_ok")))
-
-
 def live_set_stats(packets: DataFrame, version: int | None = None) -> DataFrame:
     """Per (provider, set): first, decode and last times and counts, live semantics.
 
     The set's size is known from the first code packet of any provider, sound or
     not. A provider can decode at its first sound packet at or after both that
-    moment and its own ``num_data``-th distinct position. ``first_sig`` carries the
-    provider's first signature verdict.
+    moment and its own ``num_data``-th distinct position.
     """
-    distinct = dedup_payload(packets, first_verdict=True)
     at = F.struct("rx_ns", "payload_hash")
-    sized = F.struct("rx_ns", "payload_hash", "num_data", "num_coding")
-    facts = (distinct.groupBy(*SET_RACE)
-             .agg(_first_root(version).alias("first"), F.min(F.when(F.col("is_code"), sized)).alias("size"))
-             .select(*SET_RACE, F.col("first.root").alias("set_root"),
-                     F.col("size.num_data").alias("set_data"), F.col("size.num_coding").alias("set_coding"),
-                     F.when(F.col("size").isNotNull(), F.struct("size.rx_ns", "size.payload_hash"))
-                     .alias("known_at")))
     sound = F.col("structural")
     counted = sound & (F.col("position") < MAX_POSITION)
+    # The set's facts are the same on all its rows; max only carries them along.
+    carried = [F.max(c).alias(c) for c in ("set_data", "set_coding", "known_at", "set_sig_ok")]
     per_position = (
-        distinct.join(facts, list(SET_RACE)).withColumn("structural", _sound(version))
+        dedup_payload(packets).join(set_facts(packets, version), list(SET_RACE))
+        .withColumn("structural", _sound(version))
         .groupBy(*SET_RACE, "provider",
                  F.when(counted, F.col("is_code")).alias("kind"),
                  F.when(counted, F.col("position")).alias("slot_position"))
@@ -287,22 +289,17 @@ def live_set_stats(packets: DataFrame, version: int | None = None) -> DataFrame:
              F.min(F.when(sound, F.col("rx_ns"))).alias("first_ok"),
              F.max(F.when(sound, F.col("rx_ns"))).alias("last_ok"),
              F.min(F.when(sound & (at >= F.col("known_at")), at)).alias("first_known"),
-             F.min(F.when(sound & F.col("first_verdict").isNotNull(),
-                          F.struct("first_verdict.rx_ns", "payload_hash", "first_verdict.sig_ok"))).alias("first_sig"),
              F.sum("copies").alias("received"),
              F.sum(F.col("copies") - 1).alias("duplicated"),
              F.count_if(~sound).alias("invalid"),
-             F.max("set_data").alias("set_data"), F.max("set_coding").alias("set_coding"),
-             F.max("known_at").alias("known_at")))
+             *carried))
     folded = (per_position.groupBy(*PROVIDER_SET)
               .agg(F.array_sort(F.collect_list("arrival")).alias("arrivals"),
                    F.count("kind").alias("delivered"),
                    F.min("first_ok").alias("first_ok"), F.max("last_ok").alias("last_ok"),
-                   F.min("first_known").alias("first_known"), F.min("first_sig").alias("first_sig"),
+                   F.min("first_known").alias("first_known"),
                    F.sum("received").alias("received"),
-                   F.sum("duplicated").alias("duplicated"), F.sum("invalid").alias("invalid"),
-                   F.max("set_data").alias("set_data"), F.max("set_coding").alias("set_coding"),
-                   F.max("known_at").alias("known_at")))
+                   F.sum("duplicated").alias("duplicated"), F.sum("invalid").alias("invalid"), *carried))
     kth = F.try_element_at("arrivals", F.col("set_data").cast("int"))
     decode = (F.when(F.col("set_data") == 0, F.col("first_known.rx_ns"))
               .when(kth.isNull(), F.lit(None).cast("bigint"))
@@ -311,7 +308,7 @@ def live_set_stats(packets: DataFrame, version: int | None = None) -> DataFrame:
     expected = F.col("set_data") + F.col("set_coding")
     return folded.select(
         *PROVIDER_SET, "first_ok", F.when(F.col("set_data").isNotNull(), decode).alias("decode"),
-        "last_ok", "first_sig", "received", "invalid", "duplicated", "delivered",
+        "last_ok", "set_sig_ok", "received", "invalid", "duplicated", "delivered",
         saturating_sub(F.coalesce(expected, F.col("delivered")), F.col("delivered")).alias("missed"))
 
 
@@ -319,15 +316,12 @@ def anchored_set_stats(packets: DataFrame, baseline: str | None, version: int |
     """Signed delays of each provider to the set's anchor (negative = earlier).
 
     The anchor of each of the three times is the baseline provider's, else the
-    earliest. Sets without one sound packet from anyone give no rows. The set's
-    signature verdict is the first any provider's sound packets led to.
+    earliest. Sets without one sound packet from anyone give no rows.
     """
-    set_sig = F.min("first_sig").over(Window.partitionBy(*SET_RACE))
     anchored = (live_set_stats(packets, version)
                 .withColumn("anchor_first", race_anchor("first_ok", "provider", baseline))
                 .withColumn("anchor_decode", race_anchor("decode", "provider", baseline))
                 .withColumn("anchor_last", race_anchor("last_ok", "provider", baseline))
-                .withColumn("set_sig_ok", set_sig["sig_ok"])
                 .filter(F.col("anchor_first").isNotNull()))
     valid = ((F.col("invalid") == 0) & F.coalesce("set_sig_ok", F.lit(False))
              & F.col("decode").isNotNull())
