@@ -45,8 +45,6 @@ def dedup_payload(shreds: DataFrame, *also: Column) -> DataFrame:
     a timestamp. Arrival ties are settled by content, so reruns agree. ``also``
     adds grouping columns (a stream's event-time window).
     """
-    if "leader" not in shreds.columns:
-        shreds = shreds.withColumn("leader", F.lit(None).cast("string"))
     # The hash leads the key: where the aggregate sorts, it tells rows apart at once.
     keys = ["payload_hash", "slot", "fec_set_index", "provider"]
     content = [c for c in _CONTENT if c in shreds.columns]
@@ -120,6 +118,7 @@ def _per_position(distinct: DataFrame) -> DataFrame:
     """(provider, set, kind, position) partial totals of distinct payloads."""
     ok = F.col("verdict") == "ok"
     counted = ok & (F.col("position") < MAX_POSITION)
+    leader = F.col("leader") if "leader" in distinct.columns else F.lit(None).cast("string")
     return (distinct
             .groupBy(*SET_RACE, "provider",
                      F.when(counted, F.col("is_code")).alias("kind"),
@@ -131,7 +130,7 @@ def _per_position(distinct: DataFrame) -> DataFrame:
                  F.sum(F.col("copies") - 1).alias("duplicated"),
                  F.count_if(F.col("verdict") == "unverifiable").alias("sig_unverifiable"),
                  F.count_if(F.col("verdict") == "bad").alias("invalid"),
-                 F.max("leader").alias("leader"),
+                 F.max(leader).alias("leader"),
                  F.max(ok & ~F.col("is_code") & F.coalesce("last_in_slot", F.lit(False))).alias("last_in_slot"),
                  _learned_counts().alias("learned")))
 

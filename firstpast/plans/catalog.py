@@ -103,6 +103,11 @@ def h2h_matrix_long(spark, sf_dir):
     return h2h.h2h_matrix_long(h2h.head_to_head(_ranked(spark, sf_dir)))
 
 
+@query
+def h2h_matrix(spark, sf_dir):
+    return h2h.h2h_matrix(h2h.h2h_matrix_long(h2h.head_to_head(_ranked(spark, sf_dir)))).drop("mean_beats_pct")
+
+
 @query
 def leader_split(spark, sf_dir):
     return stats.leader_split(_slot_totals(spark, sf_dir))
@@ -483,6 +488,61 @@ def enriched_sources(spark, sf_dir):
     return dims.enrich_sources(sources, name_ip, asn)
 
 
+# -- files -----------------------------------------------------------------------
+
+@query
+def validator_report(spark, sf_dir):
+    """Customers written as a quoted report CSV and read back as leaders and names."""
+    key = F.concat(F.repeat(F.lit("1"), F.lit(32)), F.col("c_custkey") % 10)
+    path = working_path(spark, "report")
+    (table(spark, sf_dir, "customer")
+     .select(F.col("c_custkey").alias("rank"),
+             F.when(F.col("c_custkey") % 7 == 0, "not a key").otherwise(key).alias("leader"),
+             F.when(F.col("c_custkey") % 5 == 0, "  ")
+             .otherwise(F.concat(F.lit('Acme, "Inc" '), F.col("c_custkey"))).alias("name"))
+     .write.option("header", True).option("escape", '"').csv(path))
+    return readers.read_validator_report(spark, path)
+
+
+@query
+def name_ip_map(spark, sf_dir):
+    """Supplier addresses written as ``name|ip`` lines and read back."""
+    path = working_path(spark, "name-ip")
+    (table(spark, sf_dir, "supplier")
+     .select(F.concat(_named("src-", "s_suppkey"), F.lit("|"), _ip()).alias("line")).write.text(path))
+    return readers.read_name_ip(spark, path)
+
+
+@query
+def replaced_epochs(spark, sf_dir):
+    """A schedule table after the second half of its epochs was replaced."""
+    path = working_path(spark, "epochs")
+    schedule = spark_view(spark, sf_dir, "schedule")
+    writers.replace_epoch(schedule, path, 100)
+    newer = schedule.filter(F.floor(F.col("slot") / F.lit(100.0)) % 2 == 1)
+    writers.replace_epoch(newer.withColumn("leader", _named("new-", "leader")), path, 100)
+    return spark.read.parquet(path).select("slot", "leader")
+
+
+@query
+def set_stats_table(spark, sf_dir):
+    """Anchored statistics written as the sorted lookup table and summed up per provider."""
+    path = working_path(spark, "set-stats")
+    writers.write_set_stats(sets.anchored_set_stats(_shreds(spark, sf_dir), ANCHOR, SHRED_VERSION), path)
+    return (spark.read.parquet(path).groupBy("provider")
+            .agg(F.count("*").alias("sets"), F.sum("missed_shreds").alias("missed"),
+                 F.count_if("is_valid").alias("valid")))
+
+
+@query
+def trend_report(spark, sf_dir):
+    """The trend report file, read back as text."""
+    path = working_path(spark, "report")
+    writers.write_report_csv(stats.daily_trend(_arrivals(spark, sf_dir)), path, "daily_trend", "day", "hub", "source")
+    return (spark.read.option("header", True).csv(f"{path}/daily_trend")
+            .select("day", "hub", "source", F.col("samples").cast("bigint").alias("samples")))
+
+
 # -- text and numbers ----------------------------------------------------------
 
 def _named_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,10 @@ cells AS (SELECT hub, source_a AS row_source, source_b AS col_source,
 SELECT *, CASE WHEN beats_pct >= 60 THEN 'good' WHEN beats_pct <= 40 THEN 'bad' ELSE 'even' END AS band
 FROM cells"""
 
+CHECKS["h2h_matrix"] = _H2H + " SELECT hub, source_a AS row_source, " + ", ".join(
+    f"max(CASE WHEN source_b = 'src-{i}' THEN round(CAST(100 AS DOUBLE) * a_first_count / both_present, 1) END) AS \"src-{i}\""
+    for i in range(8)) + " FROM led GROUP BY hub, source_a"
+
 CHECKS["leader_split"] = _LEADERS + """,
 per AS (SELECT hub, leader_provider, count(DISTINCT slot) AS slots_seen,
                count(DISTINCT (slot, fec_set_index)) AS fec_sets
@@ -491,6 +495,21 @@ asn AS (SELECT concat('10.0.', s_nationkey, '.', s_suppkey) AS ip, n_name AS org
 SELECT source, src_ip, coalesce(org, '') AS asn_dc,
        coalesce(trim(concat(city, ', ', country), ', '), '') AS dc_location FROM ipd LEFT JOIN asn ON ip = src_ip"""
 
+# -- files -----------------------------------------------------------------------
+
+CHECKS["validator_report"] = """
+SELECT concat(repeat('1', 32), c_custkey % 10) AS leader, concat('Acme, "Inc" ', c_custkey) AS name
+FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 10 <> 0"""
+CHECKS["name_ip_map"] = """
+SELECT concat('src-', s_suppkey) AS name, concat('10.0.', s_nationkey, '.', s_suppkey) AS ip FROM supplier"""
+CHECKS["replaced_epochs"] = check_ctes("schedule") + """
+SELECT slot, CASE WHEN CAST(floor(slot / 100) AS BIGINT) % 2 = 1 THEN concat('new-', leader) ELSE leader END AS leader
+FROM schedule"""
+CHECKS["set_stats_table"] = _LIVE + """
+SELECT provider, count(*) AS sets, CAST(sum(missed_shreds) AS BIGINT) AS missed, count(*) FILTER (WHERE is_valid) AS valid
+FROM stats GROUP BY provider"""
+CHECKS["trend_report"] = _TREND + " SELECT day, hub, source, samples FROM trend"
+
 # -- text and numbers ------------------------------------------------------------
 
 _BRANDS = """CASE WHEN lower(source) LIKE 'everstake%' THEN 'everstake' WHEN lower(source) LIKE 'lucky%' THEN 'lucky-stake'

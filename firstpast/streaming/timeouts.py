@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
+from firstpast.operators.sets import anchored_set_stats
+from firstpast.streaming.sinks import BatchFunction, write_batch
 from firstpast.streaming.slots import guard_slots
 
 # Fixed values.
@@ -110,3 +113,23 @@ def finalize_timeout(packets: DataFrame, grace_ms: int = GRACE_MS, wait_slots: i
             .transformWithStateInPandas(
                 statefulProcessor=CloseSets(grace_ms, wait_slots), outputStructType=_CLOSED,
                 outputMode="append", timeMode="ProcessingTime"))
+
+
+def set_stats_sink(packets_path: str, packet_schema: StructType, out: str, baseline: str | None,
+                   version: int | None = None) -> BatchFunction:
+    """A batch function for closed sets: their statistics, from their landed packets.
+
+    ``packets_path`` is the landing directory the stream itself reads, listed anew for
+    every batch.
+    """
+    def write(closed: DataFrame, batch_id: int) -> None:
+        packets = closed.sparkSession.read.schema(packet_schema).parquet(packets_path)
+        # Read by two branches of the statistics; the state store should answer once.
+        keys = closed.select("slot", "fec_set_index").persist()
+        try:
+            of_closed = packets.join(keys, ["slot", "fec_set_index"], "left_semi")
+            write_batch(anchored_set_stats(of_closed, baseline, version), out, batch_id)
+        finally:
+            keys.unpersist()
+
+    return write

@@ -170,6 +170,18 @@ def test_sets_close_by_end_of_slot_timeout_or_age(spark, tmp_path):
     assert spark.read.parquet(out).groupBy("slot").count().filter("count > 1").isEmpty()
 
 
+def test_closed_sets_get_their_statistics(spark, tmp_path):
+    rows = [shred(0, rx=2000), shred(1, rx=1500), shred(0, fec=32, rx=10)]
+    columns = [*schema.columns("shreds"), "root"]
+    rooted = schema.of("shreds").add("root", "string")
+    packets = spark.createDataFrame([tuple({**r, "root": "r"}[c] for c in columns) for r in rows], rooted)
+    packets.write.parquet(str(tmp_path / "in"))
+    closed = spark.createDataFrame([(100, 0, "aged", 1)], "slot long, fec_set_index long, reason string, open_ms long")
+    timeouts.set_stats_sink(str(tmp_path / "in"), rooted, str(tmp_path / "out"), "p0")(closed, 0)
+    got = {(r.provider, r.fec_set_index): r.fec_first_shred_delay_ns for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("p0", 0): 0, ("p1", 0): -500}
+
+
 def test_leaders_come_from_the_schedule(spark):
     stream_like = spark.createDataFrame([(1,), (2,)], "slot long")
     schedule = spark.createDataFrame([(1, "L")], "slot long, leader string")
