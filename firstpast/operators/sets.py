@@ -365,7 +365,10 @@ def slot_first_seen(packets: DataFrame, keep: int = KEEP_SLOTS) -> DataFrame:
 
 
 def keep_newest_slots(slots: DataFrame, keep: int = KEEP_SLOTS) -> DataFrame:
-    newest = slots.agg(F.max("slot")).scalar()
+    # The maximum is taken over whole rows, so that it reads the same aggregate as the
+    # rows it limits instead of a second, narrower one.
+    rest = [c for c in slots.columns if c != "slot"]
+    newest = slots.agg(F.max(F.struct("slot", *rest)).alias("last")).select("last.slot").scalar()
     return slots.filter(F.col("slot") >= newest - keep)
 
 

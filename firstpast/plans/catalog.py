@@ -147,11 +147,17 @@ def first_provider_share(spark, sf_dir):
 
 @query
 def ip_coverage(spark, sf_dir):
+    """Every supplier's address, plus one per nation that is registered but never delivers."""
+    nations = table(spark, sf_dir, "nation")
+    idle = _named("10.1.0.", "n_nationkey")
     interest = (table(spark, sf_dir, "supplier")
-                .select(_named("group-", F.col("s_nationkey") % 4).alias("group"), _ip().alias("ip")))
-    return dims.coverage(interest, spark_view(spark, sf_dir, "providers"),
-                         spark_view(spark, sf_dir, "arrivals").filter("source <> 'src-3'"),
-                         spark_view(spark, sf_dir, "first_provider").filter("hub = 'F'"))
+                .select(_named("group-", F.col("s_nationkey") % 4).alias("group"), _ip().alias("ip"))
+                .unionByName(nations.select(_named("group-", "n_regionkey").alias("group"), idle.alias("ip"))))
+    registered = (spark_view(spark, sf_dir, "providers").select("name", "src_ip", "tier")
+                  .unionByName(nations.select(F.col("n_name").alias("name"), idle.alias("src_ip"),
+                                              F.lit("free").alias("tier"))))
+    return dims.coverage(interest, registered, spark_view(spark, sf_dir, "arrivals"),
+                         spark_view(spark, sf_dir, "first_provider"))
 
 
 @query
@@ -356,9 +362,8 @@ def schedule_explode(spark, sf_dir):
 
 @query
 def schedule_check(spark, sf_dir):
-    key = F.col("o_orderkey")
-    gaps = (F.floor(key / F.lit(1000.0)) % 3 == 0) & (key % 97 == 5)
-    return dims.check_schedule(_schedule_responses(table(spark, sf_dir, "orders").filter(~gaps)))
+    """Responses in which the cheapest orders' slots have no leader."""
+    return dims.check_schedule(_schedule_responses(table(spark, sf_dir, "orders").filter("o_totalprice >= 1500")))
 
 
 @query
@@ -381,7 +386,7 @@ def leader_window(spark, sf_dir):
 
 @query
 def leader_names(spark, sf_dir):
-    names = (table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0")
+    names = (table(spark, sf_dir, "customer").filter("c_acctbal > 0")
              .select(_named("val-", "c_custkey").alias("leader"), F.col("c_name").alias("name")))
     return dims.leader_names(spark_view(spark, sf_dir, "schedule"), names)
 
@@ -390,12 +395,12 @@ def leader_names(spark, sf_dir):
 def rule_match(spark, sf_dir):
     providers = spark_view(spark, sf_dir, "providers")
     number = F.col("updated_at")
-    by_ip = providers.filter(number % 4 != 0).select(
-        "name", F.col("src_ip").alias("ip"), F.when(number % 3 == 0, number % 10).alias("port"),
+    port_only = number % 4 == 0
+    rules = providers.select(
+        F.when(port_only, _named("port-", number)).otherwise(F.col("name")).alias("name"),
+        F.when(~port_only, F.col("src_ip")).alias("ip"),
+        F.when(port_only, number % 10 + 100).when(number % 3 == 0, number % 10).alias("port"),
         number.alias("rule_order"))
-    by_port = providers.filter(number % 4 == 0).select(
-        _named("port-", number).alias("name"), F.lit(None).cast("string").alias("ip"),
-        (number % 10 + 100).alias("port"), number.alias("rule_order"))
     traffic = (table(spark, sf_dir, "lineitem")
                .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
                .select(_ip().alias("src_ip"),
@@ -403,7 +408,7 @@ def rule_match(spark, sf_dir):
                        .otherwise(F.col("l_linenumber") + 100).alias("dst_port")))
     # Rules depend on (ip, port) only: count the traffic per pair, then match the pairs.
     pairs = traffic.groupBy("src_ip", "dst_port").agg(F.count("*").alias("datagrams"))
-    return dims.resolve_provider(pairs, by_ip.unionByName(by_port))
+    return dims.resolve_provider(pairs, rules)
 
 
 @query
@@ -446,13 +451,13 @@ def latest_snapshot(spark, sf_dir):
 @query
 def validator_dim(spark, sf_dir):
     suppliers = table(spark, sf_dir, "supplier")
-    report = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(
+    report = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(
         _named("val-", "c_custkey").alias("pubkey"), F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("client_type"), F.col("c_nationkey").cast("string").alias("version"),
         _named("dc-", "c_nationkey").alias("location"), F.floor(F.abs("c_acctbal")).cast("bigint").alias("stake"))
     pubkey = _named("val-", "s_suppkey").alias("pubkey")
-    gossip = suppliers.filter("s_suppkey % 3 = 0").select(pubkey, _ip().alias("gossip_ip"))
-    pings = suppliers.filter("s_suppkey % 5 = 0").select(pubkey, (F.col("s_acctbal") / 100).alias("ping_ms"))
+    gossip = suppliers.filter("s_acctbal > 2000").select(pubkey, _ip().alias("gossip_ip"))
+    pings = suppliers.filter("s_acctbal > 5000").select(pubkey, (F.col("s_acctbal") / 100).alias("ping_ms"))
     return dims.validator_dim(spark_view(spark, sf_dir, "schedule"), report, gossip, pings,
                               F.current_timestamp()).drop("updated_at")
 
@@ -478,8 +483,8 @@ def enriched_sources(spark, sf_dir):
     sources = suppliers.select(
         F.when(key % 3 == 0, F.concat(F.lit("fra-"), _ip()))
         .when(key % 3 == 1, _named("src-", "s_suppkey")).otherwise(_named("ny-", "s_suppkey")).alias("source"))
-    name_ip = suppliers.filter(key % 5 != 0).select(_named("src-", "s_suppkey").alias("name"), _ip().alias("ip"))
-    asn = (suppliers.filter(key % 7 != 0)
+    name_ip = suppliers.filter("s_acctbal > 0").select(_named("src-", "s_suppkey").alias("name"), _ip().alias("ip"))
+    asn = (suppliers.filter("s_acctbal < 8000")
            .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
            .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
            .select(_ip().alias("ip"), F.col("n_name").alias("org"),
@@ -515,11 +520,11 @@ def name_ip_map(spark, sf_dir):
 
 @query
 def replaced_epochs(spark, sf_dir):
-    """A schedule table after the second half of its epochs was replaced."""
+    """A schedule table after its epochs from the tenth on were replaced."""
     path = working_path(spark, "epochs")
     schedule = spark_view(spark, sf_dir, "schedule")
     writers.replace_epoch(schedule, path, 100)
-    newer = schedule.filter(F.floor(F.col("slot") / F.lit(100.0)) % 2 == 1)
+    newer = schedule.filter("slot >= 1000")
     writers.replace_epoch(newer.withColumn("leader", _named("new-", "leader")), path, 100)
     return spark.read.parquet(path).select("slot", "leader")
 

@@ -128,12 +128,14 @@ FROM counts LEFT JOIN names USING (src_ip)"""
 
 CHECKS["ip_coverage"] = check_ctes("first_provider", "providers", "arrivals") + """,
 interest AS (SELECT concat('group-', s_nationkey % 4) AS grp, concat('10.0.', s_nationkey, '.', s_suppkey) AS ip
-             FROM supplier),
+             FROM supplier UNION ALL SELECT concat('group-', n_regionkey), concat('10.1.0.', n_nationkey) FROM nation),
+registry AS (SELECT name, src_ip, tier FROM providers
+             UNION ALL SELECT n_name, concat('10.1.0.', n_nationkey), 'free' FROM nation),
 reg AS (SELECT src_ip AS ip, string_agg(DISTINCT name, ';' ORDER BY name) AS names,
                string_agg(DISTINCT tier, ';' ORDER BY tier) AS tiers,
-               bool_or(name IN (SELECT source FROM arrivals WHERE source <> 'src-3')) AS arrived
-        FROM providers GROUP BY src_ip),
-was AS (SELECT DISTINCT src_ip AS ip FROM first_provider WHERE hub = 'F')
+               bool_or(name IN (SELECT source FROM arrivals)) AS arrived
+        FROM registry GROUP BY src_ip),
+was AS (SELECT DISTINCT src_ip AS ip FROM first_provider)
 SELECT grp AS "group", i.ip, coalesce(names, '-') AS registered_as, coalesce(tiers, '-') AS tier,
        CASE WHEN arrived THEN 'yes' ELSE 'no' END AS arrivals_data,
        CASE WHEN w.ip IS NOT NULL THEN 'yes' ELSE 'no' END AS first_provider_data,
@@ -409,7 +411,7 @@ CHECKS["schedule_explode"] = "SELECT o_orderkey AS slot, concat('val-', o_custke
 CHECKS["schedule_check"] = """
 SELECT CAST(floor(o_orderkey / 1000) AS BIGINT) * 1000 AS first_slot, 1000 AS slots_in_epoch, count(*) AS placed,
        count(*) = 1000 AS complete
-FROM orders WHERE NOT (CAST(floor(o_orderkey / 1000) AS BIGINT) % 3 = 0 AND o_orderkey % 97 = 5) GROUP BY ALL"""
+FROM orders WHERE o_totalprice >= 1500 GROUP BY ALL"""
 
 CHECKS["epoch_completeness"] = check_ctes("schedule") + """
 SELECT CAST(floor(slot / 100) AS BIGINT) AS epoch, count(DISTINCT slot) AS placed, count(DISTINCT slot) = 100 AS complete
@@ -424,13 +426,13 @@ CHECKS["leader_window"] = check_ctes("schedule") + """
 SELECT slot, leader FROM schedule WHERE slot BETWEEN 1700 AND 3500"""
 CHECKS["leader_names"] = check_ctes("schedule") + """
 SELECT DISTINCT leader, c_name AS name FROM schedule JOIN customer ON leader = concat('val-', c_custkey)
-WHERE c_custkey % 3 <> 0"""
+WHERE c_acctbal > 0"""
 
 _RULES = check_ctes("providers") + """,
-rules AS (SELECT name, src_ip AS ip, CASE WHEN updated_at % 3 = 0 THEN updated_at % 10 END AS port,
-                 updated_at AS rule_order FROM providers WHERE updated_at % 4 <> 0
-          UNION ALL SELECT concat('port-', updated_at), NULL, 100 + updated_at % 10, updated_at FROM providers
-          WHERE updated_at % 4 = 0),
+rules AS (SELECT CASE WHEN updated_at % 4 = 0 THEN concat('port-', updated_at) ELSE name END AS name,
+                 CASE WHEN updated_at % 4 <> 0 THEN src_ip END AS ip,
+                 CASE WHEN updated_at % 4 = 0 THEN 100 + updated_at % 10 WHEN updated_at % 3 = 0 THEN updated_at % 10 END AS port,
+                 updated_at AS rule_order FROM providers),
 traffic AS (SELECT concat('10.0.', s_nationkey, '.', s_suppkey) AS src_ip,
                    CASE WHEN l_linenumber < 4 THEN s_suppkey % 10 ELSE 100 + l_linenumber END AS dst_port
             FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
@@ -468,9 +470,9 @@ WITH w AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day FROM o
 SELECT o_orderkey, o_custkey FROM w WHERE day = (SELECT max(day) FROM w)"""
 CHECKS["validator_dim"] = check_ctes("schedule") + """,
 report AS (SELECT concat('val-', c_custkey) AS pubkey, c_name AS name, c_mktsegment AS client_type, CAST(c_nationkey AS VARCHAR) AS version,
-                  concat('dc-', c_nationkey) AS location, CAST(floor(abs(c_acctbal)) AS BIGINT) AS stake FROM customer WHERE c_custkey % 2 = 0),
-gossip AS (SELECT concat('val-', s_suppkey) AS pubkey, concat('10.0.', s_nationkey, '.', s_suppkey) AS gossip_ip FROM supplier WHERE s_suppkey % 3 = 0),
-pings AS (SELECT concat('val-', s_suppkey) AS pubkey, s_acctbal / 100 AS ping_ms FROM supplier WHERE s_suppkey % 5 = 0)
+                  concat('dc-', c_nationkey) AS location, CAST(floor(abs(c_acctbal)) AS BIGINT) AS stake FROM customer WHERE c_acctbal > 0),
+gossip AS (SELECT concat('val-', s_suppkey) AS pubkey, concat('10.0.', s_nationkey, '.', s_suppkey) AS gossip_ip FROM supplier WHERE s_acctbal > 2000),
+pings AS (SELECT concat('val-', s_suppkey) AS pubkey, s_acctbal / 100 AS ping_ms FROM supplier WHERE s_acctbal > 5000)
 SELECT l.pubkey, name, client_type, version, location, stake, gossip_ip, ping_ms
 FROM (SELECT DISTINCT leader AS pubkey FROM schedule) l LEFT JOIN report USING (pubkey) LEFT JOIN gossip USING (pubkey) LEFT JOIN pings USING (pubkey)"""
 CHECKS["provider_pings"] = check_ctes("providers", "first_provider") + """,
@@ -486,12 +488,12 @@ UNION ALL SELECT concat('feed-', s_suppkey), concat('10.0.', s_nationkey, '.', s
 FROM supplier LEFT JOIN latest ON ip = concat('10.0.', s_nationkey, '.', s_suppkey)"""
 CHECKS["enriched_sources"] = """
 WITH src AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN concat('fra-10.0.', s_nationkey, '.', s_suppkey)
-                         WHEN s_suppkey % 3 = 1 THEN concat('src-', s_suppkey) ELSE concat('ny-', s_suppkey) END AS source, s_nationkey FROM supplier),
-ipd AS (SELECT source, CASE WHEN s_suppkey % 3 = 1 AND s_suppkey % 5 <> 0 THEN concat('10.0.', s_nationkey, '.', s_suppkey)
+                         WHEN s_suppkey % 3 = 1 THEN concat('src-', s_suppkey) ELSE concat('ny-', s_suppkey) END AS source, s_nationkey, s_acctbal FROM supplier),
+ipd AS (SELECT source, CASE WHEN s_suppkey % 3 = 1 AND s_acctbal > 0 THEN concat('10.0.', s_nationkey, '.', s_suppkey)
                             WHEN s_suppkey % 3 = 0 THEN concat('10.0.', s_nationkey, '.', s_suppkey) ELSE '' END AS src_ip FROM src),
 asn AS (SELECT concat('10.0.', s_nationkey, '.', s_suppkey) AS ip, n_name AS org,
                CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('city', s_suppkey) END AS city, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE r_name END AS country
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 7 <> 0)
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal < 8000)
 SELECT source, src_ip, coalesce(org, '') AS asn_dc,
        coalesce(trim(concat(city, ', ', country), ', '), '') AS dc_location FROM ipd LEFT JOIN asn ON ip = src_ip"""
 
@@ -503,7 +505,7 @@ FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 10
 CHECKS["name_ip_map"] = """
 SELECT concat('src-', s_suppkey) AS name, concat('10.0.', s_nationkey, '.', s_suppkey) AS ip FROM supplier"""
 CHECKS["replaced_epochs"] = check_ctes("schedule") + """
-SELECT slot, CASE WHEN CAST(floor(slot / 100) AS BIGINT) % 2 = 1 THEN concat('new-', leader) ELSE leader END AS leader
+SELECT slot, CASE WHEN slot >= 1000 THEN concat('new-', leader) ELSE leader END AS leader
 FROM schedule"""
 CHECKS["set_stats_table"] = _LIVE + """
 SELECT provider, count(*) AS sets, CAST(sum(missed_shreds) AS BIGINT) AS missed, count(*) FILTER (WHERE is_valid) AS valid

@@ -72,8 +72,8 @@ FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 52 <> 0""",),
     # Which leader identities belong to which source brand.
     "leader_brands": ("""
 SELECT DISTINCT concat('val-', c_custkey % 60) AS leader,
-       concat('src-', (c_custkey % 60) % 8) AS brand
-FROM customer WHERE c_custkey % 60 < 24""",),
+       CASE WHEN c_custkey % 60 < 24 THEN concat('src-', (c_custkey % 60) % 8) END AS brand
+FROM customer""",),
     "shreds": (_SHREDS,),
     "txn_events": ("""
 SELECT concat(user_id % 10, '-', CAST(floor(<US> / 21600000000) AS BIGINT)) AS signature,
