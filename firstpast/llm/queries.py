@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firstpast.llm import compression_bands, pivot_simhash
+from firstpast.llm import backtrack_bpe, compression_bands, ga_packing, pivot_simhash
 from firstpast.llm.common import texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,12 +18,24 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op3_backtrack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    return backtrack_bpe.digests(texts(spark, sf_dir))
+
+
 @query
 def op7_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return pivot_simhash.near_duplicates(texts(spark, sf_dir))
 
 
+@query
+def op8_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of every document."""
+    return ga_packing.pack(texts(spark, sf_dir))
+
+
 @query
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures and verdict of every document."""
