@@ -25,6 +25,14 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(column: str, parts: int) -> Column:
     """``crc32`` of the value as text, modulo ``parts``; NULL ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts

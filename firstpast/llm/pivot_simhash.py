@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firstpast.llm.common import components, per_text
+from firstpast.llm.common import components, per_text, unused
 from firstpast.session import materialize
 
 RADIUS = 3
@@ -182,6 +182,7 @@ def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     Only the rows that hold their component's key move; rows that repeat that
     key leave one of them.
     """
-    found = near_duplicates(docs, text, key).select(F.col(key).alias("_key"), "component_id").distinct()
-    kept = found.where(F.col("_key").eqNullSafe(F.col("component_id"))).select("_key").distinct()
-    return docs.join(kept, docs[key].eqNullSafe(F.col("_key")), "left_semi").dropDuplicates([key])
+    found = near_duplicates(docs, text, key)
+    name = unused(docs, "kept_key")
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(name)).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col(name)), "left_semi").dropDuplicates([key])

@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from firstpast.llm import backtrack_bpe, compression_bands, ga_packing, pivot_simhash
-from firstpast.llm.common import texts
+from firstpast.llm import (
+    backtrack_bpe,
+    blob_ledger,
+    boosted_pii,
+    bradley_terry,
+    compression_bands,
+    context_tree,
+    ga_packing,
+    pivot_simhash,
+    projection_forest,
+    schema_chat,
+)
+from firstpast.llm.common import table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -18,12 +30,45 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels outside the held-out fold."""
+    return bradley_terry.scored(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of every vector whose id is divisible by 50."""
+    return projection_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op3_backtrack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return backtrack_bpe.digests(texts(spark, sf_dir))
 
 
+@query
+def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, each distinct text scanned once."""
+    return blob_ledger.report(texts(spark, sf_dir))
+
+
+CHECKS["op4_blob_ledger"] = blob_ledger.check_sql()
+
+
+@query
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log-probability of every document, learned outside the held-out fold."""
+    return context_tree.scores(texts(spark, sf_dir))
+
+
+@query
+def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return boosted_pii.report(texts(spark, sf_dir))
+
+
 @query
 def op7_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
@@ -36,6 +81,17 @@ def op8_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ga_packing.pack(texts(spark, sf_dir))
 
 
+# A conversation whose texts hold control strings.
+CONTROL = "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+
+
+@query
+def op9_schema_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every conversation's formatted text says when read back."""
+    turns = schema_chat.turn_table(table(spark, sf_dir, "conversations"))
+    return schema_chat.digests(turns.unionByName(spark.sql(CONTROL)))
+
+
 @query
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures and verdict of every document."""
