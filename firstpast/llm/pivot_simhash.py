@@ -29,7 +29,7 @@ id, and a component of NULL ids alone has the id NULL.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +59,7 @@ def fingerprint(text: str, hashes_at_once: int = 8192) -> int:
     of = xxhash.xxh64_intdigest
     ones, total = np.zeros(64, np.int64), max(1, len(words) - SHINGLE + 1)
     for _ in range(0, total, hashes_at_once):
-        some = np.fromiter((of(b" ".join(s), SEED) for s, _ in zip(shingles, range(hashes_at_once))), np.uint64)
+        some = np.fromiter((of(b" ".join(s), SEED) for s in islice(shingles, hashes_at_once)), np.uint64)
         ones += np.unpackbits(some.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, np.int64)
     bits = np.packbits((2 * ones > total), bitorder="little")
     return int(bits.view("<i8")[0])
