@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstpast.llm.common import per_text, slices
+from firstpast.llm.common import hashed_sample, per_text, slices
 
 # Texts that the trees are fitted on, at most.
 SAMPLE = 1500
@@ -332,12 +332,11 @@ def examples(texts: list[str], seed: int = 7) -> tuple[list[list[float]], list[s
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """Trees and thresholds from the ``sample`` texts with digits or a sign whose hashes are smallest.
+    """Trees and thresholds from about ``sample`` texts with digits or a sign, chosen by hash.
 
     Examples are made in the task that holds the sample; at most ``EXAMPLES`` of them come back.
     """
-    some = (docs.where(F.col(text).rlike("[0-9]{3}|@")).select(F.col(text).alias("said"))
-            .orderBy(F.xxhash64("said")).limit(sample))
+    some = hashed_sample(docs.where(F.col(text).rlike("[0-9]{3}|@")).select(text), sample, text)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -6,7 +6,7 @@ the difference of the two feature rows, without an intercept, as only difference
 quantile of the training scores at which both labels are told apart best (balanced accuracy); reported
 scores are probabilities with ``ACCEPTED`` at that quantile.
 
-The labelled rows fitted on are at most ``PER_LABEL`` of each label, those whose ids hash smallest; only their
+The labelled rows fitted on are about ``PER_LABEL`` of each label (never twice as many), chosen by hash; only their
 features come to the driver. Scoring is done in the tasks that read the texts.
 
 Defined cases: NULL and empty texts have the features of the empty text; labels other than 0 and 1 and those of
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstpast.llm.common import filter_texts, fold, per_text, slices
+from firstpast.llm.common import filter_texts, fold, hashed_sample, per_text, slices
 
 PER_LABEL = 4000
 PAIRS = 40_000
@@ -139,8 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         per_label: int = PER_LABEL) -> Model:
     """A model of the labels; held-out ids are not learned from."""
     known = labels.where(F.col(key).isNotNull() & (fold(key, FOLDS) != HELD)).select(key, F.col(label).alias("label"))
-    some = [known.where(F.col("label") == k).distinct().orderBy(F.xxhash64(key), key).limit(per_label) for k in (0, 1)]
-    # At most 2 * per_label ids and labels.
+    some = [hashed_sample(known.where(F.col("label") == k).distinct(), per_label, key) for k in (0, 1)]
+    # At most 4 * per_label ids and labels.
     chosen = some[0].union(some[1])
     rows = docs.select(key, text).join(F.broadcast(chosen), key).select("label", text)
 

@@ -38,6 +38,14 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def hashed_sample(df: DataFrame, rows: int, *keys: str, of: int | None = None) -> DataFrame:
+    """About ``rows`` rows, twice as many at most, those whose keys hash lowest; ``of``: how many rows ``df`` has."""
+    of = df.count() if of is None else of
+    wide = 1 << 40
+    share = wide if of <= rows else int(wide * rows / of)
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(wide)) < share).limit(2 * rows)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: random-projection trees searched through one queue, exact reranking.
 
 A tree splits by hyperplanes between the means of two halves of the vectors at a node, found on a
-sample of at most ``SAMPLE`` vectors; every vector is then sent down all trees. Where
+sample of about ``SAMPLE`` vectors, never twice as many; every vector is then sent down all trees. Where
 leaves of the sample's trees would hold more than ``LEAF_ROWS`` vectors of the table,
 they are split on by random hyperplanes through the leaf's mean, as many levels as the table's
 size asks for, so that a leaf's size does not grow with the table.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firstpast.llm.common import slices
+from firstpast.llm.common import hashed_sample, slices
 from firstpast.session import materialize
 
 NEAREST = 5
@@ -150,8 +150,8 @@ def opened(trees: list[Tree], query: np.ndarray, leaves: int) -> list[tuple[int,
 
 
 def fit(vectors: DataFrame, rows: int) -> list[Tree]:
-    """Trees on the vectors whose ids hash smallest; ``rows`` is how many vectors there are in all."""
-    some = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
+    """Trees on about ``SAMPLE`` vectors chosen by hash; ``rows`` is how many vectors there are in all."""
+    some = hashed_sample(vectors, SAMPLE, "id", of=rows).select("vector").collect()
     widths = [len(r.vector) for r in some]
     if not widths:
         return []
