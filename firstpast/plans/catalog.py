@@ -16,7 +16,7 @@ from firstpast.plans import checks, reports
 from firstpast.plans.views import scan, spark_view
 from firstpast.session import configure, working_path
 from firstpast.sources import readers, writers
-from firstpast.streaming import eager, sinks, slots
+from firstpast.streaming import closing, eager, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -362,8 +362,7 @@ def schedule_explode(spark, sf_dir):
 
 @query
 def schedule_check(spark, sf_dir):
-    """Responses in which the cheapest orders' slots have no leader."""
-    return dims.check_schedule(_schedule_responses(table(spark, sf_dir, "orders").filter("o_totalprice >= 1500")))
+    return dims.check_schedule(_schedule_responses(table(spark, sf_dir, "orders")))
 
 
 @query
@@ -386,8 +385,8 @@ def leader_window(spark, sf_dir):
 
 @query
 def leader_names(spark, sf_dir):
-    names = (table(spark, sf_dir, "customer").filter("c_acctbal > 0")
-             .select(_named("val-", "c_custkey").alias("leader"), F.col("c_name").alias("name")))
+    names = table(spark, sf_dir, "customer").select(
+        _named("val-", "c_custkey").alias("leader"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("name"))
     return dims.leader_names(spark_view(spark, sf_dir, "schedule"), names)
 
 
@@ -451,13 +450,14 @@ def latest_snapshot(spark, sf_dir):
 @query
 def validator_dim(spark, sf_dir):
     suppliers = table(spark, sf_dir, "supplier")
-    report = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(
-        _named("val-", "c_custkey").alias("pubkey"), F.col("c_name").alias("name"),
+    report = table(spark, sf_dir, "customer").select(
+        _named("val-", "c_custkey").alias("pubkey"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("name"),
         F.col("c_mktsegment").alias("client_type"), F.col("c_nationkey").cast("string").alias("version"),
         _named("dc-", "c_nationkey").alias("location"), F.floor(F.abs("c_acctbal")).cast("bigint").alias("stake"))
     pubkey = _named("val-", "s_suppkey").alias("pubkey")
-    gossip = suppliers.filter("s_acctbal > 2000").select(pubkey, _ip().alias("gossip_ip"))
-    pings = suppliers.filter("s_acctbal > 5000").select(pubkey, (F.col("s_acctbal") / 100).alias("ping_ms"))
+    balance = F.col("s_acctbal")
+    gossip = suppliers.select(pubkey, F.when(balance > 2000, _ip()).alias("gossip_ip"))
+    pings = suppliers.select(pubkey, F.when(balance > 5000, balance / 100).alias("ping_ms"))
     return dims.validator_dim(spark_view(spark, sf_dir, "schedule"), report, gossip, pings,
                               F.current_timestamp()).drop("updated_at")
 
@@ -699,37 +699,53 @@ def manifest(spark, sf_dir):
 
 # -- streams -------------------------------------------------------------------
 
-def _in_parts(df: DataFrame, name: str, wait: int, run: Callable[[DataFrame], StreamingQuery],
-              parts: int = 3) -> None:
-    """Land a table for a stream in slot order and let the stream catch up after every part.
+def part_of(slot: Column, low: int, high: int, parts: int = 3) -> Column:
+    """Which of so many equal parts of [low, high] a slot falls into."""
+    part = F.floor((slot - low) * parts / F.lit(float(high - low + 1))).cast("bigint")
+    return F.least(F.greatest(part, F.lit(0).cast("bigint")), F.lit(parts - 1).cast("bigint"))
 
-    Each part is written by many tasks and only the order of the parts matters. The
-    last part also holds one row far ahead, which closes every slot. The stream is
-    stopped and resumed from its checkpoint between parts.
+
+def in_parts(df: DataFrame, spread: int, *by: str, parts: int = 3) -> list[DataFrame]:
+    """A table cut by slot into the batches of a stream.
+
+    A row may come as late as if its slot were up to ``spread`` later, by the hash of its columns ``by`` (none: all), so
+    what belongs to one slot near a border lies in two batches.
+    """
+    low, high = df.agg(F.min("slot"), F.max("slot")).first()
+    if low is None:
+        return [df]
+    late = F.pmod(F.xxhash64(*(by or df.columns)), F.lit(spread + 1))
+    part = part_of(F.col("slot") + late, low, high, parts)
+    return [df.filter(part == k) for k in range(parts)]
+
+
+def _fed(parts: list[DataFrame], name: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Land the parts for a stream, one after the other, and let the stream catch up after every one.
+
+    The stream is stopped and resumed from its checkpoint between parts.
     """
-    spark = df.sparkSession
+    spark = parts[0].sparkSession
     path = working_path(spark, name)
-    top = df.agg(F.max("slot")).first()[0]
-    step = top // parts + 1
-    fill = {"bigint": F.lit(top + wait + 1), "string": F.lit("")}
-    closing = [fill.get(f.dataType.simpleString(), F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]
-    for part in range(parts):
-        df.filter(F.col("slot").between(part * step, (part + 1) * step - 1)).write.mode("append").parquet(path)
-        if part == parts - 1:
-            spark.range(1).select(*closing).write.mode("append").parquet(path)
-        stream_query = run(sinks.read_landed(spark, path, df.schema))
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        stream_query = run(sinks.read_landed(spark, path, parts[0].schema))
         stream_query.awaitTermination()
         if stream_query.exception() is not None:
             raise stream_query.exception()
 
 
+def _streamed_sets(spark: SparkSession, parts: list[DataFrame]) -> tuple[DataFrame, int]:
+    """Set rows of a stream of these parts, drained, and the number of its late packets."""
+    out, state = working_path(spark, "set-rows"), working_path(spark, "state")
+    _fed(parts, "packets", lambda s: closing.set_rows_stream(s, out, state))
+    closing.drain_set_rows(spark, parts[0].schema, out, state)
+    return spark.read.parquet(out).drop("batch", "leader"), closing.late_packets(spark, f"{state}-store")
+
+
 @query
 def stream_set_rows(spark, sf_dir):
-    """Set rows of a packet stream, closed by the slot watermark."""
-    shreds = _shreds(spark, sf_dir).withColumn("leader", F.lit(None).cast("string"))
-    out, state = working_path(spark, "set-rows"), working_path(spark, "state")
-    _in_parts(shreds, "packets", slots.WAIT_SLOTS, lambda s: slots.set_rows_stream(s, out, state))
-    rows = spark.read.parquet(out).drop("batch", "leader")
+    """Set rows of a packet stream, each slot closed by the accepted packets of later ones, the rest drained."""
+    rows, _ = _streamed_sets(spark, in_parts(_shreds(spark, sf_dir), closing.WAIT_SLOTS - 1))
     return rows.join(spark_view(spark, sf_dir, "schedule"), "slot", "left")
 
 
@@ -739,12 +755,36 @@ def stream_scoreboard(spark, sf_dir):
     return sets.contested_scoreboard(stream_set_rows(spark, sf_dir))
 
 
+@query
+def stream_forged_slots(spark, sf_dir):
+    """Set rows of a stream whose failing packets are all copied to slots a million ahead; none closes a slot early."""
+    shreds = _shreds(spark, sf_dir)
+    forged = shreds.filter(sets.acceptance() == "bad").withColumn("slot", F.col("slot") + 1_000_000)
+    low, high = shreds.agg(F.min("slot"), F.max("slot")).first()
+    part = part_of(F.pmod("slot", F.lit(1_000_000)), low, high)
+    both = shreds.unionByName(forged)
+    rows, _ = _streamed_sets(spark, [both.filter(part == k) for k in range(3)])
+    return rows
+
+
+@query
+def stream_late_packets(spark, sf_dir):
+    """Packets counted as late when every fiftieth of the first two parts comes with the third."""
+    shreds = _shreds(spark, sf_dir)
+    low, high = shreds.agg(F.min("slot"), F.max("slot")).first()
+    held = F.col("rx_ns") % 50 == 0
+    part = F.when(held, 2).otherwise(part_of(F.col("slot"), low, high))
+    _, late = _streamed_sets(spark, [shreds.filter(part == k) for k in range(3)])
+    return spark.range(1).select(F.lit(late).cast("bigint").alias("late"))
+
+
 @query
 def stream_txn_race(spark, sf_dir):
-    """Transaction race over a stream of sightings, retired by the slot watermark."""
+    """Transaction race over a stream of sightings, retired behind the tip, the rest drained."""
     out, state = working_path(spark, "raced"), working_path(spark, "state")
-    _in_parts(spark_view(spark, sf_dir, "txn_events"), "sightings", slots.RETIRE_SLOTS,
-              lambda s: slots.txn_race_stream(s, out, state))
+    _fed(in_parts(spark_view(spark, sf_dir, "txn_events"), closing.RETIRE_SLOTS - 1), "sightings",
+         lambda s: closing.txn_race_stream(s, out, state))
+    closing.drain_txn_race(spark, out, state)
     return txns.totals_of(spark.read.parquet(out))
 
 
@@ -753,8 +793,9 @@ def stream_eager_ranges(spark, sf_dir):
     """Completed ranges of a packet stream, each emitted once by the batch that fills it."""
     out, state, store = (working_path(spark, n) for n in ("ranges", "state", "indices"))
     emit = eager.eager_ranges(store, out)
-    _in_parts(spark_view(spark, sf_dir, "range_shreds"), "range-packets", 0,
-              lambda s: sinks.start(s.filter("provider <> ''"), emit, state))
+    # Copies of an index come together: a range is emitted when it fills, whatever copy comes afterwards.
+    parts = in_parts(spark_view(spark, sf_dir, "range_shreds"), 50, "provider", "slot", "shred_index")
+    _fed(parts, "range-packets", lambda s: sinks.start(s, emit, state))
     return spark.read.parquet(out).drop("batch")
 
 
@@ -763,8 +804,7 @@ def stream_throttle(spark, sf_dir):
     """Throttled triggers of a stream, the last action of each source carried across batches."""
     out, state = working_path(spark, "actions"), working_path(spark, "state")
     act = eager.throttled(out, "source", "ns", 600_000_000_000, 1_704_067_200_000_000_000)
-    _in_parts(spark_view(spark, sf_dir, "txn_events"), "triggers", 0,
-              lambda s: sinks.start(s.filter("source <> ''"), act, state))
+    _fed(in_parts(spark_view(spark, sf_dir, "txn_events"), 0), "triggers", lambda s: sinks.start(s, act, state))
     return spark.read.parquet(out).drop("batch")
 
 
@@ -774,6 +814,5 @@ def stream_leaders(spark, sf_dir):
     out, state, schedule = (working_path(spark, n) for n in ("enriched", "state", "schedule"))
     spark_view(spark, sf_dir, "schedule").write.parquet(schedule)
     attach = eager.enriched(out, schedule)
-    _in_parts(_shreds(spark, sf_dir).select("provider", "slot"), "packets", 0,
-              lambda s: sinks.start(s.filter("provider <> ''"), attach, state))
+    _fed(in_parts(_shreds(spark, sf_dir).select("provider", "slot"), 9), "packets", lambda s: sinks.start(s, attach, state))
     return spark.read.parquet(out).groupBy("provider", "leader").agg(F.count("*").alias("packets"))

@@ -65,10 +65,14 @@ FROM (""" + _ARRIVALS + """) a LEFT JOIN (
   FROM (""" + _ARRIVALS + """) x WHERE source = 'src-0'
   GROUP BY hub, slot, fec_set_index) b
 ON a.hub = b.hub AND a.slot = b.slot AND a.fec_set_index = b.fec_set_index""",),
+    # The leader of a slot's first order; a slot whose first order is of low priority has none.
     "schedule": ("""
-SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS slot,
-       concat('val-', o_custkey % 60) AS leader
-FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 52 <> 0""",),
+SELECT slot, leader FROM (
+  SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS slot,
+         CASE WHEN min_by(o_orderpriority, o_orderkey) <> '5-LOW'
+              THEN concat('val-', min_by(o_custkey % 60, o_orderkey)) END AS leader
+  FROM orders GROUP BY CAST(floor(o_orderkey / 4) AS BIGINT)) led
+WHERE leader IS NOT NULL""",),
     # Which leader identities belong to which source brand.
     "leader_brands": ("""
 SELECT DISTINCT concat('val-', c_custkey % 60) AS leader,
@@ -104,8 +108,9 @@ SELECT concat('tx-', l_orderkey, '-', l_linenumber) AS signature,
 FROM lineitem"""),
     "providers": ("""
 SELECT concat('src-', s_suppkey % 8) AS name, concat('10.0.', s_nationkey, '.', s_suppkey) AS src_ip,
-       CASE WHEN s_acctbal > 0 THEN 'paid' ELSE 'free' END AS tier, s_suppkey AS updated_at
-FROM supplier WHERE s_suppkey % 5 <> 0""",),
+       CASE WHEN s_acctbal > 5000 THEN 'paid' WHEN s_acctbal > 0 THEN 'free' ELSE 'unregistered' END AS tier,
+       s_suppkey AS updated_at
+FROM supplier""",),
     "first_provider": ("""
 SELECT l_linestatus AS hub, concat('10.0.', s_nationkey, '.', s_suppkey) AS src_ip, l_shipdate AS t
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",),
@@ -113,13 +118,8 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",),
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; one that comes in fewer files than there are cores is spread over them.
-
-    A table of many files is read as it lies, without the extra exchange.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
+    """A test table, as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,21 +7,13 @@ it saw the first time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from firstpast.operators import ranges, txns
-from firstpast.streaming.sinks import BatchFunction, write_batch
-
-
-def earlier_batches(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows of the batches before ``batch_id``; none if there was no batch yet."""
-    context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(context._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    return (spark.read.schema(f"{schema}, batch bigint").parquet(path)
-            .filter(F.col("batch") < batch_id).drop("batch"))
+from firstpast.streaming.closing import land, landed
+from firstpast.streaming.sinks import BatchFunction, batches, write_batch
 
 
 _INDEX = "provider string, slot bigint, shred_index bigint, rx_ns bigint, data_complete boolean"
@@ -31,31 +23,43 @@ _RANGE = "provider string, slot bigint, range_start bigint, range_end bigint, pa
 def eager_ranges(store: str, out: str) -> BatchFunction:
     """Emit every completed range once, in the batch that fills it.
 
-    Only slots touched by the batch are looked at again. A range is contiguous, so
+    Only slots touched by the batch are looked at again: indices and emitted ranges lie in folders by bucket of
+    slots, and the buckets between the batch's lowest and highest slot are read. A range is contiguous, so
     no boundary inside it can still turn up: a completed range is final.
     """
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_batch(ranges.distinct_indices(batch).select("provider", "slot", "shred_index", "rx_ns", "data_complete"),
-                    store, batch_id)
-        stored = earlier_batches(spark, store, _INDEX, batch_id + 1)
-        touched = (spark.read.schema(_INDEX).parquet(f"{store}/batch={batch_id}")
-                   .select("provider", "slot").distinct())
+        seen = Observation()
+        indices = ranges.distinct_indices(batch.observe(seen, F.min("slot").alias("low"), F.max("slot").alias("high")))
+        land(indices.select("provider", "slot", "shred_index", "rx_ns", "data_complete"), store, batch_id)
+        low, high = seen.get["low"], seen.get["high"]
+        if low is None:
+            return
+        stored = landed(spark, store, StructType.fromDDL(_INDEX), batch_id, low - 1, high)
+        touched = indices.select("provider", "slot").distinct()
         filled = ranges.completed_ranges(stored.join(touched, ["provider", "slot"], "left_semi"))
-        emitted = earlier_batches(spark, out, _RANGE, batch_id)
+        emitted_store = f"{store}-emitted"
+        land(spark.createDataFrame([], _RANGE), emitted_store, -1)  # so that there is a table to read
+        emitted = landed(spark, emitted_store, StructType.fromDDL(_RANGE), batch_id - 1, low - 1, high)
         write_batch(filled.join(emitted, ["provider", "slot", "range_end"], "left_anti")
                     .select("provider", "slot", "range_start", "range_end", "packets", "ready_ns"), out, batch_id)
+        land(spark.read.schema(_RANGE).parquet(f"{out}/batch={batch_id}"), emitted_store, batch_id)
 
     return process
 
 
 def throttled(out: str, key: str, time: str, gap: int, start: int = 0) -> BatchFunction:
-    """Act at most once per ``gap`` and key; the last action of each key is read from ``out``."""
+    """Act at most once per ``gap`` and key. The last action of each key is one row, written anew by every batch."""
     def process(batch: DataFrame, batch_id: int) -> None:
-        key_type = batch.schema[key].dataType.simpleString()
-        acted = earlier_batches(batch.sparkSession, out, f"`{key}` {key_type}, `{time}` bigint", batch_id)
-        last = acted.groupBy(key).agg(F.max(time).alias("last_at"))
+        spark = batch.sparkSession
+        kind = batch.schema[key].dataType.simpleString()
+        state = f"`{key}` {kind}, last_at bigint"
+        last = batches(spark, f"{out}-last", state).filter(F.col("batch") == batch_id - 1).drop("batch")
         write_batch(txns.throttle(batch, key, time, gap, start, last), out, batch_id)
+        acted = spark.read.schema(f"`{key}` {kind}, `{time}` bigint").parquet(f"{out}/batch={batch_id}")
+        now = acted.select(key, F.col(time).alias("last_at")).unionByName(last)
+        (now.groupBy(key).agg(F.max("last_at").alias("last_at")).write.mode("overwrite")
+         .parquet(f"{out}-last/batch={batch_id}"))
 
     return process
 

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-from firstpast.session import shared_dir
-
 BatchFunction = Callable[[DataFrame, int], None]
 
 
@@ -60,9 +58,20 @@ def start(stream: DataFrame, write: BatchFunction, checkpoint: str, every: str |
     return writer.start()
 
 
-def checkpoint_for(spark: SparkSession, name: str) -> str:
-    """Checkpoint location of a named query in the shared folder."""
-    return f"{shared_dir(spark)}/streams/{name}"
+def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows of a table that batches write, with their ``batch``; a table not yet written has none."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+    return spark.read.schema(f"{schema}, batch bigint").parquet(path)
+
+
+def earlier_batches(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """Rows of the batches before ``batch_id``."""
+    return batches(spark, path, schema).filter(F.col("batch") < batch_id).drop("batch")
+
+
+def last_batch(spark: SparkSession, path: str, schema: str) -> int | None:
+    """The number of the last batch that wrote rows."""
+    return batches(spark, path, schema).agg(F.max("batch")).first()[0]
 
 
 def rotated_sink(path: str, rotate_secs: int, rx_ns: str = "first_ns") -> BatchFunction:

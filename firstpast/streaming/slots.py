@@ -1,23 +1,16 @@
-"""Item-number watermarks: a slot closes when later slots have been seen.
+"""Streams that keep their state in Spark: settled slots, first sightings, static enrichment.
 
-One slot is one second of event time, so Spark's watermark counts slots. All rows
-of a slot close in the same micro-batch, which is why the closed rows can be
-handed to the batch operators as they are.
+One slot is one second of event time where a watermark counts slots. Slots are closed by accepted
+packets only, see ``closing``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 
-from firstpast.operators import sets, txns
 from firstpast.operators.dims import plausible_range
-from firstpast.streaming import sinks
-
-# Fixed values.
-WAIT_SLOTS = 10
-RETIRE_SLOTS = 64
+from firstpast.streaming.closing import plausible
 
 
 def with_slot_time(stream: DataFrame, delay_slots: int) -> DataFrame:
@@ -25,77 +18,17 @@ def with_slot_time(stream: DataFrame, delay_slots: int) -> DataFrame:
             .withWatermark("slot_time", f"{delay_slots} seconds"))
 
 
-def slot_window() -> Column:
-    return F.window("slot_time", "1 second").alias("slot_window")
-
-
 def guard_slots(stream: DataFrame, first_slot: int | None = None, epoch_slots: int = 0) -> DataFrame:
     """Drop slots that cannot be real before they reach the watermark.
 
     Spark's watermark moves with every row, so a forged slot must not get there;
     with a schedule only slots around its epoch pass.
     """
-    plausible = (F.col("slot") >= 0) & (F.col("slot") < sets.MAX_PLAUSIBLE_SLOT)
+    possible = plausible()
     if first_slot is not None:
         low, high = plausible_range(first_slot, epoch_slots)
-        plausible = plausible & (F.col("slot") >= low) & (F.col("slot") < high)
-    return stream.filter(plausible)
-
-
-def closed_payloads(packets: DataFrame, wait: int = WAIT_SLOTS) -> DataFrame:
-    """Distinct payloads of slots at or below (highest slot - ``wait``), each slot once.
-
-    Packets for a closed slot are dropped and show up in ``late_rows``.
-    """
-    timed = with_slot_time(guard_slots(packets), wait - 1)
-    return (sets.dedup_payload(timed, slot_window())
-            .withColumn("verdict", sets.acceptance()))
-
-
-def set_rows_stream(packets: DataFrame, out: str, checkpoint: str, wait: int = WAIT_SLOTS,
-                    every: str | None = None) -> StreamingQuery:
-    """Write the result rows of every closed slot to ``out``.
-
-    The state holds distinct payloads of open slots only. Failures are matched with
-    the truth when their slot closes, when the authentic copy can no longer come.
-    """
-    def write(closed: DataFrame, batch_id: int) -> None:
-        # Three branches of the set rows read these payloads.
-        distinct = closed.persist()
-        try:
-            sinks.write_batch(sets.rows_of_distinct(distinct), out, batch_id)
-        finally:
-            distinct.unpersist()
-
-    return sinks.start(closed_payloads(packets, wait), write, checkpoint, every)
-
-
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped because their slot was closed.
-
-    Spark counts them after partial aggregation: copies of one payload in one
-    micro-batch count once.
-    """
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
-
-
-def closed_sightings(events: DataFrame, retire: int = RETIRE_SLOTS) -> DataFrame:
-    """First sighting per (signature, source) of slots more than ``retire`` behind the tip."""
-    return (with_slot_time(guard_slots(events), retire)
-            .groupBy(slot_window(), "slot", "signature", "source").agg(F.min("ns").alias("ns")))
-
-
-def txn_race_stream(events: DataFrame, out: str, checkpoint: str, retire: int = RETIRE_SLOTS,
-                    every: str | None = None) -> StreamingQuery:
-    """Write the scored sightings of retired signatures to ``out``.
-
-    Totals and percentiles are taken over the written table (``txns.totals_of``), so
-    they cover the whole run.
-    """
-    def write(closed: DataFrame, batch_id: int) -> None:
-        sinks.write_batch(txns.raced_signatures(closed), out, batch_id)
-
-    return sinks.start(closed_sightings(events, retire), write, checkpoint, every)
+        possible = possible & (F.col("slot") >= low) & (F.col("slot") < high)
+    return stream.filter(possible)
 
 
 def settled_slots(packets: DataFrame, quiet_secs: int = 1) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from firstpast.operators.sets import anchored_set_stats
+from firstpast.streaming.closing import landed
 from firstpast.streaming.sinks import BatchFunction, write_batch
 from firstpast.streaming.slots import guard_slots
 
@@ -119,14 +120,17 @@ def set_stats_sink(packets_path: str, packet_schema: StructType, out: str, basel
                    version: int | None = None) -> BatchFunction:
     """A batch function for closed sets: their statistics, from their landed packets.
 
-    ``packets_path`` is the landing directory the stream itself reads, listed anew for
-    every batch.
+    ``packets_path`` holds packets by batch and bucket of slots (``closing.land``); the buckets between the lowest
+    and the highest closed slot are read.
     """
     def write(closed: DataFrame, batch_id: int) -> None:
-        packets = closed.sparkSession.read.schema(packet_schema).parquet(packets_path)
         # Read by two branches of the statistics; the state store should answer once.
         keys = closed.select("slot", "fec_set_index").persist()
         try:
+            low, high = keys.agg(F.min("slot"), F.max("slot")).first()
+            if low is None:
+                return
+            packets = landed(closed.sparkSession, packets_path, packet_schema, 1 << 62, low - 1, high)
             of_closed = packets.join(keys, ["slot", "fec_set_index"], "left_semi")
             write_batch(anchored_set_stats(of_closed, baseline, version), out, batch_id)
         finally:

@@ -1,6 +1,7 @@
 """Streams: when a slot closes, what is late, timeouts, and equality with batch."""
 
 import time
+from glob import glob
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from test_sets import shred
 
 from firstpast import schema
 from firstpast.operators import sets, txns
-from firstpast.streaming import eager, sinks, slots, timeouts
+from firstpast.plans import catalog
+from firstpast.streaming import closing, eager, sinks, slots, timeouts
 
 
 class Feed:
@@ -32,10 +34,17 @@ class Feed:
 
 @pytest.fixture
 def sets_feed(spark, tmp_path):
-    return Feed(spark, tmp_path, schema.of("shreds"), slots.set_rows_stream)
+    return Feed(spark, tmp_path, schema.of("shreds"), closing.set_rows_stream)
+
+
+def drained(feed):
+    closing.drain_set_rows(feed.spark, feed.schema, feed.out, feed.state)
+    return feed.rows()
 
 
 def emitted(feed):
+    if not glob(feed.out + "/batch=*"):
+        return []
     return sorted(r.slot for r in feed.rows().collect())
 
 
@@ -51,8 +60,8 @@ def test_stragglers_are_counted_and_open_no_second_row(sets_feed):
     sets_feed.send([shred(slot=100, complete=True)])
     sets_feed.send([shred(slot=200)])
     assert emitted(sets_feed) == [100]
-    query = sets_feed.send([shred(slot=100, pos=1, rx=5000)])
-    assert slots.late_rows(query) == 1
+    sets_feed.send([shred(slot=100, pos=1, rx=5000)] * 3 + [shred(slot=190)])
+    assert closing.late_packets(sets_feed.spark, f"{sets_feed.state}-store") == 4  # every copy, and the cutoff itself
     sets_feed.send([shred(slot=300)])
     assert emitted(sets_feed) == [100, 200]
 
@@ -65,10 +74,31 @@ def test_truth_from_another_batch_classifies_the_failure(sets_feed):
     assert (row.invalid, row.invalid_sig, row.invalid_unknown) == (1, 1, 0)
 
 
-def test_forged_slots_do_not_close_anything(sets_feed):
-    sets_feed.send([shred(slot=100), shred(slot=2**41)])
-    sets_feed.send([shred(slot=105)])
+def test_packets_that_fail_their_checks_close_nothing(sets_feed):
+    sets_feed.send([shred(slot=1), shred(slot=999_999, ok=False), shred(slot=2**41)])
+    for slot in (2, 100, 200):
+        sets_feed.send([shred(slot=slot)])
+    assert emitted(sets_feed) == [1, 2, 100]
+    assert closing.late_packets(sets_feed.spark, f"{sets_feed.state}-store") == 0
+    assert sorted(r.slot for r in drained(sets_feed).collect()) == [1, 2, 100, 200, 999_999]
+
+
+def test_drain_closes_what_is_open(sets_feed):
+    sets_feed.send([shred(slot=100, complete=True), shred(slot=105)])
     assert emitted(sets_feed) == []
+    assert sorted(r.slot for r in drained(sets_feed).collect()) == [100, 105]
+
+
+def test_buckets_read_do_not_grow_with_the_run(spark, tmp_path):
+    """Each batch reads the buckets it closes, however many batches there were."""
+    path, read = str(tmp_path / "packets"), []
+    for batch in range(6):
+        packets = spark.createDataFrame([(s,) for s in range(batch * 32, batch * 32 + 32)], "slot long").coalesce(1)
+        closing.land(packets, path, batch)
+        ends = (batch, batch * 32 - 11, batch * 32 + 21)
+        assert closing.landed(spark, path, packets.schema, *ends).count() == min(32, batch * 32 + 22)
+        read.append(closing.buckets(spark, path, packets.schema, *ends).select(F.input_file_name()).distinct().count())
+    assert max(read) <= 4
 
 
 def test_guard_uses_the_schedule(spark):
@@ -79,9 +109,10 @@ def test_guard_uses_the_schedule(spark):
 def test_stream_equals_batch(spark, tmp_path):
     shreds = [shred(p, slot=s, fec=f, pos=i, rx=1000 * s + 10 * i + p, ok=(i + p) % 5 != 0, complete=i == 2)
               for s in range(100, 130, 3) for f in (0, 32) for p in range(3) for i in range(3)]
-    feed = Feed(spark, tmp_path, schema.of("shreds"), slots.set_rows_stream)
-    for part in (shreds[:40], shreds[40:100], [*shreds[100:], shred(slot=500)]):
+    feed = Feed(spark, tmp_path, schema.of("shreds"), closing.set_rows_stream)
+    for part in (shreds[:40], shreds[40:100], shreds[100:]):
         feed.send(part)
+    drained(feed)
     columns = schema.columns("fec_sets")
     batch = sets.set_rows(spark.createDataFrame([tuple(s[c] for c in schema.columns("shreds")) for s in shreds],
                                                 schema.of("shreds")))
@@ -89,7 +120,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_signatures_retire_strictly_behind_the_margin(spark, tmp_path):
-    feed = Feed(spark, tmp_path, schema.of("txn_events"), slots.txn_race_stream)
+    feed = Feed(spark, tmp_path, schema.of("txn_events"), closing.txn_race_stream)
     feed.send([("0", "s", 1000, 10), ("1", "s", 2000, 10)])
     feed.send([("0", "t", 9000, 74)])
     assert feed.rows().count() == 0
@@ -98,6 +129,30 @@ def test_signatures_retire_strictly_behind_the_margin(spark, tmp_path):
     assert (totals["0"].wins, totals["1"].wins, totals["0"].contested_signatures) == (1, 0, 1)
 
 
+def test_a_signature_has_the_slot_that_some_source_first_names(spark, tmp_path):
+    """Sources that do not know the slot say 0; those that differ are scored together; the rest waits for the drain."""
+    feed = Feed(spark, tmp_path, schema.of("txn_events"), closing.txn_race_stream)
+    feed.send([("0", "s", 1000, 0), ("1", "s", 2000, 10), ("0", "z", 500, 0)])
+    feed.send([("2", "s", 3000, 70), ("1", "z", 400, 0), ("0", "t", 9000, 80)])
+    feed.send([("0", "y", 9500, 81)])
+    assert {(r.signature, r.contestants) for r in feed.rows().collect()} == {("s", 3)}
+    closing.drain_txn_race(spark, feed.out, feed.state)
+    assert {(r.signature, r.contestants) for r in feed.rows().collect()} == {("s", 3), ("z", 2), ("t", 1), ("y", 1)}
+    assert feed.rows().count() == 3 + 2 + 1 + 1
+
+
+def test_parts_of_registered_streams_share_keys(spark, sf_dir):
+    """No part is empty, and something of one slot, race or key comes in two parts."""
+    from firstpast.plans.views import spark_view
+
+    for view, key, spread in (("shreds", ["slot", "fec_set_index"], 9), ("txn_events", ["signature"], 63),
+                              ("range_shreds", ["provider", "slot"], 50), ("txn_events", ["source"], 0)):
+        parts = catalog.in_parts(spark_view(spark, sf_dir, view), spread)
+        keys = [{tuple(r) for r in p.select(*key).distinct().collect()} for p in parts]
+        assert len(keys) == 3 and all(keys)
+        assert keys[0] & keys[1] or keys[1] & keys[2], (view, key)
+
+
 def test_slots_settle_after_a_quiet_second(spark, tmp_path):
     def run(stream, out, state):
         return sinks.start(slots.settled_slots(stream).drop("session"), sinks.table_sink(out, "settled"), state)
@@ -175,7 +230,7 @@ def test_closed_sets_get_their_statistics(spark, tmp_path):
     columns = [*schema.columns("shreds"), "root"]
     rooted = schema.of("shreds").add("root", "string")
     packets = spark.createDataFrame([tuple({**r, "root": "r"}[c] for c in columns) for r in rows], rooted)
-    packets.write.parquet(str(tmp_path / "in"))
+    closing.land(packets, str(tmp_path / "in"), 0)
     closed = spark.createDataFrame([(100, 0, "aged", 1)], "slot long, fec_set_index long, reason string, open_ms long")
     timeouts.set_stats_sink(str(tmp_path / "in"), rooted, str(tmp_path / "out"), "p0")(closed, 0)
     got = {(r.provider, r.fec_set_index): r.fec_first_shred_delay_ns for r in spark.read.parquet(str(tmp_path / "out")).collect()}
