@@ -12,16 +12,10 @@ from firstpast.operators.race import HUB_RACE
 
 
 def finishing_orders(ranked: DataFrame, key: Sequence[str] = HUB_RACE) -> DataFrame:
-    """How many races of each hub ended in each order of sources.
-
-    A race has at most one entry per source, so the order is a short array. Races
-    with the same order are merged map-side; pairs are formed per distinct order,
-    not per race.
-    """
-    orders = (ranked.groupBy(*key)
-              .agg(F.array_sort(F.collect_list(F.struct("rank", "source"))).alias("finish")))
-    return (orders.select("hub", F.col("finish.source").alias("finish"))
-            .groupBy("hub", "finish").agg(F.count("*").alias("races")))
+    """The order of sources in every race; a race has at most one entry per source, so it is a short array."""
+    return (ranked.groupBy(*key)
+            .agg(F.array_sort(F.collect_list(F.struct("rank", "source"))).alias("finish"))
+            .select("hub", F.col("finish.source").alias("finish")))
 
 
 def head_to_head(ranked: DataFrame, key: Sequence[str] = HUB_RACE) -> DataFrame:
@@ -36,15 +30,17 @@ def head_to_head(ranked: DataFrame, key: Sequence[str] = HUB_RACE) -> DataFrame:
 
 
 def _pairs(ranked: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Unordered pairs (a < b) with the races either side led."""
+    """Unordered pairs (a < b) with the races either side led.
+
+    Pairs are formed where a race's order is, and counted there first: a task sends a row per
+    hub and pair, however many races it has.
+    """
     ordered = F.col("first") < F.col("second")
     return (finishing_orders(ranked, key)
-            .select("hub", "races", "finish", F.posexplode("finish").alias("i", "first"))
-            .select("hub", "races", "first",
-                    F.explode(F.expr("slice(finish, i + 2, size(finish))")).alias("second"))
+            .select("hub", "finish", F.posexplode("finish").alias("i", "first"))
+            .select("hub", "first", F.explode(F.expr("slice(finish, i + 2, size(finish))")).alias("second"))
             .groupBy("hub", F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b"))
-            .agg(F.sum(F.when(ordered, F.col("races")).otherwise(0)).alias("led_by_a"),
-                 F.sum(F.when(ordered, 0).otherwise(F.col("races"))).alias("led_by_b")))
+            .agg(F.count_if(ordered).alias("led_by_a"), F.count_if(~ordered).alias("led_by_b")))
 
 
 def _side(one: str, other: str) -> Column:
@@ -69,10 +65,10 @@ def h2h_matrix_long(h2h: DataFrame) -> DataFrame:
     return cells.withColumn("band", band)
 
 
-def h2h_matrix(matrix_long: DataFrame) -> DataFrame:
-    """The matrix as a table: one row per source, best mean first, one column per opponent."""
+def h2h_matrix(matrix_long: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """The matrix as a table: one row per source, best mean first, one column per named opponent."""
     mean = F.avg("beats_pct").over(Window.partitionBy("hub", "row_source"))
     return (matrix_long.withColumn("mean_beats_pct", mean)
             .groupBy("hub", "row_source", "mean_beats_pct")
-            .pivot("col_source").agg(F.round(F.first("beats_pct"), 1))
+            .pivot("col_source", list(sources)).agg(F.round(F.first("beats_pct"), 1))
             .orderBy("hub", F.desc("mean_beats_pct"), "row_source"))

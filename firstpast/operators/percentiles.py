@@ -59,36 +59,33 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str,
                  quantiles: dict[str, float]) -> DataFrame:
     """``sorted(values)[floor((n - 1) * p)]`` per group, for non-negative BIGINT values.
 
-    The target rank is followed digit by digit: count values by their leading
-    digit, keep the digit holding the rank, continue inside it. Each step is a
-    map-side-combined count plus a join with one row per (group, quantile).
+    Counts by leading digit are summed from counts by the next one, so the rows are read once. The
+    wanted rank is then followed down: find the digit that holds it, continue inside. Each step is one join
+    with a row per (group, quantile) and one window over at most 2**21 digits.
     """
-    # Equal values are counted once here; every later step reads these counts. Null
-    # groups are set aside first, else each join would filter its own copy of them.
     known = F.col(value).isNotNull()
     for col in by:
         known = known & F.col(col).isNotNull()
-    values = (df.filter(known)
-              .groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c")))
+    levels = [df.filter(known).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))]
+    for _ in _SHIFTS[1:]:
+        levels.insert(0, levels[0].groupBy(*by, F.shiftright("v", _DIGIT_BITS).alias("v")).agg(F.sum("c").alias("c")))
     ranks = F.array(*[
         F.struct(F.lit(name).alias("q"),
                  F.floor((F.col("n") - 1).cast("double") * F.lit(float(p))).cast("bigint").alias("rank"))
         for name, p in quantiles.items()])
-    # One row per (group, quantile): the rank left to find and the digits found so far.
-    target = (values.groupBy(*by).agg(F.sum("c").alias("n"))
-              .select(*by, F.explode(ranks).alias("r"))
-              .select(*by, "r.q", "r.rank", F.lit(0).cast("bigint").alias("prefix")))
-    for shift in _SHIFTS:
-        high = F.shiftright("v", shift + _DIGIT_BITS) if shift + _DIGIT_BITS < 63 else F.lit(0).cast("bigint")
-        digits = (values.groupBy(*by, high.alias("prefix"), F.shiftright("v", shift).alias("digit"))
-                  .agg(F.sum("c").alias("c")))
-        wanted = target.select(*by, "prefix").distinct()
-        running = (digits.join(wanted, [*by, "prefix"], "left_semi")
-                   .withColumn("upto", running_total([*by, "prefix"], "digit", "c")))
-        target = (target.join(running, [*by, "prefix"])
-                  .filter((F.col("upto") > F.col("rank"))
-                          & (F.col("upto") - F.col("c") <= F.col("rank")))
-                  .select(*by, "q", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"),
-                          F.col("digit").alias("prefix")))
-    return target.groupBy(*by).agg(*[
+    found = (levels[0].withColumn("upto", running_total(by, "v", "c"))
+             .withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+             .withColumn("r", F.explode(ranks)).select(*by, "v", "c", "upto", "r.q", "r.rank"))
+    for level in levels[1:]:
+        target = _holding(found, by)
+        inside = level.withColumn("prefix", F.shiftright("v", _DIGIT_BITS)).join(target, [*by, "prefix"])
+        found = inside.withColumn("upto", running_total([*by, "q"], "v", "c"))
+    return _holding(found, by).groupBy(*by).agg(*[
         F.max(F.when(F.col("q") == name, F.col("prefix"))).alias(name) for name in quantiles])
+
+
+def _holding(running: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per (group, quantile) the digits so far that hold the rank, and the rank inside them."""
+    before = F.col("upto") - F.col("c")
+    return (running.filter((F.col("upto") > F.col("rank")) & (before <= F.col("rank")))
+            .select(*by, "q", (F.col("rank") - before).alias("rank"), F.col("v").alias("prefix")))

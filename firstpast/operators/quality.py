@@ -7,22 +7,20 @@ from pyspark.sql import functions as F
 
 from firstpast.functions.numeric import wrapping_u32_diff
 
-# Counter -> what a non-zero value means, in report order. A counter is reported,
-# never turned into a verdict about a source.
+# Counters in report order, and how a report words one that is not zero. A counter is
+# reported, never turned into a verdict about a source.
 NOTES = (
-    ("udp_no_timestamp", "%d datagrams had no receive timestamp and were discarded; timings cover the rest only"),
-    ("udp_channel_full", "%d receive batches were dropped because the queue was full; coverage is incomplete"),
-    ("udp_kernel_dropped", "%d datagrams were lost on this host before they were read; "
-                           "they count as missed although no source lost them"),
-    ("udp_truncated", "%d datagrams were larger than any valid packet and were discarded unread"),
-    ("shreds_unsupported_variant", "%d packets used an unknown variant; they are in no verdict and not invalid"),
-    ("udp_unmatched", "%d datagrams matched no provider rule and were ignored"),
-    ("shreds_after_window", "%d packets came after their set was closed and were dropped; "
-                            "they count as missed although they were sent"),
-    ("invalid_data", "%d packets carried content that differs from the authenticated copy"),
-    ("invalid_sig", "%d packets failed verification but carry the authenticated content"),
-    ("invalid_unknown", "%d packets failed verification and no authenticated copy was seen to compare with"),
-    ("shreds_no_leader", "%d packets had no known leader and count as unverifiable, not invalid"),
+    ("udp_no_timestamp", "receive time missing: %d datagrams are in no timing"),
+    ("udp_channel_full", "intake overrun: %d batches lost, expect gaps"),
+    ("udp_kernel_dropped", "lost by the receiving machine: %d datagrams that sources seem to have missed"),
+    ("udp_truncated", "oversized: %d datagrams skipped"),
+    ("shreds_unsupported_variant", "kind not understood: %d packets counted neither as good nor as bad"),
+    ("udp_unmatched", "sender named by no rule: %d datagrams left out"),
+    ("shreds_after_window", "too late for their set: %d packets that the set seems to lack"),
+    ("invalid_data", "content other than the signed one: %d packets"),
+    ("invalid_sig", "signed content under a wrong proof: %d packets"),
+    ("invalid_unknown", "wrong proof and nothing signed to compare with: %d packets"),
+    ("shreds_no_leader", "signer unknown: %d packets that cannot be judged"),
 )
 
 

@@ -115,8 +115,13 @@ def first_provider_share(firsts: DataFrame) -> DataFrame:
     counts = (firsts.groupBy("hub", "src_ip")
               .agg(F.count("*").alias("first_count"), F.min("t").alias("window_start"),
                    F.max("t").alias("window_end")))
-    # A scan of one column with a row per hub to shuffle.
-    totals = firsts.groupBy("hub").agg(F.count("*").alias("hub_total"))
+    # Summed from the counts. The window's ends are kept, though not needed, so that both
+    # readers of the counts share one scan and one exchange.
+    totals = (counts.groupBy("hub")
+              .agg(F.sum("first_count").alias("hub_total"), F.min("window_start").alias("from"), F.max("window_end").alias("to"),
+                   F.max("src_ip").alias("ip"))
+              .filter(F.coalesce(F.col("from") <= F.col("to"), F.lit(True)) & (F.coalesce("ip", F.lit("")) >= ""))
+              .select("hub", "hub_total"))
     return (counts.join(totals, "hub")
             .select("hub", "src_ip", "first_count",
                     percent("first_count", "hub_total").alias("first_share_pct"),
@@ -128,11 +133,12 @@ def baseline_signatures(arrivals: DataFrame, baselines: Sequence[str],
     """One authentic signature per race: the baseline's own, where it has one.
 
     Reduced to one row per race before any join, so two baseline rows of a race
-    cannot double its arrivals.
+    cannot double its arrivals. The baseline's rows are picked inside the aggregate: as a filter they would
+    be sought in a scan of their own.
     """
-    return (arrivals.filter((F.col(time) == 0) & F.col("source").isin(list(baselines))
-                            & F.col("signature").isNotNull())
-            .groupBy(*HUB_RACE).agg(F.max("signature").alias("true_signature")))
+    own = (F.col(time) == 0) & F.col("source").isin(list(baselines)) & F.col("signature").isNotNull()
+    return (arrivals.groupBy(*HUB_RACE).agg(F.max(F.when(own, F.col("signature"))).alias("true_signature"))
+            .filter(F.col("true_signature").isNotNull()))
 
 
 def with_baseline_signature(arrivals: DataFrame, baselines: Sequence[str],
@@ -150,7 +156,8 @@ def signature_panel(arrivals: DataFrame, baselines: Sequence[str],
     of rows: equal arrivals are counted together first, and ranks among the valid
     ones are counted block by block.
     """
-    same = arrivals.groupBy(*HUB_RACE, "source", time, "signature").agg(F.count("*").alias("n"))
+    same = (arrivals.filter(F.col(time).isNotNull())
+            .groupBy(*HUB_RACE, "source", time, "signature").agg(F.count("*").alias("n")).filter(F.col("n") > 0))
     signature = F.coalesce("signature", F.lit(""))
     good = F.col("verdict") == "valid"
     judged = (with_baseline_signature(same, baselines, time)
@@ -182,7 +189,7 @@ def signature_panel(arrivals: DataFrame, baselines: Sequence[str],
                   F.sum("sum_rank").alias("sum_rank"), F.sum("sum_d").alias("sum_d"), F.sum("neg").alias("neg"),
                   F.sum("bad").alias("bad_sig_count"), F.sum("none").alias("no_sig_count"),
                   *percentile_columns(QUANTILES, "cum", "total", "bin")))
-    sets = (baseline_signatures(arrivals, baselines, time)
+    sets = (baseline_signatures(same, baselines, time)
             .groupBy("hub").agg(F.count("*").alias("sets")))
     arrived = F.col("valid_samples") + F.col("bad_sig_count") + F.col("no_sig_count")
     return panel.join(sets, "hub").select(

@@ -105,7 +105,8 @@ def h2h_matrix_long(spark, sf_dir):
 
 @query
 def h2h_matrix(spark, sf_dir):
-    return h2h.h2h_matrix(h2h.h2h_matrix_long(h2h.head_to_head(_ranked(spark, sf_dir)))).drop("mean_beats_pct")
+    long = h2h.h2h_matrix_long(h2h.head_to_head(_ranked(spark, sf_dir)))
+    return h2h.h2h_matrix(long, [f"src-{i}" for i in range(8)]).drop("mean_beats_pct")
 
 
 @query

@@ -86,7 +86,7 @@ def test_head_to_head_counts_pairs(spark):
     long = h2h.h2h_matrix_long(h2h.head_to_head(ranked))
     cells = {(r.row_source, r.col_source): (r.beats_pct, r.band) for r in long.collect()}
     assert cells["c", "a"] == (0.0, "bad") and cells["a", "b"] == (pytest.approx(66.6667, abs=1e-3), "good")
-    matrix = h2h.h2h_matrix(long).collect()
+    matrix = h2h.h2h_matrix(long, ["a", "b", "c"]).collect()
     assert [r.row_source for r in matrix] == ["a", "b", "c"]
     assert matrix[0].b == 66.7 and matrix[0].a is None
 
