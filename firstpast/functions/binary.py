@@ -82,11 +82,6 @@ def decode_variant(variant: Column) -> Column:
         _variant_flag(variant, 2).alias("resigned"))
 
 
-def is_data_variant(variant: Column) -> Column:
-    """True for data packets of a known variant."""
-    return F.coalesce(~_variant_flag(variant, 0), F.lit(False))
-
-
 def content_hash(payload: str | Column, variant: Column) -> Column:
     """SHA-256 of the authenticated content: headers and data without proof material.
 

@@ -99,11 +99,6 @@ def classify_slot(df: DataFrame, schedule: DataFrame, first_slot: int, epoch_slo
                         .when(F.col("leader").isNotNull(), "leader").otherwise("unknown")))
 
 
-def needs_refresh(slot: Column, first_slot: int, epoch_slots: int) -> Column:
-    """True where a slot lies outside the epoch held."""
-    return (slot < first_slot) | (slot >= first_slot + epoch_slots)
-
-
 def leader_window(schedule: DataFrame, anchor: int, back_secs: int = WINDOW_BACK_SECS,
                   forward_secs: int = WINDOW_FORWARD_SECS, slot_ms: int = SLOT_MS) -> DataFrame:
     """The schedule around an anchor slot; the range reaches the Parquet scan."""

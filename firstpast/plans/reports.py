@@ -46,13 +46,13 @@ def performance_report(arrivals: DataFrame, schedule: DataFrame, brands: DataFra
     pairs = h2h.head_to_head(ranked)
     panel = stats.signature_panel(arrivals, baselines)
 
-    writers.write_report_csv(per_source, path, "per_source", "hub", F.desc("win_count"), "source")
+    writers.write_report_csv(order_sources(per_source), path, "per_source")
     writers.write_report_csv(pairs, path, "head_to_head", "hub", "source_a", "source_b")
-    writers.write_report_csv(stats.leader_split(totals), path, "leader_slots", "hub", "leader_provider", "source")
+    writers.write_report_csv(order_leaders(stats.leader_split(totals)), path, "leader_slots")
     writers.write_report_csv(own, path, "own_vs_other", "hub", "source", "slots_kind")
-    writers.write_report_csv(stats.daily_trend(trend_arrivals if trend_arrivals is not None else arrivals),
-                             path, "daily_trend", "day", "hub", "avg_delta_ms", "source")
-    writers.write_report_csv(panel, path, "signature_panel", "hub", F.desc("win_count"), "source")
+    trend = stats.daily_trend(trend_arrivals if trend_arrivals is not None else arrivals)
+    writers.write_report_csv(order_trend(trend), path, "daily_trend")
+    writers.write_report_csv(order_sources(panel), path, "signature_panel")
     writers.write_report_csv(stats.signature_mismatches(panel), path, "signature_mismatch", "hub", "source")
     writers.write_per_brand(per_source, own, f"{path}/per_brand")
     (dims.unknown_leader_slots(totals)

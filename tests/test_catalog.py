@@ -11,8 +11,7 @@ import __spark_entry__
 from firstpast import schema, session
 from firstpast.operators import race, sets, stats
 from firstpast.plans import reports
-from firstpast.plans.catalog import QUERIES
-from firstpast.plans.checks import CHECKS
+from firstpast.plans.written import CHECKS, QUERIES
 from firstpast.plans.views import spark_view
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
