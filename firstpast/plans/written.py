@@ -5,6 +5,8 @@ They join the other registered queries: ``QUERIES`` and ``CHECKS`` hold all of t
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,65 @@ SELECT row_number() OVER (ORDER BY hub, win_count DESC, source) - 1 AS place, hu
 FROM ({checks.CHECKS["per_source_stats"]}) s"""
 
 
+@query
+def leader_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leader split in report order, with every source's address, network and location."""
+    suppliers = table(spark, sf_dir, "supplier")
+    name_ip = (suppliers.groupBy(catalog._named("src-", F.col("s_suppkey") % 8).alias("name"))
+               .agg(F.min(catalog._ip()).alias("ip")))
+    asn = (suppliers.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+           .select(catalog._ip().alias("ip"), F.col("n_name").alias("org"), F.lit("").alias("city"),
+                   F.col("n_regionkey").cast("string").alias("country")))
+    split = stats.leader_split(catalog._slot_totals(spark, sf_dir))
+    return placed(reports.leader_breakdown(split, name_ip, asn))
+
+
+CHECKS["leader_breakdown"] = f"""
+WITH ips AS (SELECT concat('src-', s_suppkey % 8) AS source, min(concat('10.0.', s_nationkey, '.', s_suppkey)) AS src_ip
+             FROM supplier GROUP BY 1),
+nets AS (SELECT concat('10.0.', s_nationkey, '.', s_suppkey) AS src_ip, n_name AS asn_dc, CAST(n_regionkey AS VARCHAR) AS dc_location
+         FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT row_number() OVER (ORDER BY hub, leader_provider, win_rate_pct DESC, source) - 1 AS place, s.*, coalesce(src_ip, '') AS src_ip,
+       coalesce(asn_dc, '') AS asn_dc, coalesce(dc_location, '') AS dc_location
+FROM ({checks.CHECKS["leader_split"]}) s LEFT JOIN ips USING (source) LEFT JOIN nets USING (src_ip)"""
+
+
+@query
+def performance_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every report file of the performance report, and what its meta file says."""
+    path = working_path(spark, "performance")
+    brands, schedule = spark_view(spark, sf_dir, "leader_brands"), spark_view(spark, sf_dir, "schedule")
+    firsts, providers = spark_view(spark, sf_dir, "first_provider"), spark_view(spark, sf_dir, "providers")
+    interest = providers.select(F.col("name").alias("group"), F.col("src_ip").alias("ip"))
+    reports.performance_report(
+        catalog._arrivals(spark, sf_dir), schedule, brands, path, catalog.BASELINES, source_brand=F.col("source"), firsts=firsts,
+        providers=providers, interest=interest, window=(dt.datetime(2000, 1, 1), dt.datetime(2000, 1, 2)), epochs=(7, 8))
+    rows = [spark.read.option("header", True).csv(f"{path}/{name}").agg(F.count("*").alias("value"))
+            .select(F.lit(name).alias("name"), "value")
+            for name in ("per_source", "first_provider", "ip_coverage", "leader_slots", "signature_panel")]
+    meta = spark.read.json(f"{path}/meta")
+    for name, value in (("unknown_leader_slots", F.col("unknown_leader_slots")), ("hours", F.col("window_hours")),
+                        ("epochs", F.size("epochs")), ("races_f", F.col("fec_sets_per_hub.F"))):
+        rows.append(meta.select(F.lit(name).alias("name"), value.cast("bigint").alias("value")))
+    found = rows[0]
+    for more in rows[1:]:
+        found = found.union(more)
+    return found
+
+
+def _counted(name: str, of: str) -> str:
+    return f"SELECT '{name}' AS name, count(*) AS value FROM ({checks.CHECKS[of]}) q"
+
+
+CHECKS["performance_files"] = " UNION ALL ".join([
+    _counted("per_source", "per_source_stats"), _counted("first_provider", "first_provider_share"),
+    "SELECT 'ip_coverage', count(*) FROM supplier", _counted("leader_slots", "leader_split"),
+    _counted("signature_panel", "signature_panel"),
+    f"SELECT 'unknown_leader_slots', unknown_leader_slots FROM ({checks.CHECKS['unknown_leader_slots']}) u",
+    "SELECT 'hours', 24", "SELECT 'epochs', 2",
+    f"SELECT 'races_f', races FROM ({checks.CHECKS['races_per_hub']}) r WHERE hub = 'F'"])
+
+
 # -- order -------------------------------------------------------------------------
 
 def placed(ordered: DataFrame) -> DataFrame:
