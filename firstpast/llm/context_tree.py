@@ -26,10 +26,11 @@ training texts every decision has probability one half and N and V are zero; an
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -82,47 +83,52 @@ def chunks(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(key, (fold(key, FOLDS) == HELD).alias("held"), text).mapInArrow(task, schema)
 
 
-def _texts(sizes: Iterable[int], data: bytes) -> Iterator[bytes]:
-    whole, at = zstandard.decompress(data), 0
-    for size in sizes:
-        yield whole[at:at + size]
-        at += size
+def _texts(sizes: Iterable[int], data: bytes) -> list[bytes]:
+    whole, ends = zstandard.decompress(data), np.cumsum(sizes).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def sequences(said: bytes) -> np.ndarray:
-    """For every byte of a text and the zero behind it: the bytes before it, the most recent first, and itself."""
-    padded = np.frombuffer(bytes(DEPTH) + said + b"\0", np.uint8).astype(np.int64)
-    n = len(said) + 1
-    key = np.zeros(n, np.int64)
+def sequences(texts: list[bytes]) -> np.ndarray:
+    """For every byte of every text and the zero behind it: the bytes before it, the most recent first, and itself."""
+    before = bytes(DEPTH)
+    padded = np.frombuffer(b"".join(x for t in texts for x in (before, t, b"\0")), np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    of_text = np.ones(len(padded), bool)
+    starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+    of_text[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
+    at = np.nonzero(of_text)[0]
+    key = np.zeros(len(at), np.int64)
     for back in range(1, DEPTH + 1):
-        key = key << 8 | padded[DEPTH - back:DEPTH - back + n]
-    return key << 8 | padded[DEPTH:]
+        key = key << 8 | padded[at - back]
+    return key << 8 | padded[at]
 
 
-def all_sequences(texts: list[bytes]) -> np.ndarray:
-    return np.concatenate([sequences(t) for t in texts]) if texts else np.zeros(0, np.int64)
+def word_numbers(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a chunk in order of their first occurrence, the number of every word, words per text."""
+    seen: defaultdict[bytes, int] = defaultdict()
+    seen.default_factory = seen.__len__
+    split = [t.split() for t in texts]
+    numbers = np.fromiter((seen[w] for words in split for w in words), np.int64)
+    return list(seen), numbers, np.array([len(words) for words in split], np.int64)
 
 
-def word_numbers(texts: list[bytes]) -> dict[bytes, int]:
-    """The distinct words of a chunk in order of their first occurrence."""
-    seen: dict[bytes, int] = {}
-    for said in texts:
-        for word in said.split():
-            seen.setdefault(word, len(seen))
-    return seen
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of these sizes."""
+    out = np.zeros(len(sizes))
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
 
 
 def leaves(laid: DataFrame) -> DataFrame:
-    """``(seq, n, chunk, place)``: a chunk's distinct sequences, in order, with their count in training texts."""
+    """``(seq, n, chunk, place)``: a chunk's distinct sequences, by first occurrence, with their count in training texts."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             chunk, held, sizes, data = (c.to_pylist()[0] for c in batch.columns)
-            key = np.concatenate([sequences(t) << 1 | (not h) for t, h in zip(_texts(sizes, data), held)])
-            both, count = np.unique(key, return_counts=True)
-            seq = both >> 1
-            first = np.r_[True, seq[1:] != seq[:-1]]
-            n = np.add.reduceat(np.where(both & 1, count, 0), np.nonzero(first)[0])
-            seq = seq[first]
+            number, seq = pd.factorize(sequences(_texts(sizes, data)))
+            learned = np.repeat(~np.array(held), np.array(sizes) + 1)
+            n = np.bincount(number[learned], minlength=len(seq))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(seq), pa.array(n), pa.array(np.full(len(seq), chunk)), pa.array(np.arange(len(seq), dtype=np.int32))],
                 ["seq", "n", "chunk", "place"])
@@ -135,16 +141,11 @@ def words(laid: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             chunk, held, sizes, data = (c.to_pylist()[0] for c in batch.columns)
-            texts = list(_texts(sizes, data))
-            count: Counter[bytes] = Counter()
-            for said, out in zip(texts, held):
-                if not out:
-                    count.update(said.split())
-            seen = word_numbers(texts)
+            seen, numbers, per_text = word_numbers(_texts(sizes, data))
+            n = np.bincount(numbers[np.repeat(~np.array(held), per_text)], minlength=len(seen))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array([count[w] for w in seen], pa.int64()),
-                 pa.array(np.full(len(seen), chunk)), pa.array(np.arange(len(seen), dtype=np.int32))],
-                ["word", "n", "chunk", "place"])
+                [pa.array(seen, pa.binary()), pa.array(n), pa.array(np.full(len(seen), chunk)),
+                 pa.array(np.arange(len(seen), dtype=np.int32))], ["word", "n", "chunk", "place"])
 
     return laid.select("chunk", "held", "sizes", "data").mapInArrow(task, "word binary, n long, chunk long, place int")
 
@@ -296,42 +297,37 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     counts = materialize(found.groupBy("seq").agg(F.sum("n").alias("n")), "sequence-counts")
     value = materialize(model(counts), "sequence-values")
     of_leaves = found.select("seq", "chunk", "place").join(value, "seq").select(
-        "chunk", F.lit(False).alias("word"), "place", F.col("value").cast("double").alias("value"))
+        "chunk", "place", F.col("value").cast("double").alias("value"))
     # A word has a row for each chunk at most, so its rows in one window are few beside all of them.
     alike = Window.partitionBy("word")
     counted = materialize(
         words(laid).select("chunk", "place", "n", F.sum("n").over(alike).alias("c"),
                            (F.min("chunk").over(alike) == F.col("chunk")).alias("first")), "word-counts")
     ends = laid.select(F.explode("held").alias("held")).where("NOT held").count()
-    sums = counted.agg(F.sum("n"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
-    train, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    of_words = counted.select("chunk", F.lit(True).alias("word"), "place", F.col("c").cast("double").alias("value"))
+    total = counted.agg(F.sum("n"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
+    train, distinct = (total[0] or 0) + ends, total[1] + (ends > 0)
+    # Words take the places below zero.
+    of_words = counted.select("chunk", (-1 - F.col("place")).alias("place"), F.col("c").cast("double").alias("value"))
     kind = docs.schema[key].dataType.simpleString()
     schema = (f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
               "score double")
     fields = arrow_schema(schema)
 
     def task(chunk: pa.Table, known: pa.Table) -> pa.Table:
-        held, sizes, data, keys = (chunk.column(c).to_pylist() for c in ("held", "sizes", "data", "keys"))
-        is_word = known.column("word").to_numpy()
+        held, sizes, data, keys = (chunk.column(c).to_pylist()[0] for c in ("held", "sizes", "data", "keys"))
         place, value = known.column("place").to_numpy(), known.column("value").to_numpy()
-        sides = []
-        for side in (is_word, ~is_word):
-            laid_out = np.zeros(int(place[side].max(initial=-1)) + 1)
-            laid_out[place[side]] = value[side]
-            sides.append(laid_out)
-        count, logs = sides
-        texts = list(_texts(sizes[0], data[0]))
-        number = word_numbers(texts)
-        order = np.unique(all_sequences(texts))
+        word = place < 0
+        count, logs = np.zeros(word.sum()), np.zeros((~word).sum())
+        count[-1 - place[word]] = value[word]
+        logs[place[~word]] = value[~word]
+        texts = _texts(sizes, data)
+        _, numbers, per_text = word_numbers(texts)
         base = np.log10((count + 1) / (train + distinct + 1))
         end = math.log10((ends + 1) / (train + distinct + 1))
-        rows = []
-        for one, out, said in zip(keys[0], held[0], texts):
-            at = np.array([number[w] for w in said.split()], np.int64)
-            rows.append((one, out, len(at) + 1, int((count[at] > 0).sum()) + (ends > 0), train,
-                         float(base[at].sum()) + end, float(logs[np.searchsorted(order, sequences(said))].sum())))
-        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+        made = (keys, held, per_text + 1, sums((count > 0)[numbers], per_text).astype(np.int64) + (ends > 0),
+                np.full(len(texts), train), sums(base[numbers], per_text) + end,
+                sums(logs[pd.factorize(sequences(texts))[0]], np.array(sizes) + 1))
+        return pa.table([pa.array(c, f.type) for c, f in zip(made, fields)], schema=fields)
 
     known = of_leaves.union(of_words)
     return laid.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(task, schema)

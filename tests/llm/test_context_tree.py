@@ -115,10 +115,10 @@ def test_probabilities_of_a_byte_add_up(monkeypatch):
     import numpy as np
 
     texts = [b"abracadabra", b"abba", b"cadab"]
-    seq = np.unique(ct.all_sequences(texts))
+    seq = np.unique(ct.sequences(texts))
     context = seq[3] >> 8
     every = np.unique(np.concatenate([seq, context << 8 | np.arange(256)]))
-    n = np.array([(ct.all_sequences(texts) == s).sum() for s in every])
+    n = np.array([(ct.sequences(texts) == s).sum() for s in every])
     deep = ct.levels(every, n, 0)
     p = 10 ** ct.log_probabilities(every, deep)
     assert math.isclose(p[every >> 8 == context].sum(), 1.0, rel_tol=1e-9)
