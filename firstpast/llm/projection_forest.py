@@ -7,7 +7,9 @@ they are split on by random hyperplanes through the leaf's mean, as many levels
 size asks for, so that a leaf's size does not grow with the table.
 
 A query keeps one priority queue for all trees, ordered by the worst margin on the way to a node,
-and opens leaves until ``LEAVES`` are open. Queries meet the vectors of a leaf in the
+and opens leaves in that order. How many is measured, not guessed: the true neighbours of ``PROBES`` queries are found by
+brute force over all vectors, and every query opens as many leaves as those needed to reach ``RECALL`` of them. Vectors without structure
+need a large part of all leaves, vectors with clusters very few. Queries meet the vectors of a leaf in the
 task that holds it, where cosines are computed in double precision; a leaf with many vectors or
 queries is cut into cells. Of each cell a query takes its best, and the best of all cells are its result.
 
@@ -27,6 +29,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +40,14 @@ from firstpast.llm.common import hashed_sample, slices
 from firstpast.session import materialize
 
 NEAREST = 5
-TREES = 10
+TREES = 12
 SAMPLE = 20_000
-SAMPLE_LEAF = 50
-LEAF_ROWS = 200
-LEAVES = 120
+SAMPLE_LEAF = 100
+LEAF_ROWS = 400
 CELL = 4096
+# Queries that the effort is measured on, and the part of their neighbours that it has to find.
+PROBES = 64
+RECALL = 0.96
 
 
 def usable(vector: Column) -> Column:
@@ -118,13 +123,12 @@ def grow(rows: np.ndarray, rng: np.random.Generator, further: int) -> Tree:
                 np.array(means), unit(rng.standard_normal((further, width))) if further else np.zeros((0, width)))
 
 
-def opened(trees: list[Tree], query: np.ndarray, leaves: int) -> list[tuple[int, int]]:
+def leaves_in_order(trees: list[Tree], query: np.ndarray) -> Iterator[tuple[int, int]]:
     """(tree, leaf) in the order of one queue over all trees, the least bad margin first."""
     margins = [(t.direction @ query - t.border).tolist() for t in trees]
     queue = [(0.0, k, 0 if len(t.border) else -1, -1, 0) for k, t in enumerate(trees)]
     below: dict[tuple[int, int], list[float]] = {}
-    found = []
-    while queue and len(found) < leaves:
+    while queue:
         bad, k, at, code, depth = heapq.heappop(queue)
         tree = trees[k]
         if at >= 0:
@@ -137,7 +141,7 @@ def opened(trees: list[Tree], query: np.ndarray, leaves: int) -> list[tuple[int,
         if code < 0:
             code = -1 - at
         if depth == len(tree.further):
-            found.append((k, code))
+            yield k, code
             continue
         leaf = -1 - at
         if (k, leaf) not in below:
@@ -146,7 +150,6 @@ def opened(trees: list[Tree], query: np.ndarray, leaves: int) -> list[tuple[int,
         for side in (0, 1):
             cost = bad if side == (margin > 0) else max(bad, abs(margin))
             heapq.heappush(queue, (cost, k, at, code * 2 + side, depth + 1))
-    return found
 
 
 def fit(vectors: DataFrame, rows: int) -> list[Tree]:
@@ -178,7 +181,7 @@ def _placed(vectors: DataFrame, trees: list[Tree], leaves: int | None) -> DataFr
                 places = [np.column_stack([np.full(len(rows), k), t.leaf(rows)]) for k, t in enumerate(trees)]
                 source, place = np.tile(np.arange(len(rows)), len(trees)), np.concatenate(places)
             else:
-                ways = [opened(trees, row, leaves) for row in rows]
+                ways = [list(islice(leaves_in_order(trees, row), leaves)) for row in rows]
                 source = np.repeat(np.arange(len(rows)), [len(w) for w in ways])
                 place = np.array([p for w in ways for p in w], np.int64).reshape(-1, 2)
             for at in range(0, len(source), 1 << 14):
@@ -209,6 +212,58 @@ def _best(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, best: int) ->
     return q[place < keep], r[place < keep], exact[place < keep]
 
 
+def _true_neighbours(vectors: DataFrame, probes: DataFrame, best: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each probe's vector and those of its best others, by brute force: the probes against all rows, in blocks."""
+    asked = probes.select("id", "vector").collect()
+    ids, queries = np.array([r.id for r in asked], np.int64), np.array([r.vector for r in asked], np.float64)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            rows, own = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            q, r, score = _best(queries, rows, own, best + 1)
+            other = own[r] != ids[q]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[q[other]]), pa.array(own[r[other]]), pa.array(score[other]), batch.column(1).take(pa.array(r[other]))],
+                ["probe", "id", "score", "vector"])
+
+    kind = vectors.schema["vector"].dataType.simpleString()
+    found = vectors.select("id", "vector").mapInArrow(task, f"probe long, id long, score double, vector {kind}")
+    place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "id"))
+    near: dict[int, list] = {}
+    for r in found.withColumn("place", place).where(F.col("place") <= best).collect():
+        near.setdefault(r.probe, []).append(r.vector)
+    return [(q, np.array(near[i], np.float64)) for i, q in zip(ids.tolist(), queries) if i in near]
+
+
+def effort(vectors: DataFrame, queries: DataFrame, trees: list[Tree], best: int) -> int:
+    """Leaves that a query must open for ``RECALL`` of the neighbours to be in them, measured on ``PROBES`` queries."""
+    spark = vectors.sparkSession
+    known = _true_neighbours(vectors, hashed_sample(queries, PROBES, "id"), best)
+    if not known:
+        return 1
+    rows = spark.createDataFrame(
+        [(q.tolist(), [n.tolist() for n in near]) for q, near in known], "probe array<double>, near array<array<double>>")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            query, near = (unit(np.atleast_2d(np.array(c.to_pylist()[0]))) for c in batch.columns)
+            wanted: dict[tuple[int, int], list[int]] = {}
+            for k, tree in enumerate(trees):
+                for n, leaf in enumerate(tree.leaf(near).tolist()):
+                    wanted.setdefault((k, leaf), []).append(n)
+            needed: dict[int, int] = {}
+            for count, place in enumerate(leaves_in_order(trees, query[0]), 1):
+                for n in wanted.get(place, ()):
+                    needed.setdefault(n, count)
+                if len(needed) == len(near):
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array(list(needed.values()), pa.int64())], ["needed"])
+
+    spread = rows.repartition(min(len(known), spark.sparkContext.defaultParallelism))
+    needed = sorted(r.needed for r in spread.mapInArrow(task, "needed long").collect())
+    return needed[min(len(needed) - 1, math.ceil(RECALL * len(needed)))]
+
+
 def _search(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell (tree, leaf, a, b), vectors of the table before queries."""
     held: list[pa.RecordBatch] = []
@@ -255,8 +310,8 @@ def _cells(placed: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: Column, vector: str = "embedding", key: str = "vec_id",
-            nearest: int = NEAREST, leaves: int = LEAVES) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's nearest others by cosine."""
+            nearest: int = NEAREST, leaves: int | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score``: each query's nearest others by cosine; ``leaves`` sets the effort unmeasured."""
     good = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull())
     rows = good.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), queries.alias("asked")).distinct()
     # One more copy than asked for, as a query may be one of them.
@@ -271,6 +326,7 @@ def nearest(vectors: DataFrame, queries: Column, vector: str = "embedding", key:
     asking = materialize(rows.where("asked").select("id", "vector").where(F.size("vector") == width), "queries")
     kept = kept.where(F.size("vector") == width)
     alike = materialize(asking.groupBy("vector").agg(F.min("id").alias("rep")), "representatives")
+    leaves = leaves or effort(kept, alike.select(F.col("rep").alias("id"), "vector"), trees, nearest)
     placed = materialize(_placed(kept, trees, None), "placed")
     asked = materialize(_placed(alike.select(F.col("rep").alias("id"), "vector"), trees, leaves), "asked")
     cells = _cells(placed, asked).repartition("tree", "leaf", "a", "b").sortWithinPartitions("tree", "leaf", "a", "b", "asked")
