@@ -92,6 +92,20 @@ def op9_schema_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_chat.digests(turns.unionByName(spark.sql(CONTROL)))
 
 
+# The same from the raw turns: a head has four characters beside its role, an end mark seven, an escape one.
+CHECKS["op9_schema_chat"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+  SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(11 + length(role) + length(regexp_replace(role, '[^%|]', '', 'g')) * 2 + length(text)
+                + len(regexp_extract_all(text, '[<\[]\\*(\||/?INST\]|/?s>|</?SYS>>)'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
 @query
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures and verdict of every document."""

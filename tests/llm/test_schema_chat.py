@@ -3,13 +3,14 @@
 import hashlib
 import json
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from firstpast.llm import schema_chat as chat
-from firstpast.llm.queries import QUERIES
+from firstpast.llm.queries import CHECKS, QUERIES
 
 TEXT = st.lists(st.sampled_from([*"<|>[]/\\ISNTYs%end\n é", "<|", "<|end|>", "[INST]", "</s>", "<<SYS>>"]), max_size=12).map("".join)
 
@@ -81,6 +82,15 @@ def test_conversations(spark, sf_dir):
     assert got == brute(rows)
 
 
+def test_conversations_by_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    cursor = con.execute(CHECKS["op9_schema_chat"])
+    names = [d[0] for d in cursor.description]
+    rows = QUERIES["op9_schema_chat"](spark, sf_dir).collect()
+    assert sorted(tuple(r[n] for n in names) for r in rows) == sorted(cursor.fetchall())
+
+
 def test_texts_and_masks(spark, sf_dir):
     turns = chat.turn_table(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     digest = {r.conv_id: r for r in chat.digests(turns).collect()}
