@@ -21,8 +21,9 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+    """What results depend on, for a session built elsewhere; its other settings stay as they are."""
+    if spark.conf.get("spark.sql.session.timeZone") != RUNTIME_CONF["spark.sql.session.timeZone"]:
+        spark.conf.set("spark.sql.session.timeZone", RUNTIME_CONF["spark.sql.session.timeZone"])
     return spark
 
 
