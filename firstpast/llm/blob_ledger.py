@@ -2,9 +2,10 @@
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger,
 a Parquet table in a shared folder, has rows ``(blob, rules, spans)``: the
-rule versions that were applied to a blob and what they found. A scan reads the
-texts of blobs of which some current rule version is missing, one copy of each, and
-applies the missing ones only. Marks and findings are in one row and one commit,
+rule versions that were applied to a blob and what they found. A scan takes the
+blobs of which some current rule version is missing, one copy of each, and
+applies the missing ones only. Texts in which no rule's cheap test finds anything are marked
+without being moved. Marks and findings are in one row and one commit,
 so a scan that dies leaves nothing half done and the next one starts over. Findings
 are joined back to all paths that have, or ever had, the blob.
 
@@ -116,7 +117,10 @@ def scan(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, text: str
     nothing.write.mode("append").parquet(ledger)
     past = spark.read.schema(nothing.schema).parquet(ledger)
     wanted = F.array(*[F.lit(r.name) for r in rules])
-    versions = docs.select(blob(F.col(text)).alias("blob"), F.coalesce(text, F.lit("")).alias("content"))
+    said = F.coalesce(text, F.lit(""))
+    # Only texts in which some rule may find something are moved; of the others the address is enough.
+    versions = docs.select(
+        blob(F.col(text)).alias("blob"), F.when(sum_or([r.maybe(said) for r in rules]), said).alias("content"))
     if not past.isEmpty():
         full = _applied(past).where(F.size(F.array_except(wanted, "had")) == 0)
         versions = versions.join(full, "blob", "left_anti")
