@@ -92,24 +92,32 @@ def sequences(texts: list[bytes]) -> np.ndarray:
     """For every byte of every text and the zero behind it: the bytes before it, the most recent first, and itself."""
     before = bytes(DEPTH)
     padded = np.frombuffer(b"".join(x for t in texts for x in (before, t, b"\0")), np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    of_text = np.ones(len(padded), bool)
-    starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    of_text[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-    at = np.nonzero(of_text)[0]
-    key = np.zeros(len(at), np.int64)
-    for back in range(1, DEPTH + 1):
-        key = key << 8 | padded[at - back]
-    return key << 8 | padded[at]
+    key = np.zeros(max(0, len(padded) - DEPTH), np.int64)  # of every place but the first, in place
+    for back in [*range(1, DEPTH + 1), 0]:
+        key <<= 8
+        key |= padded[DEPTH - back:len(padded) - back]
+    of_text = np.ones(len(key), bool)
+    at = -DEPTH
+    for t in texts:
+        of_text[max(at, 0):max(at + DEPTH, 0)] = False
+        at += DEPTH + len(t) + 1
+    return key[of_text]
 
 
 def word_numbers(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of a chunk in order of their first occurrence, the number of every word, words per text."""
     seen: defaultdict[bytes, int] = defaultdict()
     seen.default_factory = seen.__len__
-    split = [t.split() for t in texts]
-    numbers = np.fromiter((seen[w] for words in split for w in words), np.int64)
-    return list(seen), numbers, np.array([len(words) for words in split], np.int64)
+    sizes: list[int] = []
+
+    def numbers() -> Iterator[int]:
+        for t in texts:
+            words = t.split()
+            sizes.append(len(words))
+            yield from map(seen.__getitem__, words)
+
+    found = np.fromiter(numbers(), np.int64)
+    return list(seen), found, np.array(sizes, np.int64)
 
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
