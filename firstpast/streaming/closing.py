@@ -27,7 +27,7 @@ from firstpast.streaming.sinks import earlier_batches
 WAIT_SLOTS = 10
 RETIRE_SLOTS = 64
 # Slots in one folder of waiting packets.
-WIDTH = 16
+WIDTH = 256
 
 _TIP = "tip bigint, late bigint"
 

@@ -89,8 +89,9 @@ def test_drain_closes_what_is_open(sets_feed):
     assert sorted(r.slot for r in drained(sets_feed).collect()) == [100, 105]
 
 
-def test_buckets_read_do_not_grow_with_the_run(spark, tmp_path):
+def test_buckets_read_do_not_grow_with_the_run(spark, tmp_path, monkeypatch):
     """Each batch reads the buckets it closes, however many batches there were."""
+    monkeypatch.setattr(closing, "WIDTH", 16)
     path, read = str(tmp_path / "packets"), []
     for batch in range(6):
         packets = spark.createDataFrame([(s,) for s in range(batch * 32, batch * 32 + 32)], "slot long").coalesce(1)
