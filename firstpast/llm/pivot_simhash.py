@@ -23,7 +23,8 @@ everything with everything, which is why the buckets come first.
 
 Defined cases: NULL and empty texts have fingerprint zero and link like any
 other; repeated rows share a component; NULL ids take no part in the smallest
-id, and a component of NULL ids alone has the id NULL.
+id, and a component of NULL ids alone has the id NULL. One row of each component is kept as a
+document, also where ids are NULL or stand for several texts.
 """
 
 from __future__ import annotations
@@ -65,10 +66,11 @@ def fingerprint(text: str, hashes_at_once: int = 8192) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key`` and ``print``, the fingerprint as a signed long."""
-    return per_text(docs, f"{key} {docs.schema[key].dataType.simpleString()}, print long",
-                    lambda: lambda t: (fingerprint(t),), text, (key,))
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``also`` and ``print``, the fingerprint as a signed long."""
+    kept = (key, *also)
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return per_text(docs, f"{schema}, print long", lambda: lambda t: (fingerprint(t),), text, kept)
 
 
 def _block_masks(bits: list[int], blocks: int) -> list[int]:
@@ -158,14 +160,17 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(print, component_id)`` of every distinct fingerprint of ``(key, print)``; the smallest key reached."""
+    """``(print, root, component_id)`` of every distinct fingerprint of ``(key, print)``.
+
+    ``root`` is one per component, ``component_id`` the smallest key reached.
+    """
     distinct = materialize(prints.groupBy("print").agg(F.min(key).alias("lowest")), "distinct-prints")
     reached = components(links(distinct.select("print")), "prints")
     rooted = materialize(
         distinct.join(reached.withColumnRenamed("node", "print"), "print", "left")
         .select("print", "lowest", F.coalesce("root", "print").alias("root")), "rooted-prints")
     lowest = materialize(rooted.groupBy("root").agg(F.min("lowest").alias("component_id")), "component-ids")
-    return rooted.join(lowest, "root").select("print", "component_id")
+    return rooted.join(lowest, "root").select("print", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -177,12 +182,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each component, the one with the smallest key, with all its columns.
+    """One row of each component, with all its columns: the smallest key, NULL last, then the lowest hash of a row.
 
-    Only the rows that hold their component's key move; rows that repeat that
-    key leave one of them.
+    Rows are told apart by two hashes of all their columns, not by the key, which may be NULL or repeated.
+    Only rows alike in every column share the hashes; copies of them are dropped before they move.
     """
-    found = near_duplicates(docs, text, key)
-    name = unused(docs, "kept_key")
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(name)).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col(name)), "left_semi").dropDuplicates([key])
+    one, two = unused(docs, "row_hash"), unused(docs, "row_hash_again")
+    # NULL leaves a hash as it is, so whether a value is NULL is hashed too.
+    said = [c for name in docs.columns for c in (F.col(name).isNull(), F.col(name))]
+    hashed = docs.select("*", F.xxhash64(*said).alias(one), F.xxhash64(F.lit(1), *said).alias(two))
+    prints = materialize(fingerprints(hashed, text, key, (one, two)), "prints")
+    row = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("id"), F.col(one).alias("one"), F.col(two).alias("two"))
+    lowest = prints.groupBy("print").agg(F.min(row).alias("row"))
+    kept = materialize(
+        classes(prints, key).join(lowest, "print").groupBy("root").agg(F.min("row").alias("row"))
+        .select(F.col("row.one").alias(one), F.col("row.two").alias(two)), "kept-rows")
+    return hashed.dropDuplicates([one, two]).join(kept, [one, two], "left_semi").select(*docs.columns)

@@ -126,3 +126,12 @@ def test_odd_inputs(tricky, nothing):
 def test_spark_hash_is_the_same(spark):
     row = spark.range(1).select(F.xxhash64(F.lit("a b c")).alias("h")).first()
     assert row.h == signed(xxhash.xxh64_intdigest(b"a b c", 42))
+
+
+def test_stage_keeps_each_component_of_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{w}{k}x{j}" for j in range(40)) for k, w in enumerate(("ash", "beech", "cedar", "elm", "fir"))]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (None, texts[3]), (2, texts[3]),
+            (None, texts[4]), (5, texts[4]), (1, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(((r.text, r.doc_id) for r in ps.first_of_each(docs).collect()))
+    assert kept == sorted(zip(texts, (None, None, 1, 1, 5)))
