@@ -91,13 +91,19 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]{16,}", holds=("AKIA",)),
     Rule("hex", "[0-9a-f]{24,}"),
 )
+# What follows a key's first line. Line ends may be written out (\n), headers come first. Up to the last line all
+# but a hyphen belongs to the key; of a key cut off, whatever goes on as base64 and space from 16 characters of it on.
+# Loops over single classes only: they take no stack, and the checking engine has no possessive ones.
+_KEY_BODY = (
+    r"(?:[\t\r\n\x20\\nr]*[A-Z][A-Za-z-]{0,30}:\x20?[A-Za-z0-9,-]+){0,8}"
+    r"(?:[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----|[\t\r\n\x20\\nr]*[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=\t\r\n\x20\\]*)?")
 # Well-known shapes of keys beyond those.
 MORE = (
-    Rule("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", holds=("PRIVATE KEY-----",)),
+    Rule("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----" + _KEY_BODY, 2, holds=("PRIVATE KEY-----",)),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}", holds=("eyJ",)),
     Rule("forge_token", "gh[opusr]_[A-Za-z0-9]{36,}", holds=("gho_", "ghp_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", holds=("xox",)),
-    Rule("url_login", r"[a-z]{2,12}://[^\s/:@]{1,64}:[^\s/@]{3,64}@", holds=("://",)),
+    Rule("url_login", r"[a-z]{2,12}://[^\s/:@]+:[^\s/@]{3,}@", 2, holds=("://",)),
 )
 RULES = BASE + MORE
 

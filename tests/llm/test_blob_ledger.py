@@ -96,3 +96,23 @@ def test_odd_inputs(tricky):
 def test_no_python_in_the_plan(spark, documents):
     plan = bl.report(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_keys_and_logins_are_covered_whole(spark):
+    line = "MIIEpAIBAAKCAQEA7bq+/x" * 3
+    body, begin, end = "\n".join([line] * 50) + "\nab12==\n", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF\n\n"
+    keys = [f"{begin}\n{body}{end}", f"{begin}\n{headers}{body}{end}", f"{begin}\\n{line}\\n{line}\\n{end}",
+            f"{begin}\n{headers}{body}"[:-2], f"{begin}\n{line}", f"{begin}\nabc=\n{end}", f"{begin}\n" + f"{line}\n" * 20_000,
+            "db://" + "u" * 80 + ":" + "p" * 90 + "@"]
+    texts = [f"is: {k}. And so on" for k in keys] + [f"a line {begin} starts it, they say"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    said = {r.doc_id: r.text for r in bl.redact(docs, rules=bl.MORE).collect()}
+    assert [said[i] for i in range(len(keys))] == ["is: [SECRET]. And so on"] * len(keys)
+    assert said[len(keys)] == "a line [SECRET] starts it, they say"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    cursor = con.execute(bl.check_sql())
+    names = [d[0] for d in cursor.description]
+    assert sorted(tuple(r[n] for n in names) for r in bl.report(docs).collect()) == sorted(cursor.fetchall())
