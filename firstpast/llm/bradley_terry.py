@@ -7,7 +7,8 @@ quantile of the training scores at which both labels are told apart best (balanc
 scores are probabilities with ``ACCEPTED`` at that quantile.
 
 The labelled rows fitted on are about ``PER_LABEL`` of each label (never twice as many), chosen by hash; only their
-features come to the driver. Scoring is done in the tasks that read the texts.
+features come to the driver. An id that stands for several texts brings ``PER_ID`` of them at most, and where that
+makes too many rows of a label, those with the lowest hashes stay. Scoring is done in the tasks that read the texts.
 
 Defined cases: NULL and empty texts have the features of the empty text; labels other than 0 and 1 and those of
 NULL ids are not learned from; a document with both labels counts under each; where one label is missing there is
@@ -29,8 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firstpast.llm.common import filter_texts, fold, hashed_sample, per_text, slices
+from firstpast.session import materialize
 
 PER_LABEL = 4000
+# Texts of one id and label, at most.
+PER_ID = 4
 PAIRS = 40_000
 RIDGE = 1e-3
 STEPS = 25
@@ -142,16 +146,30 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     some = [hashed_sample(known.where(F.col("label") == k).distinct(), per_label, key) for k in (0, 1)]
     # At most 4 * per_label ids and labels.
     chosen = some[0].union(some[1])
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select("label", text)
+    said = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("said")).withColumn("hash", F.xxhash64("said"))
+    # Ids may repeat in documents: the rows are bounded per id and per label, by hashes of their texts.
+    held = said.join(F.broadcast(chosen.withColumnRenamed(key, "id")), "id").groupBy(
+        "label", "id", F.pmod("hash", F.lit(PER_ID)).alias("part")).agg(F.min("hash").alias("hash"))
+    held = materialize(held.select("label", "id", "hash", F.xxhash64("id", "hash").alias("place")), "labelled-texts")
+    picked = [held.where(F.col("label") == k).orderBy("place", "id").limit(2 * per_label) for k in (0, 1)]
+    rows = said.join(F.broadcast(picked[0].union(picked[1])), ["id", "hash"]).select("label", "place", "said")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=3)
+        compressor, seen = zstandard.ZstdCompressor(level=3), set()
         for batch in slices(batches):
-            made = [features(t or "", compressor) for t in batch.column(1).to_pylist()]
+            kinds, places, made = [], [], []
+            for label, place, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (label, place) not in seen:
+                    seen.add((label, place))
+                    kinds.append(label)
+                    places.append(place)
+                    made.append(features(t, compressor))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int32()), pa.array(made, pa.list_(pa.float64()))], ["label", "row"])
+                [pa.array(kinds, pa.int32()), pa.array(places, pa.int64()), pa.array(made, pa.list_(pa.float64()))],
+                ["label", "place", "row"])
 
-    made = rows.mapInArrow(task, "label int, row array<double>").orderBy("label", "row").limit(8 * per_label).collect()
+    found = rows.mapInArrow(task, "label int, place long, row array<double>").dropDuplicates(["label", "place"])
+    made = found.orderBy("label", "row").collect()
     return learn(np.array([r.row for r in made]).reshape(-1, len(NAMES)), np.array([r.label for r in made], float))
 
 

@@ -66,3 +66,17 @@ def test_preferences_by_brute_force():
     assert model.weights[3] > 3 * np.abs(np.delete(model.weights, 3)).max()
     predicted = np.array([model.score(r.tolist()) >= bt.ACCEPTED for r in rows])
     assert (predicted == (labels == 1)).mean() > 0.85
+
+
+def test_a_repeated_id_does_not_push_a_label_out(spark, documents, labels):
+    known = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    few = [[r.doc_id for r in known.where(F.col("quality") == k).orderBy("doc_id").limit(30).collect()] for k in (0, 1)]
+    some = known.where(F.col("doc_id").isin(few[0] + few[1]))
+    docs = documents.select("doc_id", "text").where(F.col("doc_id").isin(few[0] + few[1]))
+    hot = spark.range(400).select(F.lit(few[0][0]).alias("doc_id"), F.concat(F.lit("# $ buy now "), "id").alias("text"))
+    model = bt.fit(docs.union(hot), some, per_label=40)  # the hot id alone has more rows than 8 * 40
+    assert model.weights.any()
+    assert np.array_equal(bt.fit(docs.union(docs), some, per_label=40).weights, bt.fit(docs, some, per_label=40).weights)
+    predicted = {r.doc_id: r.predicted for r in bt.scored(docs, some, model=model).collect()}
+    kept = [np.mean([predicted[i] for i in few[k] if i in predicted]) for k in (0, 1)]
+    assert kept[0] < 0.35 and kept[1] > 0.8
