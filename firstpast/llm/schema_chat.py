@@ -4,7 +4,8 @@ Conversations come as prompts with completions, instructions with outputs, messa
 lists under several names, or tables of turns. The nested field paths of a record, with kinds
 of values but without the values, are hashed; the fingerprint selects a declarative mapping:
 a list of (role, path), or where the messages lie and what their fields and roles are called. A
-fingerprint that no mapping names falls back to the mapping whose paths it holds, and a
+fingerprint that no mapping names falls back to the mapping whose paths it holds, which names the paths
+that it leaves out, and a
 record that none fits gives no turns but keeps its row, with its fingerprint to be mapped.
 
 Turns become one text per conversation. Every turn is ``<|role|>``, its text and ``<|end|>``. Control strings
@@ -62,20 +63,36 @@ def fingerprint(found: set[str]) -> str:
 
 
 class Mapping(NamedTuple):
-    """How a layout gives turns: fixed turns, or a list of messages, after fixed ones or alone."""
+    """How a layout gives turns: fixed turns, or a list of messages, after fixed ones or alone.
+
+    A list of earlier pairs of user and assistant comes after the system's turn.
+    """
 
     name: str
     turns: tuple[Turn, ...] = ()
     messages: str = ""
     role: str = "role"
     text: str = "content"
+    history: str = ""
 
     def needs(self) -> set[str]:
         listed = {f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"} if self.messages else set()
-        return {p for _, p in self.turns} | listed
+        return {p for _, p in self.turns} | listed | ({self.history + "[]"} if self.history else set())
+
+    def leaves(self, found: set[str]) -> list[str]:
+        """The paths that none of the turns is made from."""
+        said = {p for _, p in self.turns} | ({f"{self.messages}[].{self.text}"} if self.messages else set())
+        taken = self.needs() | {p + more for p in said for more in ("[]", "[].text")}
+        taken |= {self.messages + "[]"} if self.messages else set()
+        return sorted(found - taken - ({self.history + "[][]"} if self.history else set()))
 
     def apply(self, record: dict) -> list[Turn]:
         made = [(role, said) for role, path in self.turns if (said := reach(record, path)) not in (None, "")]
+        earlier = reach(record, self.history) if self.history else None
+        pairs = [(role, said) for pair in earlier or [] if isinstance(pair, list)
+                 for role, said in zip(("user", "assistant") * len(pair), pair) if said not in (None, "")]
+        after = sum(role == "system" for role, _ in made)
+        made[after:after] = pairs
         for message in (reach(record, self.messages) or []) if self.messages else ():
             made.append((ROLES.get(str(message.get(self.role)).lower(), str(message.get(self.role) or "user")),
                          as_text(message.get(self.text))))
@@ -99,7 +116,7 @@ ROLES = {"human": "user", "user": "user", "prompter": "user", "gpt": "assistant"
          "bot": "assistant", "model": "assistant", "system": "system", "tool": "tool", "function": "tool"}
 
 # Layouts, those that need more paths first.
-MAPPINGS = (
+_PLAIN = (
     Mapping("instruction with input", (("system", "system"), ("user", "instruction"), ("user", "input"),
                                        ("assistant", "output"))),
     Mapping("instruction, input", (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
@@ -115,6 +132,12 @@ MAPPINGS = (
     Mapping("question, answer", (("user", "question"), ("assistant", "answer"))),
     Mapping("nested data", (("user", "data.prompt"), ("assistant", "data.completion"))),
 )
+# Each layout also with a system text, and those of instructions with earlier turns.
+_SYSTEM = tuple(m._replace(name=f"{m.name}, system", turns=(("system", "system"), *m.turns))
+                for m in _PLAIN if ("system", "system") not in m.turns and m.name != "conversations")
+_HISTORY = tuple(m._replace(name=f"{m.name}, history", history="history")
+                 for m in (*_PLAIN, *_SYSTEM) if ("user", "instruction") in m.turns)
+MAPPINGS = tuple(sorted((*_PLAIN, *_SYSTEM, *_HISTORY), key=lambda m: -len(m.needs())))
 # What a table of turns is called by, not by record: (conversation, order, role, text).
 TURN_TABLES = {
     frozenset({"conv_id", "turn", "role", "text"}): ("conv_id", "turn", "role", "text"),
@@ -181,9 +204,12 @@ def parsed(text: str) -> list[Turn]:
 # -- jobs ------------------------------------------------------------------------------
 
 def canonical(records: DataFrame, column: str, key: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``key``, ``schema_print``, ``layout`` and ``turns`` of records in JSON text; what is no record has no layout."""
+    """``key``, ``schema_print``, ``layout``, ``turns`` and ``unmapped`` of records in JSON text.
+
+    What is no record has no layout. ``unmapped`` are the paths that no turn is made from.
+    """
     schema = (f"{key} {records.schema[key].dataType.simpleString()}, schema_print string, layout string, "
-              "turns array<struct<role:string,text:string>>")
+              "turns array<struct<role:string,text:string>>, unmapped array<string>")
     fields = arrow_schema(schema)
 
     def one(text: str | None, select: Selector) -> tuple:
@@ -192,11 +218,12 @@ def canonical(records: DataFrame, column: str, key: str, mappings: tuple[Mapping
         except ValueError:
             record = None
         if not isinstance(record, dict):
-            return None, None, []
+            return None, None, [], []
         mark, mapping = select(record)
         if mapping is None:
-            return mark, None, []
-        return mark, mapping.name, [{"role": r, "text": t} for r, t in mapping.apply(record)]
+            return mark, None, [], sorted(paths(record))
+        turns = [{"role": r, "text": t} for r, t in mapping.apply(record)]
+        return mark, mapping.name, turns, mapping.leaves(paths(record))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         select = Selector(mappings)

@@ -55,6 +55,28 @@ def test_layouts(spark):
     assert turns.count() == sum(len(t) for _, _, t in RECORDS)
 
 
+FULL = [
+    ({"system": "s", "messages": [{"role": "user", "content": "u"}]}, [("system", "s"), ("user", "u")], []),
+    ({"system": "s", "prompt": "p", "completion": "c"}, [("system", "s"), ("user", "p"), ("assistant", "c")], []),
+    ({"system": "s", "instruction": "i", "output": "o"}, [("system", "s"), ("user", "i"), ("assistant", "o")], []),
+    ({"instruction": "i", "output": "o", "history": [["q", "a"], ["r", "b"]]},
+     [("user", "q"), ("assistant", "a"), ("user", "r"), ("assistant", "b"), ("user", "i"), ("assistant", "o")], []),
+    ({"system": "s", "instruction": "i", "input": "x", "output": "o", "history": [["q", "a"]]},
+     [("system", "s"), ("user", "q"), ("assistant", "a"), ("user", "i"), ("user", "x"), ("assistant", "o")], []),
+    ({"instruction": "i", "output": "o", "history": []}, [("user", "i"), ("assistant", "o")], []),
+    ({"prompt": "p", "completion": "c", "preamble": "z"}, [("user", "p"), ("assistant", "c")], ["preamble"]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "u"}]}, {"role": "assistant", "content": "a"}]},
+     [("user", "u"), ("assistant", "a")], ["messages[].content[].type"]),
+]
+
+
+def test_nothing_of_a_record_is_lost_unnamed(spark):
+    rows = [(k, json.dumps(r)) for k, (r, _, _) in enumerate(FULL)]
+    got = {r.id: r for r in chat.canonical(spark.createDataFrame(rows, "id long, record string"), "record", "id").collect()}
+    for k, (_, turns, unmapped) in enumerate(FULL):
+        assert [(t.role, t.text) for t in got[k].turns] == turns and got[k].unmapped == unmapped, k
+
+
 def test_fingerprints_see_paths_not_values():
     a = {"x": {"y": 1}, "z": [{"t": "a"}, {"u": 2}]}
     b = {"z": [{"u": 9, "t": "b"}], "x": {"y": "other"}}
