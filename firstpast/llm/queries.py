@@ -15,6 +15,7 @@ from firstpast.llm import (
     compression_bands,
     context_tree,
     ga_packing,
+    line_first,
     pivot_simhash,
     projection_forest,
     schema_chat,
@@ -110,3 +111,12 @@ FROM t GROUP BY conv_id"""
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures and verdict of every document."""
     return compression_bands.measures(texts(spark, sf_dir))
+
+
+@query
+def op11_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those that an earlier document holds dropped."""
+    return line_first.report(texts(spark, sf_dir))
+
+
+CHECKS["op11_line_first"] = line_first.check_sql()
