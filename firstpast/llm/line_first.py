@@ -57,8 +57,10 @@ def row_digest(key: Column, text: Column) -> Column:
 def occurrences(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST) -> DataFrame:
     """``(hash, doc, row, position)`` of every line that is long enough."""
     said = F.col(text)
-    each = docs.select(F.col(key).alias("doc"), row_digest(F.col(key), said).alias("row"),
-                       F.posexplode(split_lines(lower_ascii(said))).alias("position", "line"))
+    # The digest is made before the lines are set apart, or every line would make it again.
+    made = docs.select(F.col(key).alias("doc"), row_digest(F.col(key), said).alias("row"),
+                       split_lines(lower_ascii(said)).alias("lines"))
+    each = made.select("doc", "row", F.posexplode("lines").alias("position", "line"))
     return (each.select("doc", "row", "position", F.trim("line", F.lit(SPACES)).alias("line"))
             .where(F.char_length("line") >= least)
             .select(F.unhex(F.md5("line")).alias("hash"), "doc", "row", "position"))
