@@ -14,6 +14,7 @@ from firstpast.llm import (
     bradley_terry,
     compression_bands,
     context_tree,
+    fragment_align,
     ga_packing,
     line_first,
     pivot_simhash,
@@ -120,3 +121,9 @@ def op11_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHECKS["op11_line_first"] = line_first.check_sql()
+
+
+@query
+def op12_fragment_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document, and how common its links are."""
+    return fragment_align.report(texts(spark, sf_dir))
