@@ -12,6 +12,7 @@ from firstpast.llm import (
     blob_ledger,
     boosted_pii,
     bradley_terry,
+    checkpoint_repair,
     compression_bands,
     context_tree,
     fragment_align,
@@ -127,3 +128,9 @@ CHECKS["op11_line_first"] = line_first.check_sql()
 def op12_fragment_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers over every document, and how common its links are."""
     return fragment_align.report(texts(spark, sf_dir))
+
+
+@query
+def op13_checkpoint_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after damage, and its cheapest repair."""
+    return checkpoint_repair.report(table(spark, sf_dir, "conversations"))
