@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +52,52 @@ def lenient_int(col: str | Column) -> Column:
     """Integer part of a number in text form; anything unreadable becomes NULL."""
     column = F.col(col) if isinstance(col, str) else col
     return column.try_cast("double").try_cast("bigint")
+
+
+# -- tuples as one number ---------------------------------------------------------
+
+_REST = 1 << 63
+
+
+def packed(time: str | Column, *parts: tuple[Column, int]) -> Column:
+    """``time`` and the parts behind it as one DECIMAL(38,0) that sorts like the tuple of them.
+
+    A part lies in [0, size); the sizes' product is at most 2^63, and so is ``time``. A hash aggregate can keep the least
+    of such numbers in place, while for the least struct that holds text Spark sorts.
+    """
+    rest, room = F.lit(0).cast("bigint"), 1
+    for part, size in parts:
+        rest, room = rest * F.lit(size) + part, room * size
+    if room > _REST:
+        raise ValueError("the parts need more than 63 bits")
+    column = F.col(time) if isinstance(time, str) else time
+    return column.cast("decimal(19,0)") * F.lit(Decimal(_REST)) + rest
+
+
+def unpacked(number: str | Column, *sizes: int) -> list[Column]:
+    """The parts of a packed number, given their sizes in the same order."""
+    rest = F.pmod(number, F.lit(Decimal(_REST))).cast("bigint")
+    found = []
+    for size in reversed(sizes):
+        found.append(F.pmod(rest, F.lit(size).cast("bigint")))
+        rest = F.call_function("div", rest, F.lit(size).cast("bigint"))
+    return found[::-1]
+
+
+def time_of(number: str | Column) -> Column:
+    """The time of a packed number."""
+    rest = F.pmod(number, F.lit(Decimal(_REST)))
+    column = F.col(number) if isinstance(number, str) else number
+    return F.call_function("div", column - rest, F.lit(Decimal(_REST)))
+
+
+def leading_bytes(text: str, n: int) -> Column:
+    """The first ``n`` bytes (7 at most) of a text as a number that sorts like them."""
+    digits = F.rpad(F.substring(F.hex(text), 1, 2 * n), 2 * n, "0")
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
+def code_of(text: str | Column, bits: int = 60) -> Column:
+    """A number for a text, equal for equal texts: 0 for NULL, else a hash in [1, 2^bits]."""
+    code = F.xxhash64(text).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    return F.when((F.col(text) if isinstance(text, str) else text).isNull(), F.lit(0).cast("bigint")).otherwise(code)

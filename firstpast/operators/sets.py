@@ -7,6 +7,10 @@ Every step reduces by algebraic aggregates that combine map-side, and arrays are
 only collected over distinct positions (at most 2 x 128 per provider and set), so
 neither a flooded set nor one provider with a large share of all packets ends up
 in a single task.
+
+"The first of several, and what it said" is the least of numbers that hold the time in front and what was
+said behind it (``numeric.packed``), so the aggregates keep fixed-width values and work by hashing. Texts are
+either grouping columns or stand-in numbers (``numeric.code_of``).
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firstpast.functions.numeric import saturating_sub
+from firstpast.functions.numeric import code_of, leading_bytes, packed, saturating_sub, time_of, unpacked
 from firstpast.operators.race import SET_RACE, race_anchor, race_min
 
 # Fixed values.
@@ -27,9 +31,16 @@ DELAY_EDGES_NS = (
     20_000_000, 50_000_000, 100_000_000,
 )
 
+# Counts in packet headers are 16 bits wide.
+_COUNT = 1 << 16
+# A stand-in number of a text, NULL included; the bytes of a payload hash that settle ties.
+_CODE_BITS = 59
+_CODE = (1 << _CODE_BITS) + 1
+_TIE, _SHORT_TIE = 1 << 56, 1 << 24
+
 PROVIDER_SET = ("provider", *SET_RACE)
-_CONTENT = ("is_code", "position", "shred_index", "num_data", "num_coding", "data_complete",
-            "last_in_slot", "merkle_ok", "sig_ok", "data_hash", "root", "version", "leader")
+# What the bytes of a payload fix.
+_FIXED = ("is_code", "position", "shred_index", "num_data", "num_coding", "data_complete", "last_in_slot")
 
 
 def acceptance(merkle_ok: str = "merkle_ok", sig_ok: str = "sig_ok") -> Column:
@@ -38,22 +49,48 @@ def acceptance(merkle_ok: str = "merkle_ok", sig_ok: str = "sig_ok") -> Column:
     return F.when(failed, "bad").when(F.col(sig_ok).isNull(), "unverifiable").otherwise("ok")
 
 
+def _three_valued(flag: str) -> Column:
+    """NULL, false, true as 0, 1, 2."""
+    return F.when(F.col(flag), 2).when(~F.col(flag), 1).otherwise(0)
+
+
+def _flag_of(code: Column) -> Column:
+    return F.when(code == 2, True).when(code == 1, False)
+
+
+def _code(text: str) -> Column:
+    return code_of(text, _CODE_BITS)
+
+
 def dedup_payload(shreds: DataFrame, *also: Column) -> DataFrame:
     """One row per distinct payload of a (provider, set): its first arrival and copies.
 
     A byte-identical copy is a duplicate before any validity check and never moves
-    a timestamp. Arrival ties are settled by content, so reruns agree. ``also``
-    adds grouping columns (a stream's event-time window).
+    a timestamp. Arrival ties are settled by the verdict on the signature and the content, so reruns agree. ``also``
+    adds grouping columns (a stream's event-time window). Of the content hash a stand-in ``data_code`` is
+    returned (0: none), of a leader ``leader_code``; ``name_data`` and ``set_rows`` give the texts back.
     """
-    # The hash leads the key: where the aggregate sorts, it tells rows apart at once.
+    # The hash leads the key: where rows are compared, it tells them apart at once.
     keys = ["payload_hash", "slot", "fec_set_index", "provider"]
-    content = [c for c in _CONTENT if c in shreds.columns]
-    first = F.min(F.struct("rx_ns", *content)).alias("first")
-    return (shreds.filter(all_known(*keys)).groupBy(*also, *keys).agg(first, F.count("*").alias("copies"))
-            # Always true. It keeps the whole aggregate in use by every reader, so that
-            # branches over the distinct payloads share one scan and one exchange.
-            .filter(F.col("copies") > 0)
-            .select(*keys, "copies", "first.*"))
+    # Verdicts are no grouping columns either: a filter on them would reach one reader's scan and undo the sharing.
+    first = F.min(packed("rx_ns", (_three_valued("merkle_ok"), 3), (_three_valued("sig_ok"), 3), (_code("data_hash"), _CODE))).alias("first")
+    name = F.when(F.col("leader").isNotNull(), F.xxhash64("leader")) if "leader" in shreds.columns else None
+    leader = [] if name is None else [F.max(name).alias("leader_code")]
+    merkle, sig, data = unpacked("first", 3, 3, _CODE)
+    return (shreds.filter(all_known(*keys)).groupBy(*also, *keys, *_FIXED)
+            .agg(F.min("rx_ns").alias("rx_ns"), first, F.count("*").alias("copies"), *leader)
+            .filter(_all_in_use("copies", "rx_ns", "first"))
+            .withColumns({"merkle_ok": _flag_of(merkle), "sig_ok": _flag_of(sig)})
+            .withColumn("data_code", data).drop("first"))
+
+
+def _all_in_use(count: str, *others: str) -> Column:
+    """Always true. It keeps a whole aggregate in use by every reader, so that
+    branches over it share one scan and one exchange."""
+    always = F.col(count) > 0
+    for col in others:
+        always = always | F.col(col).isNull()
+    return always
 
 
 def all_known(*cols: str) -> Column:
@@ -75,21 +112,38 @@ def match_truth(distinct: DataFrame) -> DataFrame:
 
     ``failure`` is invalid_sig (same content), invalid_data (different content) or
     invalid_unknown (no authenticated copy, or no content hash). Data and code
-    packets overlap in index, so ``is_code`` is part of the key. The truth has one
+    packets overlap in index, so ``is_code`` is part of the key. The truth, the last authenticated copy, has one
     row per packet, so many failing copies of one packet are split by the skew join.
     """
-    packet = [*SET_RACE, "is_code", "shred_index"]
-    truth = (distinct.filter((F.col("verdict") == "ok") & F.col("data_hash").isNotNull())
+    # Keys that are never NULL, so that the join asks for no filter in one branch only; packets without a place match nothing.
+    packet = [*SET_RACE, "kind", "index"]
+    distinct = distinct.withColumns({"kind": _three_valued("is_code"), "index": F.coalesce("shred_index", F.lit(-1).cast("bigint"))})
+    # The winner's content number in two halves behind the same time and tie; each is the maximum of one number.
+    half = 1 << 38
+    tie = (leading_bytes("payload_hash", 3), _SHORT_TIE)
+    low = (F.pmod("data_code", F.lit(half).cast("bigint")), half)
+    high = (F.shiftright("data_code", 38), 1 << 23)
+    truth = (distinct.filter((F.col("verdict") == "ok") & (F.col("data_code") > 0))
              .groupBy(*packet)
-             .agg(F.max(F.struct("rx_ns", "payload_hash", "data_hash")).alias("last"))
-             .select(*packet, F.col("last.data_hash").alias("true_hash")))
-    failing = distinct.filter(F.col("verdict") == "bad").select("provider", *packet, "data_hash", "rx_ns")
-    same = F.col("data_hash") == F.col("true_hash")
-    return (failing.join(truth, packet, "left")
-            .withColumn("failure", F.when(same, "invalid_sig").when(~same, "invalid_data")
+             .agg(F.max(packed("rx_ns", tie, low)).alias("low"), F.max(packed("rx_ns", tie, high)).alias("high"))
+             .select(*packet, (unpacked("high", _SHORT_TIE, 1 << 23)[1] * F.lit(half) + unpacked("low", _SHORT_TIE, half)[1])
+                     .alias("true_code")))
+    failing = distinct.filter(F.col("verdict") == "bad").select("provider", *packet, "is_code", "shred_index", "data_code", "rx_ns")
+    known = F.col("true_code").isNotNull() & (F.col("data_code") > 0) & all_known("is_code", "shred_index")
+    same = F.col("data_code") == F.col("true_code")
+    return (failing.join(truth, packet, "left").drop("kind", "index")
+            .withColumn("failure", F.when(known & same, "invalid_sig").when(known, "invalid_data")
                         .otherwise("invalid_unknown")))
 
 
+def name_data(matched: DataFrame, shreds: DataFrame) -> DataFrame:
+    """Content hashes, ``data_hash`` and ``true_hash``, in place of their stand-in numbers."""
+    names = shreds.select(_code("data_hash").alias("code"), F.col("data_hash").alias("said")).distinct()
+    for code, name in (("data_code", "data_hash"), ("true_code", "true_hash")):
+        matched = matched.join(names.toDF(code, name), code, "left").drop(code)
+    return matched
+
+
 def invalid_split(distinct: DataFrame) -> DataFrame:
     """Failures per (provider, set) by kind; the three always sum to ``invalid``."""
     kinds = ("invalid_sig", "invalid_data", "invalid_unknown")
@@ -100,7 +154,26 @@ def invalid_split(distinct: DataFrame) -> DataFrame:
 
 def kth_arrival(arrivals: str, k: str) -> Column:
     """k-th smallest of an array of arrival times; NULL if k is 0 or too few arrived."""
-    return F.when(F.col(k) > 0, F.try_element_at(F.array_sort(F.col(arrivals)), F.col(k).cast("int")))
+    return F.when(F.col(k) > 0, F.try_element_at(F.sort_array(F.col(arrivals)), F.col(k).cast("int")))
+
+
+def _count_or_none(count: str | Column) -> tuple[Column, int]:
+    """A 16-bit count that may be missing, as a part of a packed number."""
+    return F.coalesce((F.col(count) if isinstance(count, str) else count) + 1, F.lit(0).cast("bigint")), _COUNT + 1
+
+
+def _count_of(part: Column) -> Column:
+    return F.when(part > 0, part - 1)
+
+
+def _sized(when: Column, num_data: Column, num_coding: Column) -> Column:
+    """The first packet that tells the set's size, with what it tells."""
+    return F.min(F.when(when, packed("rx_ns", (leading_bytes("payload_hash", 3), _SHORT_TIE),
+                                     _count_or_none(num_data), _count_or_none(num_coding))))
+
+
+def _sizes(sized: str) -> list[Column]:
+    return [_count_of(part) for part in unpacked(sized, _SHORT_TIE, _COUNT + 1, _COUNT + 1)[1:]]
 
 
 def _learned_counts() -> Column:
@@ -108,17 +181,15 @@ def _learned_counts() -> Column:
     accepted data packet flagged as the set's last (coding count then unknown)."""
     known = (F.col("verdict") == "ok") & (F.col("is_code") | F.coalesce("data_complete", F.lit(False)))
     from_data = F.pmod(F.col("position") + 1, F.lit(65536).cast("bigint"))
-    return F.min(F.when(known, F.struct(
-        "rx_ns", "payload_hash",
-        F.when(F.col("is_code"), F.col("num_data")).otherwise(from_data).alias("num_data"),
-        F.when(F.col("is_code"), F.col("num_coding")).alias("num_coding"))))
+    return _sized(known, F.when(F.col("is_code"), F.col("num_data")).otherwise(from_data),
+                  F.when(F.col("is_code"), F.col("num_coding")))
 
 
 def _per_position(distinct: DataFrame) -> DataFrame:
     """(provider, set, kind, position) partial totals of distinct payloads."""
     ok = F.col("verdict") == "ok"
     counted = ok & (F.col("position") < MAX_POSITION)
-    leader = F.col("leader") if "leader" in distinct.columns else F.lit(None).cast("string")
+    leader = [F.max("leader_code").alias("leader_code")] if "leader_code" in distinct.columns else []
     return (distinct
             .groupBy(*SET_RACE, "provider",
                      F.when(counted, F.col("is_code")).alias("kind"),
@@ -130,13 +201,14 @@ def _per_position(distinct: DataFrame) -> DataFrame:
                  F.sum(F.col("copies") - 1).alias("duplicated"),
                  F.count_if(F.col("verdict") == "unverifiable").alias("sig_unverifiable"),
                  F.count_if(F.col("verdict") == "bad").alias("invalid"),
-                 F.max(leader).alias("leader"),
                  F.max(ok & ~F.col("is_code") & F.coalesce("last_in_slot", F.lit(False))).alias("last_in_slot"),
-                 _learned_counts().alias("learned")))
+                 _learned_counts().alias("learned"), *leader))
 
 
 def fold_positions(per_position: DataFrame) -> DataFrame:
     """Fold per-position totals into one row per (provider, set), failures unsplit."""
+    leader = ["leader_code"] if "leader_code" in per_position.columns else []
+    learned_data, learned_coding = _sizes("learned")
     folded = (per_position.groupBy(*PROVIDER_SET)
               .agg(F.collect_list("arrival").alias("arrivals"),
                    F.count_if(F.col("kind").isNotNull() & ~F.col("kind")).alias("n_data"),
@@ -146,17 +218,16 @@ def fold_positions(per_position: DataFrame) -> DataFrame:
                    F.sum("duplicated").alias("duplicated"),
                    F.sum("sig_unverifiable").alias("sig_unverifiable"),
                    F.sum("invalid").alias("invalid"),
-                   F.max("leader").alias("leader"),
                    F.max("last_in_slot").alias("last_in_slot"),
-                   F.min("learned").alias("learned"))
-              .withColumn("num_data", F.col("learned.num_data"))
-              .withColumn("expected_total", F.col("learned.num_data") + F.col("learned.num_coding"))
+                   F.min("learned").alias("learned"), *[F.max(c).alias(c) for c in leader])
+              .withColumn("num_data", learned_data)
+              .withColumn("expected_total", learned_data + learned_coding)
               .withColumn("delivered", F.col("n_data") + F.col("n_code"))
               .withColumn("decode_ns", kth_arrival("arrivals", "num_data")))
     valid = ((F.col("invalid") == 0) & (F.col("sig_unverifiable") == 0)
              & F.col("decode_ns").isNotNull())
     return folded.select(
-        *PROVIDER_SET, "leader",
+        *PROVIDER_SET, *leader,
         F.coalesce("first_ok", "created_ns").alias("first_ns"), "decode_ns",
         F.coalesce("last_ok", "created_ns").alias("last_ns"),
         "n_data", "n_code", "expected_total",
@@ -166,7 +237,14 @@ def fold_positions(per_position: DataFrame) -> DataFrame:
 
 def set_rows(shreds: DataFrame) -> DataFrame:
     """The 19-column result row per (provider, slot, set)."""
-    return rows_of_distinct(judged(shreds))
+    rows = rows_of_distinct(judged(shreds))
+    if "leader" not in shreds.columns:
+        return rows
+    # Leaders are few; one row each gives the name back.
+    names = (shreds.filter(F.col("leader").isNotNull()).select(F.xxhash64("leader").alias("leader_code"), F.col("leader").alias("named"))
+             .distinct())
+    named = rows.join(names, "leader_code", "left").withColumn("leader", F.col("named"))
+    return named.select(*[c for c in rows.columns if c != "leader_code"])
 
 
 def rows_of_distinct(distinct: DataFrame) -> DataFrame:
@@ -178,7 +256,7 @@ def rows_of_distinct(distinct: DataFrame) -> DataFrame:
         return F.coalesce(col, F.lit(0).cast("bigint")).alias(col)
 
     return rows.select(
-        *PROVIDER_SET, "leader", "first_ns", "decode_ns", "last_ns", "n_data", "n_code",
+        *PROVIDER_SET, *[c for c in rows.columns if c == "leader_code"], F.lit(None).cast("string").alias("leader"), "first_ns", "decode_ns", "last_ns", "n_data", "n_code",
         "expected_total", "missed", "invalid", count("invalid_sig"), count("invalid_data"),
         count("invalid_unknown"), "duplicated", "sig_unverifiable", "is_valid", "last_in_slot")
 
@@ -223,7 +301,18 @@ def _eligible(version: int | None) -> Column:
     return matches & F.col("root").isNotNull()
 
 
-def set_facts(packets: DataFrame, version: int | None = None) -> DataFrame:
+def payload_variants(packets: DataFrame, version: int | None = None) -> DataFrame:
+    """Packets of one provider and set that are alike in payload, root, version and verdict, as one row.
+
+    Facts of sets and distinct payloads are both taken from these rows, so that they share one scan and one exchange.
+    """
+    keys = ["payload_hash", *PROVIDER_SET]
+    return (packets.filter(all_known(*keys))
+            .groupBy(*keys, "is_code", "position", "num_data", "num_coding", "sig_ok", "root", _eligible(version).alias("eligible"))
+            .agg(F.min("rx_ns").alias("rx_ns"), F.count("*").alias("copies")).filter(_all_in_use("copies", "rx_ns")))
+
+
+def _facts(variants: DataFrame) -> DataFrame:
     """Per set, over the packets of all providers in arrival order: the first root shown
     (by a packet of the right version), the first signature verdict reached under that
     root, and the size with the moment it became known (the first code packet, sound
@@ -231,22 +320,28 @@ def set_facts(packets: DataFrame, version: int | None = None) -> DataFrame:
 
     Packets are reduced per (set, root) first; a sound set shows one root.
     """
-    at = F.struct("rx_ns", "payload_hash")
-    eligible = _eligible(version)
-    roots = (packets.groupBy(*SET_RACE, F.when(eligible, F.col("root")).alias("set_root"))
-             .agg(F.min(F.when(eligible, at)).alias("shown_at"),
-                  F.min(F.when(F.col("sig_ok").isNotNull(), F.struct("rx_ns", "payload_hash", "sig_ok")))
-                  .alias("verdict"),
-                  F.min(F.when(F.col("is_code"), F.struct("rx_ns", "payload_hash", "num_data", "num_coding")))
-                  .alias("size")))
-    known = F.col("size").isNotNull()
-    return (roots.groupBy(*SET_RACE)
-            .agg(F.min(F.when(F.col("set_root").isNotNull(), F.struct("shown_at", "set_root", "verdict")))
-                 .alias("first"), F.min("size").alias("size"))
-            .select(*SET_RACE, F.col("first.set_root").alias("set_root"),
-                    F.col("first.verdict.sig_ok").alias("set_sig_ok"),
-                    F.col("size.num_data").alias("set_data"), F.col("size.num_coding").alias("set_coding"),
-                    F.when(known, F.struct("size.rx_ns", "size.payload_hash")).alias("known_at")))
+    variants = variants.withColumn("tie", leading_bytes("payload_hash", 7))
+    tie = (F.col("tie"), _TIE)
+    judged_ = F.col("sig_ok").isNotNull()
+    roots = (variants.groupBy(*SET_RACE, F.when(F.col("eligible"), F.col("root")).alias("set_root"))
+             .agg(F.min(F.when(F.col("eligible"), packed("rx_ns", tie))).alias("shown_at"),
+                  F.min(F.when(judged_, packed("rx_ns", tie, (_three_valued("sig_ok"), 3)))).alias("sig"),
+                  F.min(F.when(F.col("is_code"), packed("rx_ns", tie))).alias("known_at"),
+                  _sized(F.col("is_code"), F.col("num_data"), F.col("num_coding")).alias("size"))
+             .filter(all_known(*SET_RACE)))
+    sets_ = roots.groupBy(*SET_RACE).agg(*[F.min(c).alias(c) for c in ("shown_at", "known_at", "size")])
+    verdict = unpacked("sig", _TIE, 3)[1]
+    shown = roots.filter(F.col("shown_at").isNotNull()).select(
+        *SET_RACE, "shown_at", "set_root", _flag_of(verdict).alias("set_sig_ok"))
+    set_data, set_coding = _sizes("size")
+    return (sets_.join(shown, [*SET_RACE, "shown_at"], "left")
+            .select(*SET_RACE, "set_root", "set_sig_ok", set_data.alias("set_data"), set_coding.alias("set_coding"),
+                    time_of("known_at").alias("known_ns"), unpacked("known_at", _TIE)[0].alias("known_tie")))
+
+
+def set_facts(packets: DataFrame, version: int | None = None) -> DataFrame:
+    """The first root, signature verdict and size of every set."""
+    return _facts(payload_variants(packets, version))
 
 
 def _sound(version: int | None) -> Column:
@@ -273,37 +368,48 @@ def live_set_stats(packets: DataFrame, version: int | None = None) -> DataFrame:
     not. A provider can decode at its first sound packet at or after both that
     moment and its own ``num_data``-th distinct position.
     """
-    at = F.struct("rx_ns", "payload_hash")
+    variants = payload_variants(packets, version)
+    facts = _facts(variants).withColumn("root_code", _code("set_root")).drop("set_root")
+    # The first arrival of a payload, and what it showed: whether it was eligible, and its root.
+    said = F.min(packed("rx_ns", (F.when(F.col("eligible"), _code("root")).otherwise(0), _CODE))).alias("said")
+    payloads = (variants.groupBy("payload_hash", *PROVIDER_SET, "is_code", "position")
+                .agg(F.min("rx_ns").alias("rx_ns"), F.sum("copies").alias("copies"), said))
+    shown = unpacked("said", _CODE)[0]
+    # At or after the packet that told the size, payloads settling equal times.
+    known = (F.col("rx_ns") > F.col("known_ns")) | (
+        (F.col("rx_ns") == F.col("known_ns")) & (leading_bytes("payload_hash", 7) >= F.col("known_tie")))
     sound = F.col("structural")
     counted = sound & (F.col("position") < MAX_POSITION)
     # The set's facts are the same on all its rows; max only carries them along.
-    carried = [F.max(c).alias(c) for c in ("set_data", "set_coding", "known_at", "set_sig_ok")]
+    carried = [F.max(c).alias(c) for c in ("set_data", "set_coding", "known_ns", "set_sig_ok")]
     per_position = (
-        dedup_payload(packets).join(set_facts(packets, version), list(SET_RACE))
-        .withColumn("structural", _sound(version))
+        payloads.join(facts, list(SET_RACE))
+        .withColumn("structural", (shown > 0) & (shown == F.col("root_code")))
         .groupBy(*SET_RACE, "provider",
                  F.when(counted, F.col("is_code")).alias("kind"),
                  F.when(counted, F.col("position")).alias("slot_position"))
-        .agg(F.min(F.when(counted, at)).alias("arrival"),
+        .agg(F.min(F.when(counted, F.col("rx_ns"))).alias("arrival"),
              F.min(F.when(sound, F.col("rx_ns"))).alias("first_ok"),
              F.max(F.when(sound, F.col("rx_ns"))).alias("last_ok"),
-             F.min(F.when(sound & (at >= F.col("known_at")), at)).alias("first_known"),
+             F.min(F.when(sound & known, F.col("rx_ns"))).alias("first_known"),
              F.sum("copies").alias("received"),
              F.sum(F.col("copies") - 1).alias("duplicated"),
              F.count_if(~sound).alias("invalid"),
              *carried))
     folded = (per_position.groupBy(*PROVIDER_SET)
-              .agg(F.array_sort(F.collect_list("arrival")).alias("arrivals"),
+              .agg(F.sort_array(F.collect_list("arrival")).alias("arrivals"),
                    F.count("kind").alias("delivered"),
                    F.min("first_ok").alias("first_ok"), F.max("last_ok").alias("last_ok"),
                    F.min("first_known").alias("first_known"),
                    F.sum("received").alias("received"),
                    F.sum("duplicated").alias("duplicated"), F.sum("invalid").alias("invalid"), *carried))
     kth = F.try_element_at("arrivals", F.col("set_data").cast("int"))
-    decode = (F.when(F.col("set_data") == 0, F.col("first_known.rx_ns"))
+    # Enough positions at a time when the size was known; where both times are equal, the first sound packet from then on
+    # tells whether it came before or after the one that told the size.
+    decode = (F.when(F.col("set_data") == 0, F.col("first_known"))
               .when(kth.isNull(), F.lit(None).cast("bigint"))
-              .when(kth >= F.col("known_at"), kth["rx_ns"])
-              .otherwise(F.col("first_known.rx_ns")))
+              .when(kth > F.col("known_ns"), kth)
+              .otherwise(F.col("first_known")))
     expected = F.col("set_data") + F.col("set_coding")
     return folded.select(
         *PROVIDER_SET, "first_ok", F.when(F.col("set_data").isNotNull(), decode).alias("decode"),

@@ -204,7 +204,8 @@ def invalid_split(spark, sf_dir):
 
 @query
 def truth_match(spark, sf_dir):
-    matched = sets.match_truth(sets.judged(_shreds(spark, sf_dir)))
+    shreds = _shreds(spark, sf_dir)
+    matched = sets.name_data(sets.match_truth(sets.judged(shreds)), shreds)
     return matched.groupBy(*[c for c in matched.columns if c != "rx_ns"]).agg(F.count("*").alias("packets"))
 
 

@@ -76,6 +76,14 @@ def test_set_rows_scan_packets_once(spark, sf_dir):
     assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") >= 2
 
 
+@pytest.mark.parametrize("name", ["set_rows", "invalid_split", "retransmits", "anchored_set_stats", "provider_counters", "delay_histogram"])
+def test_sets_aggregate_by_hash_over_one_scan(spark, sf_dir, name):
+    """First copies, sizes and arrivals are kept as numbers, so no aggregate sorts its input."""
+    plan = final_plan(__spark_entry__.queries()[name](spark, sf_dir))
+    assert "SortAggregate" not in plan
+    assert sum("FileScan" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
+
+
 def test_head_to_head_forms_pairs_without_a_join(spark):
     ranked = spark.createDataFrame([("h", 1, 0, "a", 0)], "hub string, slot long, fec_set_index long, source string, rank long")
     from firstpast.operators.h2h import head_to_head

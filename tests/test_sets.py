@@ -141,6 +141,38 @@ def test_acceptance_is_three_valued(spark):
     assert got == ["ok", "unverifiable", "bad", "bad", "bad"]
 
 
+def test_leaders_keep_their_names(spark):
+    one, two = shred(0, slot=1), shred(0, slot=2)
+    late = dict(shred(0, slot=1, pos=1), leader="val-1")
+    got = rows(spark, one, late, dict(two, leader="val-2"), shred(0, slot=3))
+    assert {k[1]: r.leader for k, r in got.items()} == {1: "val-1", 2: "val-2", 3: None}
+
+
+def test_content_ties_and_names(spark):
+    """The last authenticated copy is the truth; of equal times the higher payload's."""
+    df = spark.createDataFrame([tuple(s[c] for c in schema.columns("shreds")) for s in (
+        shred(0, pos=3, rx=5, data="aa", payload="ff"), shred(2, pos=3, rx=5, data="bb", payload="0f"),
+        shred(1, pos=3, rx=9, data="aa", ok=False), shred(1, pos=3, rx=9, data="bb", ok=False, payload="z"),
+        shred(1, pos=4, rx=9, data=None, ok=False))], schema.of("shreds"))
+    got = sets.name_data(sets.match_truth(sets.judged(df)), df).collect()
+    assert {(r.shred_index, r.data_hash, r.true_hash, r.failure) for r in got} == {
+        (3, "aa", "aa", "invalid_sig"), (3, "bb", "aa", "invalid_data"), (4, None, None, "invalid_unknown")}
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_packed_numbers_sort_like_tuples(spark, order):
+    """Times up to the largest, parts at both ends of their ranges, ties settled by the parts in turn."""
+    import itertools
+    from firstpast.functions.numeric import packed, time_of, unpacked
+    rows_ = list(itertools.product([0, 1, 1_700_000_000_000_000_000, (1 << 63) - 1], [0, 1, 1 << 56], [0, 2]))[::order]
+    df = spark.createDataFrame(rows_, "t long, a long, b long")
+    number = packed("t", (F.col("a"), (1 << 56) + 1), (F.col("b"), 3))
+    out = df.withColumn("n", number).withColumn("t_", time_of("n"))
+    out = out.select("*", *[c.alias(x) for c, x in zip(unpacked("n", (1 << 56) + 1, 3), "xy")]).orderBy("n").collect()
+    assert [(r.t, r.a, r.b) for r in out] == sorted(rows_)
+    assert all((r.t, r.a, r.b) == (r.t_, r.x, r.y) for r in out)
+
+
 # -- contested scoreboard ------------------------------------------------------
 
 def set_row(provider, fec, decode, valid=True):
