@@ -1,10 +1,11 @@
 """Closing slots of a packet stream by the slots of accepted packets.
 
-Packets wait in a table of the shared folder, in folders by batch and by bucket of ``WIDTH`` slots, until
-their slot closes. The tip of the stream is the highest slot of a packet that passed its checks, so neither a forged
+The tip of the stream is the highest slot of a packet that passed its checks, so neither a forged
 slot nor a corrupt packet can close anything. A batch closes the slots in
-(old tip - wait, new tip - wait], reads only their buckets, and hands the packets
-to a batch operator. Packets at or below the old cutoff come too late; they are counted one by one and dropped.
+(old tip - wait, new tip - wait] and hands their packets to a batch operator: those that come with the batch, and those
+that wait in the shared folder (``waiting``). Only packets whose slot stays open are written to wait, in folders
+that are named in the state row and removed when their slots are closed. Packets at or below the old cutoff come
+too late; they are counted one by one and dropped.
 
 Every batch writes folders of its own and overwrites them on replay, and a batch sees only what earlier
 ones left, so a restarted query gives the same rows.
@@ -14,14 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from firstpast.operators import sets, txns
-from firstpast.streaming import sinks
-from firstpast.streaming.sinks import earlier_batches
+from firstpast.streaming import sinks, waiting
+from firstpast.streaming.waiting import State
 
 # Fixed values.
 WAIT_SLOTS = 10
@@ -29,8 +30,6 @@ RETIRE_SLOTS = 64
 # Slots in one folder of waiting packets.
 WIDTH = 256
 
-_TIP = "tip bigint, late bigint"
-
 
 def plausible() -> Column:
     return (F.col("slot") >= 0) & (F.col("slot") < sets.MAX_PLAUSIBLE_SLOT)
@@ -46,6 +45,12 @@ def land(packets: DataFrame, path: str, batch_id: int) -> None:
      .parquet(f"{path}/batch={batch_id}"))
 
 
+def of_buckets(spark: SparkSession, path: str, schema: StructType, batch_id: int, wanted: list[int]) -> DataFrame:
+    """Rows of these buckets, of the batches up to ``batch_id``."""
+    table = spark.read.schema(StructType([*schema.fields]).add("batch", "long").add("bucket", "long")).parquet(path)
+    return table.filter((F.col("batch") <= batch_id) & F.col("bucket").isin(wanted)).drop("batch", "bucket")
+
+
 def buckets(spark: SparkSession, path: str, schema: StructType, batch_id: int, above: int | None, upto: int | None) -> DataFrame:
     """Rows of the buckets that hold slots in (above, upto], of the batches up to ``batch_id``."""
     table = spark.read.schema(StructType([*schema.fields]).add("batch", "long").add("bucket", "long")).parquet(path)
@@ -65,16 +70,13 @@ def landed(spark: SparkSession, path: str, schema: StructType, batch_id: int, ab
     return found if upto is None else found.filter(F.col("slot") <= upto)
 
 
-def tip_of(spark: SparkSession, store: str, before: int) -> tuple[int | None, int]:
-    """Tip and number of late packets after the batches before this one."""
-    row = (earlier_batches(spark, f"{store}/tip", _TIP, before)
-           .agg(F.max("tip").alias("tip"), F.sum("late").alias("late")).first())
-    return row.tip, row.late or 0
-
-
 def late_packets(spark: SparkSession, store: str) -> int:
     """Packets that came for a closed slot, each copy counted."""
-    return tip_of(spark, store, 1 << 62)[1]
+    return waiting.last_state(spark, store).late
+
+
+def _latest(*slots: int | None) -> int | None:
+    return max((s for s in slots if s is not None), default=None)
 
 
 def closing(store: str, out: str, run: Callable[[DataFrame], DataFrame], accepted: Column,
@@ -82,21 +84,28 @@ def closing(store: str, out: str, run: Callable[[DataFrame], DataFrame], accepte
     """A batch function that writes ``run`` of the packets of every slot once, when the slot closes."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        tip, _ = tip_of(spark, store, batch_id)
-        cutoff = None if tip is None else tip - wait
+        before = waiting.settle(spark, store, batch_id)
+        cutoff = None if before.tip is None else before.tip - wait
         late = F.lit(False) if cutoff is None else F.col("slot") <= cutoff
-        seen = Observation()
-        rows = batch.filter(plausible()).observe(
-            seen, F.max(F.when(accepted & ~late, F.col("slot"))).alias("tip"), F.count_if(late).alias("late"))
-        land(rows.filter(~late), f"{store}/packets", batch_id)
-        counted = seen.get
-        new_tip = max((t for t in (tip, counted["tip"]) if t is not None), default=None)
-        if new_tip is not None and (cutoff is None or new_tip - wait > cutoff):
-            closed = landed(spark, f"{store}/packets", batch.schema, batch_id, cutoff, new_tip - wait)
-            sinks.write_batch(run(closed), out, batch_id)
-        # Last, so that a batch that dies before it is done is done again from the same tip.
-        (spark.range(1).select(F.lit(new_tip).cast("bigint").alias("tip"), F.lit(counted["late"]).cast("bigint").alias("late"))
-         .write.mode("overwrite").parquet(f"{store}/tip/batch={batch_id}"))
+        rows = batch.filter(plausible())
+        # The batch's own slots and verdicts are read first: then no packet is written that this batch closes.
+        seen = rows.agg(F.max(F.when(accepted & ~late, F.col("slot"))).alias("tip"), F.count_if(late).alias("late")).first()
+        tip = _latest(before.tip, seen.tip)
+        fresh, kept, closed = rows.filter(~late), before.open, ()
+        if tip is not None and (cutoff is None or tip - wait > cutoff):
+            upto = tip - wait
+            due = [p for p in before.open if p.low <= upto]
+            inside = waiting.within(F.col("slot"), cutoff, upto)
+            closes = fresh.filter(inside)
+            if due:
+                closes = closes.unionByName(waiting.read(spark, store, batch.schema, due).filter(inside))
+            sinks.put_batch(run(closes), out, batch_id)
+            fresh = fresh.filter(F.col("slot") > upto)
+            closed = tuple(p for p in before.open if p.high <= upto)
+            kept = tuple(p for p in before.open if p.high > upto)
+        kept += waiting.put(fresh, store, batch_id, tip)
+        # Last, so that a batch that dies before it is done is done again from the same state.
+        waiting.write_state(spark, store, batch_id, State(tip, before.late + seen.late, kept, closed))
 
     return process
 
@@ -104,12 +113,14 @@ def closing(store: str, out: str, run: Callable[[DataFrame], DataFrame], accepte
 def drain(spark: SparkSession, schema: StructType, store: str, out: str, run: Callable[[DataFrame], DataFrame],
           wait: int = WAIT_SLOTS) -> None:
     """Close every slot that is still open, once the stream has ended."""
-    last = sinks.last_batch(spark, f"{store}/tip", _TIP)
+    last = waiting.last_batch(spark, store)
     if last is None:
         return
-    tip, _ = tip_of(spark, store, 1 << 62)
-    rest = landed(spark, f"{store}/packets", schema, last, None if tip is None else tip - wait, None)
-    sinks.write_batch(run(rest), out, last + 1)
+    state = waiting.read_state(spark, store, last)
+    rest = waiting.read(spark, store, schema, state.open)
+    if state.tip is not None:
+        rest = rest.filter(F.col("slot") > state.tip - wait)
+    sinks.put_batch(run(rest), out, last + 1)
 
 
 # -- sets ------------------------------------------------------------------------
@@ -154,22 +165,22 @@ def retiring(store: str, out: str, retire: int = RETIRE_SLOTS) -> sinks.BatchFun
     """
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        tip, _ = tip_of(spark, store, batch_id)
-        seen = Observation()
-        new = (batch.filter(plausible()).observe(seen, F.max("slot").alias("tip"))
-               .select("signature", "source", "ns", F.col("ns").alias("known_ns"),
-                       F.when(F.col("slot") != 0, F.col("slot")).alias("known_slot")))
-        waiting = f"{store}/waiting/batch={batch_id}"
-        before = spark.read.schema(_OPEN).parquet(f"{store}/open/batch={batch_id - 1}") if batch_id else None
-        _merged(new if before is None else new.unionByName(before)).write.mode("overwrite").parquet(waiting)
-        tip = max((t for t in (tip, seen.get["tip"]) if t is not None), default=None)
-        slotted = _with_slot(spark.read.schema(_OPEN).parquet(waiting))
+        before = waiting.settle(spark, store, batch_id)
+        for name in ("all", "open"):
+            waiting.remove(spark, f"{store}/{name}/batch={batch_id - 2}")
+        possible = batch.filter(plausible())
+        tip = _latest(before.tip, possible.agg(F.max("slot")).first()[0])
+        new = possible.select("signature", "source", "ns", F.col("ns").alias("known_ns"),
+                              F.when(F.col("slot") != 0, F.col("slot")).alias("known_slot"))
+        held = spark.read.schema(_OPEN).parquet(f"{store}/open/batch={batch_id - 1}") if batch_id else None
+        path = f"{store}/all/batch={batch_id}"
+        _merged(new if held is None else new.unionByName(held)).write.mode("overwrite").parquet(path)
+        slotted = _with_slot(spark.read.schema(_OPEN).parquet(path))
         done = F.lit(False) if tip is None else F.coalesce(F.col("signature_slot") < tip - retire, F.lit(False))
-        sinks.write_batch(txns.raced_signatures(slotted.filter(done)), out, batch_id)
+        sinks.put_batch(txns.raced_signatures(slotted.filter(done)), out, batch_id)
         (slotted.filter(~done).select(*[c.split()[0] for c in _OPEN.split(", ")])
          .write.mode("overwrite").parquet(f"{store}/open/batch={batch_id}"))
-        (spark.range(1).select(F.lit(tip).cast("bigint").alias("tip"), F.lit(0).cast("bigint").alias("late"))
-         .write.mode("overwrite").parquet(f"{store}/tip/batch={batch_id}"))
+        waiting.write_state(spark, store, batch_id, State(tip))
 
     return process
 
@@ -187,7 +198,7 @@ def txn_race_stream(events: DataFrame, out: str, checkpoint: str, retire: int =
 def drain_txn_race(spark: SparkSession, out: str, checkpoint: str) -> None:
     """Score every signature that is still open, those without a slot included."""
     store = f"{checkpoint}-store"
-    last = sinks.last_batch(spark, f"{store}/tip", _TIP)
+    last = waiting.last_batch(spark, store)
     if last is not None:
         rest = spark.read.schema(_OPEN).parquet(f"{store}/open/batch={last}")
-        sinks.write_batch(txns.raced_signatures(rest), out, last + 1)
+        sinks.put_batch(txns.raced_signatures(rest), out, last + 1)

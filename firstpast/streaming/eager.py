@@ -7,13 +7,14 @@ it saw the first time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from firstpast.operators import ranges, txns
-from firstpast.streaming.closing import land, landed
-from firstpast.streaming.sinks import BatchFunction, batches, write_batch
+from firstpast.streaming.closing import bucket_of, land, of_buckets, plausible
+from firstpast.streaming.sinks import BatchFunction, write_batch
+from firstpast.streaming.waiting import remove
 
 
 _INDEX = "provider string, slot bigint, shred_index bigint, rx_ns bigint, data_complete boolean"
@@ -24,23 +25,23 @@ def eager_ranges(store: str, out: str) -> BatchFunction:
     """Emit every completed range once, in the batch that fills it.
 
     Only slots touched by the batch are looked at again: indices and emitted ranges lie in folders by bucket of
-    slots, and the buckets between the batch's lowest and highest slot are read. A range is contiguous, so
-    no boundary inside it can still turn up: a completed range is final.
+    slots, and the buckets of the batch's own slots are read, so a forged slot adds one bucket and not all up to it. A range
+    is contiguous, so no boundary inside it can still turn up: a completed range is final.
     """
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = Observation()
-        indices = ranges.distinct_indices(batch.observe(seen, F.min("slot").alias("low"), F.max("slot").alias("high")))
+        indices = ranges.distinct_indices(batch.filter(plausible()))
         land(indices.select("provider", "slot", "shred_index", "rx_ns", "data_complete"), store, batch_id)
-        low, high = seen.get["low"], seen.get["high"]
-        if low is None:
+        # As many numbers as the batch has buckets of slots.
+        own = [row[0] for row in batch.filter(plausible()).select(bucket_of("slot")).distinct().collect()]
+        if not own:
             return
-        stored = landed(spark, store, StructType.fromDDL(_INDEX), batch_id, low - 1, high)
+        stored = of_buckets(spark, store, StructType.fromDDL(_INDEX), batch_id, own)
         touched = indices.select("provider", "slot").distinct()
         filled = ranges.completed_ranges(stored.join(touched, ["provider", "slot"], "left_semi"))
         emitted_store = f"{store}-emitted"
         land(spark.createDataFrame([], _RANGE), emitted_store, -1)  # so that there is a table to read
-        emitted = landed(spark, emitted_store, StructType.fromDDL(_RANGE), batch_id - 1, low - 1, high)
+        emitted = of_buckets(spark, emitted_store, StructType.fromDDL(_RANGE), batch_id - 1, own)
         write_batch(filled.join(emitted, ["provider", "slot", "range_end"], "left_anti")
                     .select("provider", "slot", "range_start", "range_end", "packets", "ready_ns"), out, batch_id)
         land(spark.read.schema(_RANGE).parquet(f"{out}/batch={batch_id}"), emitted_store, batch_id)
@@ -54,7 +55,9 @@ def throttled(out: str, key: str, time: str, gap: int, start: int = 0) -> BatchF
         spark = batch.sparkSession
         kind = batch.schema[key].dataType.simpleString()
         state = f"`{key}` {kind}, last_at bigint"
-        last = batches(spark, f"{out}-last", state).filter(F.col("batch") == batch_id - 1).drop("batch")
+        # The batch before left one row per key; what it started from itself is no longer needed.
+        last = spark.read.schema(state).parquet(f"{out}-last/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], state)
+        remove(spark, f"{out}-last/batch={batch_id - 2}")
         write_batch(txns.throttle(batch, key, time, gap, start, last), out, batch_id)
         acted = spark.read.schema(f"`{key}` {kind}, `{time}` bigint").parquet(f"{out}/batch={batch_id}")
         now = acted.select(key, F.col(time).alias("last_at")).unionByName(last)

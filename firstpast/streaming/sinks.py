@@ -24,6 +24,11 @@ def read_landed(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return reader.parquet(path)
 
 
+def put_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write one micro-batch to a folder of its own."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> int:
     """Write one micro-batch and return how many rows were written."""
     seen = Observation()
@@ -58,22 +63,6 @@ def start(stream: DataFrame, write: BatchFunction, checkpoint: str, every: str |
     return writer.start()
 
 
-def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All rows of a table that batches write, with their ``batch``; a table not yet written has none."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
-    return spark.read.schema(f"{schema}, batch bigint").parquet(path)
-
-
-def earlier_batches(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows of the batches before ``batch_id``."""
-    return batches(spark, path, schema).filter(F.col("batch") < batch_id).drop("batch")
-
-
-def last_batch(spark: SparkSession, path: str, schema: str) -> int | None:
-    """The number of the last batch that wrote rows."""
-    return batches(spark, path, schema).agg(F.max("batch")).first()[0]
-
-
 def rotated_sink(path: str, rotate_secs: int, rx_ns: str = "first_ns") -> BatchFunction:
     """A batch function that files rows under the output window they fall into."""
     from firstpast.sources.writers import write_rotated

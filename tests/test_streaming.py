@@ -10,7 +10,7 @@ from test_sets import shred
 from firstpast import schema
 from firstpast.operators import sets, txns
 from firstpast.plans import catalog
-from firstpast.streaming import closing, eager, sinks, slots, timeouts
+from firstpast.streaming import closing, eager, sinks, slots, timeouts, waiting
 
 
 class Feed:
@@ -102,6 +102,67 @@ def test_buckets_read_do_not_grow_with_the_run(spark, tmp_path, monkeypatch):
     assert max(read) <= 4
 
 
+def folders(path):
+    return sorted(str(p.relative_to(path)) for p in path.rglob("*") if p.is_dir())
+
+
+def test_a_batch_costs_the_same_after_fifty_others(spark, tmp_path, monkeypatch):
+    """Folders named, read and left do not grow with the run, though some packets of every batch name forged slots."""
+    store, out = tmp_path / "store", str(tmp_path / "out")
+    read, left, seen_paths = [], [], []
+    reader = waiting.read
+    monkeypatch.setattr(waiting, "read", lambda s, p, schema, parts: (seen_paths.append(list(parts)), reader(s, p, schema, parts))[1])
+    process = closing.closing(str(store), out, lambda df: df.select("slot", "id"), F.col("good"))
+    for batch in range(50):
+        rows = spark.range(batch * 4, batch * 4 + 4, 1, 1).selectExpr("id AS slot", "id", "true AS good")
+        if batch < 3:
+            rows = rows.union(spark.range(1).selectExpr(f"{2**39 - batch}L", "-id", "false")).coalesce(1)
+        process(rows, batch)
+        read.append(len(seen_paths[-1]) if seen_paths else 0)
+        left.append(len(folders(store)))
+    # Slots wait for ten others, so three or four batches of four slots are open at a time.
+    assert max(read) <= 4 and max(left[10:]) <= max(left[5:10]) and left[-1] <= 20
+    closing.drain(spark, spark.createDataFrame([], "slot long, id long, good boolean").schema, str(store), out, lambda df: df.select("slot", "id"))
+    got = [r.slot for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == [*range(200), *sorted(2**39 - b for b in range(3))]
+
+
+def test_a_replayed_batch_finds_what_it_had(spark, tmp_path):
+    """A batch that died after its state was written is done again from the same folders, with the same rows."""
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    process = closing.closing(store, out, lambda df: df.select("slot"), F.lit(True))
+    batches = [spark.createDataFrame([(s,) for s in slots_], "slot long").coalesce(1)
+               for slots_ in ([1, 2, 3], [8, 12], [5, 30], [31, 60])]
+    for k, batch in enumerate(batches):
+        process(batch, k)
+        once = sorted(r.slot for r in spark.read.parquet(out).filter(f"batch <= {k}").collect()) if k else []
+        process(batch, k)
+        if k:
+            assert sorted(r.slot for r in spark.read.parquet(out).collect()) == once
+    assert once == [1, 2, 3, 5, 8, 12, 30, 31]
+
+
+def test_only_open_slots_are_written_to_wait(spark, tmp_path):
+    store = str(tmp_path / "store")
+    process = closing.closing(store, str(tmp_path / "out"), lambda df: df, F.lit(True))
+    process(spark.range(1000).withColumnRenamed("id", "slot"), 0)
+    state = waiting.last_state(spark, store)
+    assert state.open == (waiting.Part(0, "near", 990, 999),) and state.tip == 999
+    assert waiting.read(spark, store, spark.createDataFrame([], "slot long").schema, state.open).count() == 10
+
+
+def test_a_forged_slot_adds_its_own_bucket_only(spark, tmp_path, monkeypatch):
+    """Eager ranges read the buckets of the batch's slots, not all between the lowest and the highest."""
+    asked = []
+    finder = closing.of_buckets
+    monkeypatch.setattr(eager, "of_buckets", lambda s, p, schema, b, wanted: (asked.append(sorted(wanted)), finder(s, p, schema, b, wanted))[1])
+    emit = eager.eager_ranges(str(tmp_path / "store"), str(tmp_path / "out"))
+    fields = "provider string, slot long, shred_index long, rx_ns long, data_complete boolean"
+    emit(spark.createDataFrame([("p", 1, 0, 5, True), ("p", 90_000, 0, 5, True), ("p", 2**45, 0, 5, True)], fields), 0)
+    assert asked[0] == [0, 90_000 // closing.WIDTH]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
 def test_guard_uses_the_schedule(spark):
     df = spark.createDataFrame([(s,) for s in (-1, 567_999, 568_000, 1_863_999, 1_864_000)], "slot long")
     assert [r.slot for r in slots.guard_slots(df, 1_000_000, 10).collect()] == [568_000, 1_863_999]
