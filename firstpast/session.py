@@ -62,13 +62,13 @@ def working_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, or to ``path``, and read it back.
 
     Used where several reports fan out from one expensive table: the lineage is
     cut at a durable file, so a lost executor costs a re-read, not a recompute.
     """
     spark = df.sparkSession
-    path = working_path(spark, name)
-    df.write.parquet(path)
+    path = path or working_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from firstpast.operators import ranges, txns
 from firstpast.streaming.closing import bucket_of, land, of_buckets, plausible
-from firstpast.streaming.sinks import BatchFunction, write_batch
+from firstpast.streaming.sinks import BatchFunction, put_batch, write_batch
 from firstpast.streaming.waiting import remove
 
 
@@ -58,7 +58,9 @@ def throttled(out: str, key: str, time: str, gap: int, start: int = 0) -> BatchF
         # The batch before left one row per key; what it started from itself is no longer needed.
         last = spark.read.schema(state).parquet(f"{out}-last/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], state)
         remove(spark, f"{out}-last/batch={batch_id - 2}")
-        write_batch(txns.throttle(batch, key, time, gap, start, last), out, batch_id)
+        scratch = f"{out}-levels/batch={batch_id}"
+        put_batch(txns.throttle(batch, key, time, gap, start, last, scratch=scratch), out, batch_id)
+        remove(spark, scratch)
         acted = spark.read.schema(f"`{key}` {kind}, `{time}` bigint").parquet(f"{out}/batch={batch_id}")
         now = acted.select(key, F.col(time).alias("last_at")).unionByName(last)
         (now.groupBy(key).agg(F.max("last_at").alias("last_at")).write.mode("overwrite")

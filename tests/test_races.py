@@ -167,3 +167,42 @@ def test_throttle_matches_a_scan(spark, seed, block):
                 want.append((key, t))
                 begin = t
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("fan", [2, 5, 32])
+def test_throttle_of_one_key_over_many_blocks(spark, fan):
+    """One key holds nearly all rows, some blocks are empty, levels are composed and entered in small groups."""
+    rng = random.Random(fan)
+    at = [("hot", t) for t in rng.sample(range(20_000), 4000) if t // 700 % 3] + [("cold", 17), ("cold", 19_999), (None, 40)]
+    df = spark.createDataFrame(at, "k string, at_ns long")
+    got = sorted((r[:] for r in txns.throttle(df, "k", "at_ns", 13, block=29, fan=fan).collect()), key=repr)
+    want = []
+    for k in ("hot", "cold"):
+        allowed = 13
+        for t in sorted(t for name, t in at if name == k):
+            if t >= allowed:
+                want.append((k, t))
+                allowed = t + 13
+    assert [r for r in got if r[0]] == sorted(want, key=repr)
+
+
+def test_step_functions_compose_in_any_bracketing():
+    rng = random.Random(3)
+    for _ in range(400):
+        gap, width, n = rng.randint(1, 30), rng.randint(1, 60), rng.randint(2, 8)
+        at = sorted({rng.randrange(n * width) for _ in range(rng.randint(1, 50))})
+        spans = [(k, [t for t in at if t // width == k]) for k in range(n)]
+        spans = [(k * width, txns._steps(b, gap, k * width)) for k, b in spans if b]
+        left = []
+        for _, steps in spans:
+            left = txns._then(left, steps, gap, 0)
+        while len(spans) > 1:
+            k = rng.randrange(len(spans) - 1)
+            (opens, x), (_, y) = spans[k:k + 2]
+            spans[k:k + 2] = [(opens, txns._then(x, y, gap, opens))]
+        for allowed in range(gap + 1):
+            last, a = None, allowed
+            for t in at:
+                if t >= a:
+                    last, a = t, t + gap
+            assert txns._last_action(left, allowed) == last == txns._last_action(spans[0][1], allowed)
