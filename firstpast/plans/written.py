@@ -18,7 +18,7 @@ from firstpast.plans.checks import CHECKS
 from firstpast.plans.views import check_ctes, check_view, spark_view
 from firstpast.session import working_path
 from firstpast.sources import readers, writers
-from firstpast.streaming import sinks, slots
+from firstpast.streaming import idle, sinks, slots
 
 
 # -- tables ----------------------------------------------------------------------
@@ -290,3 +290,83 @@ def stream_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHECKS["stream_first_sightings"] = f"""
 SELECT signature, 1 AS sightings FROM ({check_view("txn_events")}) e GROUP BY signature"""
+
+
+# A stand-in clock: fixture times scaled up, so that a day of the tables is a second of the stream.
+_SCALE = 10_000
+
+
+def _by_time(spark: SparkSession, sf_dir: str, late_secs: int) -> list[DataFrame]:
+    """Packets as the parts of a stream in order of time, some late, and a last one that moves the clock past all ends."""
+    packets = spark_view(spark, sf_dir, "shreds").select(
+        "provider", F.col("slot").alias("of_slot"), (F.col("rx_ns") * _SCALE).alias("rx_ns"))
+    timed = packets.withColumn("slot", F.floor(F.col("rx_ns") / F.lit(1e9)).cast("bigint"))
+    parts = catalog.in_parts(timed, late_secs, "of_slot", "rx_ns")
+    end = timed.agg(F.max("rx_ns")).first()[0] or 0
+    last = spark.range(1).select(F.lit("clock").alias("provider"), F.lit(-1).cast("bigint").alias("of_slot"),
+                                 F.lit(end + 10**12).cast("bigint").alias("rx_ns"), F.lit(-1).cast("bigint").alias("slot"))
+    return [p.select("provider", F.col("of_slot").alias("slot"), "rx_ns") for p in [*parts, last]]
+
+
+def _lives_check(by: str, gap_secs: int) -> str:
+    return check_ctes("shreds") + f""",
+t AS (SELECT {by}, rx_ns * {_SCALE} AS ns FROM shreds),
+m AS (SELECT *, CASE WHEN ns - lag(ns) OVER (PARTITION BY {by} ORDER BY ns) < {gap_secs}000000000 THEN 0 ELSE 1 END AS begins FROM t),
+l AS (SELECT *, sum(begins) OVER (PARTITION BY {by} ORDER BY ns ROWS UNBOUNDED PRECEDING) AS life FROM m)
+SELECT {by}, min(ns) AS first_ns, max(ns) AS last_ns, count(*) AS packets FROM l GROUP BY {by}, life"""
+
+
+@query
+def stream_settled_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of a provider that had no packet for half a minute; most such quiet periods end in another batch."""
+    out, state = working_path(spark, "settled"), working_path(spark, "state")
+    parts = _by_time(spark, sf_dir, 25)
+    settled = lambda s: slots.settled_slots(s, 30).drop("session")
+    catalog._fed(parts, "packets", lambda s: sinks.start(settled(s), sinks.table_sink(out, "settled"), state))
+    return spark.read.parquet(out).filter("provider <> 'clock'").drop("batch")
+
+
+CHECKS["stream_settled_slots"] = _lives_check("provider, slot", 30)
+
+
+@query
+def stream_idle_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lives of slots whose state is dropped after 20 silent seconds; slots come back many times."""
+    out, state = working_path(spark, "idle"), working_path(spark, "state")
+    parts = _by_time(spark, sf_dir, 25)
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rocks)
+    try:
+        catalog._fed(parts, "packets", lambda s: sinks.start(idle.idle_slots(s, idle.SLOT_TTL_SECS, 30),
+                                                             lambda df, b: sinks.put_batch(df, out, b), state))
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(out).filter("slot >= 0").drop("batch")
+
+
+CHECKS["stream_idle_slots"] = _lives_check("slot", idle.SLOT_TTL_SECS)
+
+
+@query
+def stream_seen_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a signature passes a memory that is emptied once it holds more than half of those in the first part."""
+    out, state = working_path(spark, "triggers"), working_path(spark, "state")
+    parts = catalog.in_parts(spark_view(spark, sf_dir, "txn_events").withColumn("trigger", F.col("source")), 0)
+    catalog._fed(parts, "events", lambda s: sinks.start(s, idle.seen_once(out, "trigger", 3), state))
+    return spark.read.parquet(out).groupBy("trigger").agg(F.count("*").alias("passed"))
+
+
+# Five event types pass in the first part; more than three are too many to remember, so each passes in every part.
+CHECKS["stream_seen_triggers"] = check_ctes("txn_events") + """,
+b AS (SELECT min(slot) AS low, max(slot) AS high FROM txn_events),
+p AS (SELECT DISTINCT source AS trigger, least(greatest(CAST(floor((slot - low) * 3 / CAST(high - low + 1 AS DOUBLE)) AS BIGINT), 0), 2) AS part
+      FROM txn_events CROSS JOIN b),
+a AS (SELECT trigger, part FROM p WHERE part = 0),
+k0 AS (SELECT trigger FROM a WHERE (SELECT count(*) FROM a) <= 3),
+c AS (SELECT trigger FROM p WHERE part = 1 AND trigger NOT IN (SELECT trigger FROM k0)),
+u AS (SELECT trigger FROM k0 UNION ALL SELECT trigger FROM c),
+k1 AS (SELECT trigger FROM u WHERE (SELECT count(*) FROM u) <= 3),
+d AS (SELECT trigger FROM p WHERE part = 2 AND trigger NOT IN (SELECT trigger FROM k1))
+SELECT trigger, count(*) AS passed FROM (SELECT trigger FROM a UNION ALL SELECT trigger FROM c UNION ALL SELECT trigger FROM d) x
+GROUP BY trigger"""

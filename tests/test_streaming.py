@@ -10,7 +10,7 @@ from test_sets import shred
 from firstpast import schema
 from firstpast.operators import sets, txns
 from firstpast.plans import catalog
-from firstpast.streaming import closing, eager, sinks, slots, timeouts, waiting
+from firstpast.streaming import closing, eager, idle, sinks, slots, timeouts, waiting
 
 
 class Feed:
@@ -310,3 +310,53 @@ def test_rotated_sink(spark, tmp_path):
     sinks.rotated_sink(str(tmp_path / "r"), 600)(rows, 0)
     got = spark.read.parquet(str(tmp_path / "r")).groupBy("window_start").agg(F.count("*").alias("n")).collect()
     assert {(r.window_start, r.n) for r in got} == {(0, 2), (600, 1), (1200, 1)}
+
+
+def test_a_silent_slot_is_forgotten_and_comes_back(spark, tmp_path):
+    """Lives end by the packets' own time, over restarts; a late packet joins two lives that are still open."""
+    second = 1_000_000_000
+
+    def run(stream, out, state):
+        return sinks.start(idle.idle_slots(stream, 20, 60), lambda df, b: sinks.put_batch(df, out, b), state)
+
+    feed = Feed(spark, tmp_path, spark.createDataFrame([], "slot long, rx_ns long").schema, run)
+    def send(*packets):
+        feed.send([(slot, (1000 + at) * second) for slot, at in packets])
+
+    def lives():
+        return {(r.slot, r.first_ns // second - 1000, r.last_ns // second - 1000, r.packets) for r in feed.rows().collect()}
+
+    send((1, 0), (1, 5), (2, 1))
+    send((1, 40), (1, 45))      # silent for 35 s: another life
+    send((1, 23), (2, 70))      # late, between the two lives of slot 1
+    assert lives() == set()
+    send((9, 500))
+    assert lives() == {(1, 0, 45, 5), (2, 1, 1, 1), (2, 70, 70, 1)}
+    send((1, 600))
+    send((9, 900))
+    assert (1, 600, 600, 1) in lives()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_lives_do_not_depend_on_the_order_of_packets(seed):
+    import random
+    rng = random.Random(seed)
+    times = [rng.randrange(400) for _ in range(60)]
+    whole = idle.joined_lives([(t, t, 1) for t in times], 7)
+    held = []
+    for t in times:
+        held = idle.joined_lives([*held, (t, t, 1)], 7)
+    assert held == whole and sum(n for *_, n in whole) == 60
+    assert all(b[0] - a[1] >= 7 for a, b in zip(whole, whole[1:]))
+
+
+def test_the_memory_of_triggers_is_emptied_at_its_size(spark, tmp_path):
+    out = str(tmp_path / "out")
+    write = idle.seen_once(out, "k", 3)
+    passed = []
+    for batch, keys in enumerate((["a", "b", "a"], ["a", "c"], ["d", "b"], ["a", "d", None], ["e"])):
+        df = spark.createDataFrame([(k,) for k in keys], "k string")
+        write(df, batch)
+        write(df, batch)  # done again after a crash: the same
+        passed.append(sorted(r.k for r in spark.read.parquet(f"{out}/batch={batch}").collect()))
+    assert passed == [["a", "b"], ["c"], ["d"], ["a", "d"], ["e"]]
