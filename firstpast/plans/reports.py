@@ -93,6 +93,6 @@ def performance_report(arrivals: DataFrame, schedule: DataFrame, brands: DataFra
 
 def capture_archive(shreds: DataFrame, path: str, rotate_secs: int = 600, dump_shreds: bool = False) -> None:
     """Set rows of a capture as rotated archives, plus the optional packet dump."""
-    writers.write_rotated(sets.set_rows(shreds), f"{path}/fec_sets", rotate_secs)
+    writers.write_rotated(materialize(sets.set_rows(shreds), "set-rows"), f"{path}/fec_sets", rotate_secs)
     if dump_shreds:
         writers.write_shreds(shreds, f"{path}/shreds")

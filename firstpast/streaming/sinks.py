@@ -6,6 +6,7 @@ restarted query leaves each batch exactly once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
+from firstpast.streaming.waiting import names_in, read_note, remove, write_note
+
 BatchFunction = Callable[[DataFrame, int], None]
 
 
@@ -36,21 +39,45 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> int:
     return seen.get["rows"]
 
 
-def table_sink(path: str, name: str, counts: dict[str, int] | None = None) -> BatchFunction:
-    """A batch function that appends to a table and counts rows written and failed batches."""
+def table_sink(path: str, name: str, counts: str | None = None) -> BatchFunction:
+    """A batch function that appends to a table; ``counts``: a folder in which rows written and failed attempts are counted.
+
+    The counts are files, so they outlive the session. A batch's file holds the totals up to it, so a batch that is
+    done again does not count twice; every failed attempt leaves a file, which the batch folds in when it succeeds.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        folder = counts and f"{counts}/{name}"
         try:
             rows = write_batch(batch, path, batch_id)
         except Exception:
-            if counts is not None:
-                counts[f"{name}_errors"] = counts.get(f"{name}_errors", 0) + 1
+            if folder:
+                write_note(spark, folder, f"failed-{batch_id}-{uuid.uuid4().hex}", {})
             raise
-        if counts is not None:
-            counts[f"{name}_rows"] = counts.get(f"{name}_rows", 0) + rows
+        if not folder:
+            return
+        names = names_in(spark, folder)
+        before = read_note(spark, f"{folder}/batch={batch_id - 1}") if f"batch={batch_id - 1}" in names else {"rows": 0, "failed": 0}
+        failed = [n for n in names if n.startswith(f"failed-{batch_id}-")]
+        # A batch done again may have folded its failures in already.
+        folded = read_note(spark, f"{folder}/batch={batch_id}")["own"] if f"batch={batch_id}" in names else 0
+        write_note(spark, folder, f"batch={batch_id}", {
+            "rows": before["rows"] + rows, "failed": before["failed"] + folded + len(failed), "own": folded + len(failed)})
+        for done in [*failed, f"batch={batch_id - 2}"]:
+            remove(spark, f"{folder}/{done}")
 
     return write
 
 
+def written_counts(spark: SparkSession, counts: str, name: str) -> tuple[int, int]:
+    """Rows written to a table and attempts that failed, over all sessions."""
+    folder = f"{counts}/{name}"
+    names = names_in(spark, folder)
+    last = max((n for n in names if n.startswith("batch=")), key=lambda n: int(n.partition("=")[2]), default=None)
+    said = read_note(spark, f"{folder}/{last}") if last else {"rows": 0, "failed": 0}
+    return said["rows"], said["failed"] + sum(n.startswith("failed-") for n in names)
+
+
 def start(stream: DataFrame, write: BatchFunction, checkpoint: str, every: str | None = None,
           output_mode: str = "append") -> StreamingQuery:
     """Start a query that hands closed rows to ``write``.

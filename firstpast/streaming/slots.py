@@ -13,11 +13,6 @@ from firstpast.operators.dims import plausible_range
 from firstpast.streaming.closing import plausible
 
 
-def with_slot_time(stream: DataFrame, delay_slots: int) -> DataFrame:
-    return (stream.withColumn("slot_time", F.timestamp_seconds("slot"))
-            .withWatermark("slot_time", f"{delay_slots} seconds"))
-
-
 def guard_slots(stream: DataFrame, first_slot: int | None = None, epoch_slots: int = 0) -> DataFrame:
     """Drop slots that cannot be real before they reach the watermark.
 

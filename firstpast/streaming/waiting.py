@@ -47,38 +47,55 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
-def read_state(spark: SparkSession, store: str, batch_id: int) -> State:
-    """The state after a batch; before the first one it is empty."""
-    if batch_id < 0:
-        return State()
-    files, at = _folder(spark, f"{store}/state/batch={batch_id}")
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _folder(spark, path)
+    return files.exists(at)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; a folder that is not there is empty."""
+    files, at = _folder(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+def read_note(spark: SparkSession, path: str) -> dict:
+    """A small JSON file."""
+    files, at = _folder(spark, path)
     stream = files.open(at)
     try:
-        said = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
-    return State(said["tip"], said["late"], *(tuple(Part(*p) for p in said[name]) for name in ("open", "closed")))
 
 
-def write_state(spark: SparkSession, store: str, batch_id: int, state: State) -> None:
+def write_note(spark: SparkSession, folder: str, name: str, said: dict) -> None:
     """Whole or not at all: the file gets its name when it is written."""
-    files, at = _folder(spark, f"{store}/state/batch={batch_id}")
-    _, fresh = _folder(spark, f"{store}/state/_batch={batch_id}")
+    files, at = _folder(spark, f"{folder}/{name}")
+    _, fresh = _folder(spark, f"{folder}/_{name}")
     stream = files.create(fresh, True)
     try:
-        stream.write(bytearray(json.dumps(state._asdict()).encode()))
+        stream.write(bytearray(json.dumps(said).encode()))
     finally:
         stream.close()
     files.delete(at, False)
     files.rename(fresh, at)
 
 
+def read_state(spark: SparkSession, store: str, batch_id: int) -> State:
+    """The state after a batch; before the first one it is empty."""
+    if batch_id < 0:
+        return State()
+    said = read_note(spark, f"{store}/state/batch={batch_id}")
+    return State(said["tip"], said["late"], *(tuple(Part(*p) for p in said[name]) for name in ("open", "closed")))
+
+
+def write_state(spark: SparkSession, store: str, batch_id: int, state: State) -> None:
+    write_note(spark, f"{store}/state", f"batch={batch_id}", state._asdict())
+
+
 def last_batch(spark: SparkSession, store: str) -> int | None:
     """The last batch that left a state. Of those no more than two are there, see ``settle``."""
-    files, at = _folder(spark, f"{store}/state")
-    if not files.exists(at):
-        return None
-    names = [f.getPath().getName() for f in files.listStatus(at)]
+    names = names_in(spark, f"{store}/state")
     return max((int(n.partition("=")[2]) for n in names if n.startswith("batch=")), default=None)
 
 

@@ -252,11 +252,63 @@ def test_ranges_are_emitted_once_when_they_fill(spark, tmp_path):
 
 
 def test_replayed_batch_replaces_its_rows(spark, tmp_path):
-    counts = {}
-    write = sinks.table_sink(str(tmp_path / "t"), "t", counts)
+    """Counts lie beside the table: a batch done again counts once, failed attempts count, a new sink goes on from there."""
+    out, counts = str(tmp_path / "t"), str(tmp_path / "counts")
+    write = sinks.table_sink(out, "t", counts)
     for _ in range(2):
-        write(spark.range(3), 7)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 3 and counts == {"t_rows": 6}
+        write(spark.range(3), 0)
+    assert sinks.written_counts(spark, counts, "t") == (3, 0)
+    broken = spark.range(2).withColumn("id", F.raise_error(F.lit("no")).cast("long"))
+    for _ in range(2):
+        with pytest.raises(Exception):
+            write(broken, 1)
+    assert sinks.written_counts(spark, counts, "t") == (3, 2)
+    again = sinks.table_sink(out, "t", counts)
+    for batch in (1, 1, 2, 3, 4):
+        again(spark.range(2), batch)
+    assert spark.read.parquet(out).count() == 11 and sinks.written_counts(spark, counts, "t") == (11, 2)
+    assert len(list((tmp_path / "counts" / "t").glob("[!._]*"))) <= 3
+
+
+def test_a_batch_reads_its_own_epochs(spark, tmp_path, monkeypatch):
+    from firstpast.sources import writers
+
+    schedule, out, fetched = str(tmp_path / "schedule"), str(tmp_path / "out"), []
+    whole = spark.range(0, 60).selectExpr("id AS slot", "concat('v', id) AS leader")
+    writers.replace_epoch(whole.filter("slot < 20"), schedule, 10)
+
+    def fetch(session, epoch):
+        fetched.append(epoch)
+        if epoch < 6:
+            writers.replace_epoch(whole.filter(f"slot >= {epoch * 10} AND slot < {epoch * 10 + 10}"), schedule, 10)
+
+    attach = eager.enriched(out, schedule, 10, fetch, F.col("good"))
+    attach(spark.createDataFrame([(3, True), (25, True), (999, False)], "slot long, good boolean"), 0)
+    attach(spark.createDataFrame([(26, True), (70, True)], "slot long, good boolean"), 1)
+    got = {r.slot: r.leader for r in spark.read.parquet(out).collect()}
+    # A forged epoch is not asked for, one that nobody knows leaves no leader.
+    assert got == {3: "v3", 25: "v25", 26: "v26", 70: None, 999: None} and fetched == [2, 7]
+    # Of the epochs 0 to 2, the second batch reads the last.
+    read = []
+    reader = type(spark.read)
+    parquet = reader.parquet
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths, **k: (read.extend(paths), parquet(self, *paths, **k))[1])
+    attach(spark.createDataFrame([(27, True)], "slot long, good boolean"), 2)
+    assert [p for p in read if "schedule" in p] == [f"{schedule}/epoch=2"]
+
+
+def test_archives_have_as_many_files_as_their_rows_need(spark, tmp_path):
+    """40 tasks, five windows of very different size: files follow the rows."""
+    from firstpast.sources import writers
+
+    rows = spark.range(0, 10_000, 1, 40).selectExpr(
+        "id", "CASE WHEN id % 10 < 8 THEN 0 ELSE id % 5 END * 600000000000 + id AS first_ns", "'x' AS file_of_row")
+    path = tmp_path / "archive"
+    writers.write_rotated(rows, str(path), 600, file_rows=1000)
+    files = list(path.glob("window_start=*/*.parquet"))
+    assert len(files) <= 10_000 / 1000 + 5
+    back = spark.read.parquet(str(path))
+    assert back.count() == 10_000 and back.drop("window_start").columns == rows.columns
 
 
 def test_sets_close_by_end_of_slot_timeout_or_age(spark, tmp_path):
