@@ -19,7 +19,7 @@ from firstpast.plans.checks import CHECKS
 from firstpast.plans.views import check_ctes, check_view, spark_view
 from firstpast.session import working_path
 from firstpast.sources import readers, writers
-from firstpast.streaming import idle, sinks, slots
+from firstpast.streaming import idle, sinks, slots, timeouts
 
 
 # -- tables ----------------------------------------------------------------------
@@ -384,3 +384,39 @@ k1 AS (SELECT trigger FROM u WHERE (SELECT count(*) FROM u) <= 3),
 d AS (SELECT trigger FROM p WHERE part = 2 AND trigger NOT IN (SELECT trigger FROM k1))
 SELECT trigger, count(*) AS passed FROM (SELECT trigger FROM a UNION ALL SELECT trigger FROM c UNION ALL SELECT trigger FROM d) x
 GROUP BY trigger"""
+
+
+# Slots that a set may stay behind the tip in the timeout query, and its clock: a second a slot, and up to 20 s of delay.
+_BEHIND = 300
+_CLOCK = "slot * 1000000000 + (rx_ns * 7919 * 10000) % 20000000000"
+
+
+@query
+def stream_timeout_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets closed by age, by the end of their slot or by timeout; every fiftieth packet comes with the last part."""
+    out, state, store = (working_path(spark, n) for n in ("closed-sets", "state", "sets"))
+    shreds = spark_view(spark, sf_dir, "shreds").selectExpr(
+        "slot", "fec_set_index", "last_in_slot", "merkle_ok", "sig_ok", "rx_ns % 50 = 0 AS held", f"{_CLOCK} AS rx_ns")
+    low, high = shreds.agg(F.min("slot"), F.max("slot")).first()
+    part = F.when(F.col("held"), 2).otherwise(catalog.part_of(F.col("slot"), low, high))
+    close = timeouts.closing_sets(store, out, sets.acceptance() == "ok", wait_slots=_BEHIND)
+    catalog._fed([shreds.filter(part == k) for k in range(3)], "packets", lambda s: sinks.start(s, close, state))
+    return spark.read.parquet(out).drop("batch")
+
+
+CHECKS["stream_timeout_sets"] = check_ctes("shreds") + f""",
+e AS (SELECT min(slot) AS low, max(slot) AS high FROM shreds),
+p AS (SELECT slot, fec_set_index, coalesce(last_in_slot, false) AS ended, merkle_ok AND sig_ok AS accepted, {_CLOCK} AS ns,
+             CASE WHEN rx_ns % 50 = 0 THEN 2 ELSE
+               least(greatest(CAST(floor((slot - low) * 3 / CAST(high - low + 1 AS DOUBLE)) AS BIGINT), 0), 2) END AS part
+      FROM shreds CROSS JOIN e),
+tips AS (SELECT b, (SELECT max(slot) FROM p WHERE part <= b AND accepted) AS tip,
+                (SELECT max(slot) FROM p WHERE part < b AND accepted) AS earlier FROM (VALUES (0), (1), (2)) AS n(b)),
+live AS (SELECT p.* FROM p JOIN tips ON part = b WHERE earlier IS NULL OR slot > earlier - {_BEHIND}),
+clock AS (SELECT b, tip, (SELECT max(ns) FROM live WHERE part <= b) AS now FROM tips),
+m AS (SELECT slot, fec_set_index, b, min(ns) AS first, bool_or(ended) AS ended FROM live JOIN clock ON part <= b GROUP BY ALL),
+r AS (SELECT slot, fec_set_index, b, now - first AS open,
+             CASE WHEN slot <= tip - {_BEHIND} THEN 'aged' WHEN ended AND now - first >= 3000000000 THEN 'complete'
+                  WHEN now - first >= 12000000000 THEN 'timed out' END AS reason FROM m JOIN clock USING (b)),
+f AS (SELECT *, row_number() OVER (PARTITION BY slot, fec_set_index ORDER BY b) AS nth FROM r WHERE reason IS NOT NULL)
+SELECT slot, fec_set_index, reason, CAST(floor(open / 1e6) AS BIGINT) AS open_ms FROM f WHERE nth = 1"""

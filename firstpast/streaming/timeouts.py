@@ -1,18 +1,23 @@
-"""Closing sets by age, by completeness or by timeout, whichever comes first."""
+"""Closing sets by age, by completeness or by timeout, whichever comes first.
+
+``closing_sets`` goes by the packets' own times, so a replayed batch and a restarted query close the same sets;
+``finalize_timeout`` goes by the clock of the machine and closes a set within a second of its time, also when no packets come.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from firstpast.operators.sets import anchored_set_stats
-from firstpast.streaming.closing import landed
-from firstpast.streaming.sinks import BatchFunction, write_batch
+from firstpast.streaming import waiting
+from firstpast.streaming.closing import landed, plausible
+from firstpast.streaming.sinks import BatchFunction, put_batch, write_batch
 from firstpast.streaming.slots import guard_slots
 
 # Fixed values.
@@ -25,6 +30,52 @@ _MARKS = "slot bigint, fec_set_index bigint, last_in_slot boolean, slot_time tim
 _CLOSED = "slot bigint, fec_set_index bigint, reason string, open_ms bigint"
 
 
+# -- by the packets' own times -------------------------------------------------------
+
+_SETS = "slot bigint, fec_set_index bigint, first_ns bigint, ended boolean, reason int"
+REASONS = ("aged", "complete", "timed out")
+
+
+def closing_sets(store: str, out: str, accepted: Column, at: str = "rx_ns", grace_ms: int = GRACE_MS,
+                 wait_slots: int = WAIT_SLOTS) -> BatchFunction:
+    """A batch function that writes ``(slot, set, reason, open_ms)`` once per set.
+
+    The clock is the latest time of any packet, the tip the highest slot of an accepted one. What is open, a row per set, is
+    written anew by every batch; a closed set stays in it until it is too old for any packet to be taken.
+    """
+    grace = grace_ms * 1_000_000
+    key = ["slot", "fec_set_index"]
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = waiting.read_note(spark, f"{store}/clock/batch={batch_id - 1}") if batch_id else {"tip": None, "now": None}
+        for name in ("sets", "clock"):
+            waiting.remove(spark, f"{store}/{name}/batch={batch_id - 2}")
+        in_time = F.lit(True) if before["tip"] is None else F.col("slot") > before["tip"] - wait_slots
+        rows = batch.filter(plausible() & in_time)
+        seen = rows.agg(F.max(F.when(accepted, F.col("slot"))).alias("tip"), F.max(at).alias("now")).first()
+        tip, now = (max((t for t in (before[c], seen[c]) if t is not None), default=None) for c in ("tip", "now"))
+        marks = rows.groupBy(*key).agg(F.min(at).alias("first_ns"), F.max(F.coalesce("last_in_slot", F.lit(False))).alias("ended"))
+        marks = marks.withColumn("reason", F.lit(None).cast("int"))
+        if batch_id:
+            marks = marks.unionByName(spark.read.schema(_SETS).parquet(f"{store}/sets/batch={batch_id - 1}"))
+        sets_ = marks.groupBy(*key).agg(F.min("first_ns").alias("first_ns"), F.max("ended").alias("ended"), F.max("reason").alias("reason"))
+        aged = F.lit(False) if tip is None else F.col("slot") <= tip - wait_slots
+        open_ns = F.lit(now).cast("bigint") - F.col("first_ns")
+        reason = (F.when(aged, 0).when(F.col("ended") & (open_ns >= grace), 1).when(open_ns >= grace * TIMEOUT_GRACES, 2))
+        decided = sets_.withColumn("now_closed", F.when(F.col("reason").isNull(), reason))
+        named = F.element_at(F.array(*map(F.lit, REASONS)), F.col("now_closed") + 1)
+        put_batch(decided.filter("now_closed IS NOT NULL").select(
+            *key, named.alias("reason"), F.floor(open_ns / F.lit(1e6)).cast("bigint").alias("open_ms")), out, batch_id)
+        put_batch(decided.filter(~aged).select(*key, "first_ns", "ended", F.coalesce("reason", "now_closed").alias("reason")),
+                  f"{store}/sets", batch_id)
+        waiting.write_note(spark, f"{store}/clock", f"batch={batch_id}", {"tip": tip, "now": now})
+
+    return process
+
+
+# -- by the machine's clock ------------------------------------------------------------
+
 def set_marks(packets: DataFrame) -> DataFrame:
     """What closing needs to know of the packets: the set and whether its slot ended.
 

@@ -412,3 +412,25 @@ def test_the_memory_of_triggers_is_emptied_at_its_size(spark, tmp_path):
         write(df, batch)  # done again after a crash: the same
         passed.append(sorted(r.k for r in spark.read.parquet(f"{out}/batch={batch}").collect()))
     assert passed == [["a", "b"], ["c"], ["d"], ["a", "d"], ["e"]]
+
+
+def test_sets_close_by_their_packets_own_times(spark, tmp_path):
+    """All three reasons, over restarts and a batch done again; a closed set opens no second row."""
+    second = 1_000_000_000
+    fields = "slot long, fec_set_index long, last_in_slot boolean, good boolean, rx_ns long"
+    feed = Feed(spark, tmp_path, spark.createDataFrame([], fields).schema, lambda stream, out, state: sinks.start(
+        stream, timeouts.closing_sets(str(tmp_path / "store"), out, F.col("good")), state))
+    feed.send([(100, 0, True, True, 0), (100, 32, False, True, second), (101, 0, False, True, 2 * second)])
+    assert feed.rows().count() == 0
+    feed.send([(102, 0, None, True, 4 * second), (100, 0, False, True, 4 * second), (10**9, 0, False, False, 4 * second)])
+    assert {r[:4] for r in feed.rows().collect()} == {(100, 0, "complete", 4000)}
+    feed.send([(103, 0, False, True, 13 * second)])
+    feed.send([(100, 0, True, True, 14 * second), (101, 0, False, True, 13 * second), (115, 0, False, True, 14 * second)])
+    feed.send([(100, 64, False, True, 15 * second)])
+    got = {r[:4] for r in feed.rows().collect()}
+    assert got == {(100, 0, "complete", 4000), (100, 32, "timed out", 12000), (101, 0, "aged", 12000), (102, 0, "aged", 10000),
+                   (103, 0, "aged", 1000)}
+    replay = spark.createDataFrame([(100, 64, False, True, 15 * second)], fields)
+    timeouts.closing_sets(str(tmp_path / "store"), feed.out, F.col("good"))(replay, 4)
+    assert {r[:4] for r in feed.rows().collect()} == got
+    assert len(list((tmp_path / "store" / "sets").iterdir())) <= 2
