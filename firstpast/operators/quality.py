@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from firstpast.functions.numeric import wrapping_u32_diff
 
-# Counters in report order, and how a report words one that is not zero. A counter is
+# Counters in report order (names are fixed values), and how a report words one that is not zero. A counter is
 # reported, never turned into a verdict about a source.
 NOTES = (
     ("udp_no_timestamp", "receive time missing: %d datagrams are in no timing"),
@@ -24,6 +24,33 @@ NOTES = (
 )
 
 
+# Counters of a capture and of packet verdicts, in report order. Fixed values.
+CAPTURED = ("udp_received", "udp_no_timestamp", "udp_channel_full", "udp_truncated")
+OF_VERDICT = {"shreds_parsed": "parsed", "shreds_malformed": "malformed", "shreds_unsupported_variant": "unsupported",
+              "non_shred_pings": "ping", "shreds_wrong_version": "wrong_version", "shreds_no_leader": "no_leader"}
+
+
+def run_counters(capture: DataFrame, verdicts: DataFrame, matched: DataFrame, losses: DataFrame, late: DataFrame,
+                 split: DataFrame) -> DataFrame:
+    """All counters of a run as one row, each from the step that meets it.
+
+    ``capture`` and ``split`` are one-row tables, ``late`` one number; ``verdicts`` (verdict, packets), ``matched``
+    (provider, datagrams) and ``losses`` (socket, dropped) hold a row per verdict, per sender and per socket.
+    """
+    def total(column: str, when: Column | None = None) -> Column:
+        return F.coalesce(F.sum(F.when(F.lit(True) if when is None else when, F.col(column))), F.lit(0)).cast("bigint")
+
+    row = verdicts.agg(*[total("packets", F.col("verdict") == v).alias(c) for c, v in OF_VERDICT.items()])
+    beside = {
+        **{c: capture.select(F.col(c).cast("bigint")) for c in CAPTURED},
+        "udp_unmatched": matched.agg(total("datagrams", F.col("provider").isNull())),
+        "udp_kernel_dropped": losses.agg(total("dropped")),
+        "shreds_after_window": late.agg(total(late.columns[0])),
+        **{c: split.select(c) for c in ("invalid_sig", "invalid_data", "invalid_unknown")},
+    }
+    return row.select("*", *[df.scalar().alias(c) for c, df in beside.items()])
+
+
 def quality_notes(counters: DataFrame) -> DataFrame:
     """One row per counter above zero, in report order."""
     present = [(i, name, text) for i, (name, text) in enumerate(NOTES) if name in counters.columns]
@@ -70,25 +97,30 @@ def counter_deltas(readings: DataFrame, block: Column, socket: str = "socket", a
 
 
 def manifest(extent: DataFrame, counters: DataFrame, notes: DataFrame, sources: DataFrame | None = None,
-             **run: object) -> DataFrame:
+             pings: DataFrame | None = None, names: DataFrame | None = None, **run: object) -> DataFrame:
     """One row with a nested JSON document describing a run.
 
-    ``extent`` and ``counters`` are one-row tables; ``notes`` and ``sources`` hold a
-    handful of rows (one per counter, one per source) and become arrays.
+    ``extent`` and ``counters`` are one-row tables; ``notes`` and ``sources`` (the comparison of transactions) hold a
+    handful of rows, one per counter and one per source, ``pings`` one per address of a provider, ``names`` (leader, name) one per
+    leader. They become arrays, the names an object without the leaders that have none.
     """
     def first_row(df: DataFrame) -> Column:
         return df.select(F.struct(*df.columns)).scalar()
 
-    def listed(df: DataFrame, item: Column, order: Column) -> Column:
-        ordered = F.array_sort(F.collect_list(F.struct(order.alias("k"), item.alias("v"))))
-        return df.agg(F.transform(ordered, lambda e: e["v"])).scalar()
+    def listed(df: DataFrame, item: Column, *order: Column) -> Column:
+        keyed = F.struct(F.struct(*order).alias("k"), item.alias("v"))
+        return df.agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda e: e["v"])).scalar()
 
     one = extent.select(*extent.columns,
                         first_row(counters).alias("counters"),
                         listed(notes, F.col("note"), F.col("position")).alias("notes"))
-    if sources is not None:
-        item = F.struct(*sources.columns)
-        one = one.withColumn("txn_compare", listed(sources, item, F.col(sources.columns[0])))
+    for name, rows in (("txn_compare", sources), ("provider_pings", pings)):
+        if rows is not None:
+            one = one.withColumn(name, listed(rows, F.struct(*rows.columns), *map(F.col, rows.columns)))
+    if names is not None:
+        pair = F.struct("leader", "name")
+        named = names.filter(F.col("leader").isNotNull() & F.col("name").isNotNull()).distinct()
+        one = one.withColumn("leader_names", F.map_from_entries(listed(named, pair, F.col("leader"))))
     for name, value in run.items():
         one = one.withColumn(name, F.lit(value))
     return one.select(F.to_json(F.struct(*one.columns)).alias("manifest"))

@@ -8,16 +8,16 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstpast.functions import binary, numeric, text
-from firstpast.operators import dims, packets, sets, stats
+from firstpast.operators import dims, packets, quality, sets, stats
 from firstpast.plans import catalog, checks, reports
 from firstpast.plans.catalog import QUERIES, query, table
 from firstpast.plans.checks import CHECKS
 from firstpast.plans.views import check_ctes, check_view, spark_view
-from firstpast.session import working_path
+from firstpast.session import materialize, working_path
 from firstpast.sources import readers, writers
 from firstpast.streaming import idle, sinks, slots, timeouts
 
@@ -420,3 +420,59 @@ r AS (SELECT slot, fec_set_index, b, now - first AS open,
                   WHEN now - first >= 12000000000 THEN 'timed out' END AS reason FROM m JOIN clock USING (b)),
 f AS (SELECT *, row_number() OVER (PARTITION BY slot, fec_set_index ORDER BY b) AS nth FROM r WHERE reason IS NOT NULL)
 SELECT slot, fec_set_index, reason, CAST(floor(open / 1e6) AS BIGINT) AS open_ms FROM f WHERE nth = 1"""
+
+
+# -- the whole description of a run ------------------------------------------------------
+
+# What a capture would say of itself, taken from the events: packets received, without a time, lost on intake, too long.
+_CAPTURE = {"udp_received": 1, "udp_no_timestamp": 97, "udp_channel_full": 89, "udp_truncated": 83}
+_ALL_COUNTERS = (*quality.OF_VERDICT, *quality.CAPTURED, "udp_unmatched", "udp_kernel_dropped", "shreds_after_window",
+                 "invalid_sig", "invalid_data", "invalid_unknown")
+
+
+@query
+def full_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a run with all its counters, the notes they give rise to, pings, leader names and transactions."""
+    def of(name: str) -> DataFrame:
+        return QUERIES[name](spark, sf_dir)
+
+    rows = materialize(catalog._set_rows(spark, sf_dir), "set-rows")
+    capture = table(spark, sf_dir, "events").agg(*[F.count_if(F.col("event_id") % k == 0).alias(c) for c, k in _CAPTURE.items()])
+    counters = materialize(quality.run_counters(capture, of("packet_verdicts"), of("rule_match"), of("socket_losses"),
+                                                of("stream_late_packets"), quality.split_totals(rows)), "counters")
+    doc = quality.manifest(quality.archive_extent(rows), counters, quality.quality_notes(counters), of("txn_race"),
+                           of("provider_pings"), of("leader_names"), clock="unix nanoseconds")
+
+    def number(path: str, name: str) -> Column:
+        return F.get_json_object("manifest", path).cast("bigint").alias(name)
+
+    def length(name: str) -> Column:
+        return F.json_array_length(F.get_json_object("manifest", f"$.{name}")).cast("bigint").alias(name)
+
+    names = F.json_object_keys(F.get_json_object("manifest", "$.leader_names"))
+    return doc.select(
+        *[number(f"$.{c}", c) for c in ("rows_fec_sets", "min_slot", "max_slot")],
+        *[number(f"$.counters.{c}", c) for c in _ALL_COUNTERS],
+        *[length(c) for c in ("notes", "txn_compare", "provider_pings")], F.size(names).cast("bigint").alias("leader_names"),
+        F.get_json_object("manifest", "$.txn_compare[0].source").alias("first_source"))
+
+
+def _manifest_check() -> str:
+    def value(expression: str, name: str, where: str = "true") -> str:
+        return f"(SELECT CAST(coalesce({expression}, 0) AS BIGINT) FROM ({CHECKS[name]}) q WHERE {where})"
+
+    numbers = {c: value("sum(packets)", "packet_verdicts", f"verdict = '{v}'") for c, v in quality.OF_VERDICT.items()}
+    numbers |= {c: f"(SELECT count(*) FROM events WHERE event_id % {k} = 0)" for c, k in _CAPTURE.items()}
+    numbers |= {"udp_unmatched": value("sum(datagrams)", "rule_match", "provider IS NULL"),
+                "udp_kernel_dropped": value("sum(dropped)", "socket_losses"), "shreds_after_window": value("sum(late)", "stream_late_packets")}
+    numbers |= {c: value(f"sum({c})", "set_rows") for c in ("invalid_sig", "invalid_data", "invalid_unknown")}
+    counters = ", ".join(f"{sql} AS {c}" for c, sql in numbers.items())
+    noted = " + ".join(f"CAST({c} > 0 AS BIGINT)" for c, _ in quality.NOTES)
+    return f"""
+SELECT rows_fec_sets, min_slot, max_slot, c.*, {noted} AS notes, {value("count(*)", "txn_race")} AS txn_compare,
+       {value("count(*)", "provider_pings")} AS provider_pings, {value("count(*)", "leader_names", "name IS NOT NULL")} AS leader_names,
+       (SELECT min(source) FROM ({CHECKS["txn_race"]}) q) AS first_source
+FROM ({CHECKS["archive_extent"]}) x CROSS JOIN (SELECT {counters}) c"""
+
+
+CHECKS["full_manifest"] = _manifest_check()
