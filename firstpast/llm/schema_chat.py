@@ -15,8 +15,9 @@ text once, in characters of the formatted text.
 
 Defined cases: NULL texts and roles are empty; turns go by number, then role, then text, NULL numbers first;
 repeated rows are turns of their own; rows with a NULL id are one conversation; an empty table gives no rows.
-Spark sorts the turns and a task reads them as a stream: digests hold one turn at a time, ``chat_texts`` the text
-of one conversation, which is one value of its result.
+Spark sorts the turns and a task reads them as a stream: ``chat_texts`` holds the text of one conversation, which is one value of its
+result. Digests read a conversation's running text back in pieces of ``PIECE`` characters that know nothing of turns, and hold no more
+than one turn and a piece.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import batched, groupby
 from typing import Any, NamedTuple
@@ -36,6 +38,8 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 from firstpast.llm.common import arrow_schema, slices
 
 Turn = tuple[str, str]
+# Characters of a conversation's text that are read back at once.
+PIECE = 1 << 16
 
 
 # -- schema fingerprints -----------------------------------------------------------
@@ -138,12 +142,9 @@ _SYSTEM = tuple(m._replace(name=f"{m.name}, system", turns=(("system", "system")
 _HISTORY = tuple(m._replace(name=f"{m.name}, history", history="history")
                  for m in (*_PLAIN, *_SYSTEM) if ("user", "instruction") in m.turns)
 MAPPINGS = tuple(sorted((*_PLAIN, *_SYSTEM, *_HISTORY), key=lambda m: -len(m.needs())))
-# What a table of turns is called by, not by record: (conversation, order, role, text).
-TURN_TABLES = {
-    frozenset({"conv_id", "turn", "role", "text"}): ("conv_id", "turn", "role", "text"),
-    frozenset({"conversation_id", "position", "author", "content"}):
-        ("conversation_id", "position", "author", "content"),
-}
+# Layouts of tables with a row per turn, by the fingerprint of their columns: (conversation, order, role, text).
+_TURN_COLUMNS = (("conv_id", "turn", "role", "text"), ("conversation_id", "position", "author", "content"))
+TURN_TABLES = {fingerprint(set(columns)): columns for columns in _TURN_COLUMNS}
 
 
 class Selector:
@@ -201,6 +202,58 @@ def parsed(text: str) -> list[Turn]:
     return [(m[1].replace("%7C", "|").replace("%25", "%"), unescape(m[2])) for m in _TURN.finditer(text)]
 
 
+class ReadBack:
+    """Reads the running text of a conversation piece by piece: its turns, and what stands under its loss mask."""
+
+    def __init__(self) -> None:
+        self.held, self.start, self.scanned = "", 0, 0
+        self.spans: deque[tuple[int, int]] = deque()
+
+    def feed(self, piece: str) -> Iterator[tuple[Turn, list[str]]]:
+        """The turns that end in the piece, each with the unescaped texts of the spans up to its end."""
+        self.held += piece
+        at = 0
+        while (end := self.held.find(END, max(at, self.scanned))) >= 0:
+            end += len(END)
+            found = _TURN.fullmatch(self.held, at, end)
+            if found is None:
+                raise ValueError(f"no turn in characters {self.start + at} to {self.start + end}")
+            learned = []
+            while self.spans and self.spans[0][1] <= self.start + end:
+                first, stop = self.spans.popleft()
+                if first < self.start + at:
+                    raise ValueError(f"the mask from {first} reaches over a turn")
+                learned.append(unescape(self.held[first - self.start:stop - self.start]))
+            yield (found[1].replace("%7C", "|").replace("%25", "%"), unescape(found[2])), learned
+            at = end
+        # An end mark may lie across the border of two pieces.
+        self.held, self.start = self.held[at:], self.start + at
+        self.scanned = max(0, len(self.held) - len(END) + 1)
+
+    def close(self) -> None:
+        if self.held or self.spans:
+            raise ValueError("text or mask behind the last turn")
+
+
+def read_back(said: Iterable[Turn], piece: int) -> Iterator[tuple[Turn, list[str], int]]:
+    """Turns formatted as one text and read back from it, with what is learned of them and the characters written so far."""
+    reader, waiting, written = ReadBack(), "", 0
+    for turn in said:
+        text, mask = formatted([turn])
+        reader.spans.extend((a + written, b + written) for a, b in mask)
+        written += len(text)
+        waiting += text
+        if len(waiting) >= piece:
+            whole = len(waiting) - len(waiting) % piece
+            for k in range(0, whole, piece):
+                for back, learned in reader.feed(waiting[k:k + piece]):
+                    yield back, learned, written
+            waiting = waiting[whole:]
+    for back, learned in reader.feed(waiting):
+        yield back, learned, written
+    reader.close()
+
+
 # -- jobs ------------------------------------------------------------------------------
 
 def canonical(records: DataFrame, column: str, key: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -242,9 +295,12 @@ def as_turns(records: DataFrame, key: str) -> DataFrame:
 
 
 def turn_table(rows: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text`` of a table of turns, its columns found by the paths of its schema."""
+    """``conv_id, turn, role, text`` of a table of turns; the fingerprint of its schema selects which columns they are.
+
+    A fingerprint that names no layout falls back to the layout whose paths the schema holds, as for records.
+    """
     found = type_paths(rows.schema)
-    names = next((n for needed, n in TURN_TABLES.items() if needed <= found), None)
+    names = TURN_TABLES.get(fingerprint(found)) or next((c for c in TURN_TABLES.values() if set(c) <= found), None)
     if names is None:
         raise ValueError(f"no mapping for a table of {sorted(found)}")
     return rows.select(*[F.col(n).alias(c) for n, c in zip(names, ("conv_id", "turn", "role", "text"))])
@@ -296,16 +352,12 @@ def digests(turns: DataFrame) -> DataFrame:
             for one, said in _conversations(batches):
                 every, loss = hashlib.sha256(), hashlib.sha256()
                 n = masked = chars = 0
-                for turn in said:  # a conversation's text is that of its turns, end to end
-                    text, mask = formatted([turn])
-                    chars += len(text)
-                    for role, back in parsed(text):
-                        n += 1
-                        every.update(f"{role}\n{back}\n".encode())
-                    for start, end in mask:
-                        learned = unescape(text[start:end])
-                        masked += len(learned)
-                        loss.update(learned.encode())
+                for (role, back), learned, chars in read_back(said, PIECE):
+                    n += 1
+                    every.update(f"{role}\n{back}\n".encode())
+                    for text in learned:
+                        masked += len(text)
+                        loss.update(text.encode())
                 yield one, n, every.hexdigest(), masked, loss.hexdigest(), chars
 
         return _written(rows(), fields, 1024)

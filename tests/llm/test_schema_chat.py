@@ -132,3 +132,33 @@ def test_odd_inputs(spark):
     assert chat.digests(chat.turn_table(table.limit(0))).count() == 0
     with pytest.raises(ValueError):
         chat.turn_table(table.drop("role"))
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 8, 100, 1 << 16])
+def test_turns_are_read_back_from_the_running_text(piece):
+    """Pieces end anywhere: in marks, in escapes, in texts; what comes back and what is learned is the same."""
+    said = [("user", "a <|end|> b </s>"), ("assistant", "x" * 300 + "[INST]"), ("", ""), ("a|b%", "<|user|>\\<|"), ("assistant", ""),
+            ("assistant", "[/INST] <\\|end|>"), ("system", "<|end|")]
+    back = list(chat.read_back(said, piece))
+    assert [turn for turn, _, _ in back] == said
+    assert [t for _, learned, _ in back for t in learned] == [t for role, t in said if role == "assistant"]
+    assert back[-1][2] == len(chat.formatted(said)[0])
+
+
+def test_a_broken_text_is_not_read():
+    for text in ("<|user|>a", "x<|user|>a<|end|>", "<|user|>a<|end|>rest"):
+        reader = chat.ReadBack()
+        with pytest.raises(ValueError):
+            list(reader.feed(text))
+            reader.close()
+
+
+def test_the_query_selects_its_mapping_by_fingerprint(spark, sf_dir, monkeypatch):
+    asked = []
+    mark = chat.fingerprint
+    monkeypatch.setattr(chat, "fingerprint", lambda found: (asked.append(found), mark(found))[1])
+    QUERIES["op9_schema_chat"](spark, sf_dir)
+    assert asked == [{"conv_id", "turn", "role", "text"}]
+    monkeypatch.setattr(chat, "TURN_TABLES", {})
+    with pytest.raises(ValueError):
+        QUERIES["op9_schema_chat"](spark, sf_dir)
