@@ -25,6 +25,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -353,6 +354,30 @@ def six_groups(rng: random.Random) -> tuple[str, int]:
     return ":".join(f"{rng.randrange(256):02x}" for _ in range(6)), 0
 
 
+class Places:
+    """Disjoint stretches of a text, in order: whether a span touches one is found by halving."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s in sorted(spans, key=lambda s: s.start):
+            if self.ends and s.start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], s.end)
+            else:
+                self.starts.append(s.start)
+                self.ends.append(s.end)
+
+    def touch(self, span: Span) -> bool:
+        at = bisect_right(self.ends, span.start)
+        return at < len(self.starts) and self.starts[at] < span.end
+
+    def add(self, span: Span) -> None:
+        """A span that touches none."""
+        at = bisect_right(self.ends, span.start)
+        self.starts.insert(at, span.start)
+        self.ends.insert(at, span.end)
+
+
 DRAWN = {"account_number": account, "identity_number": identity, "six_ip": six_groups}
 
 
@@ -383,8 +408,9 @@ def examples(texts: list[str], seed: int = 7) -> tuple[list[list[float]], list[s
               ("ann.lee@mail.example.com", "+1 (415) 555-0132", "4111111111111111", "10.20.30.40") for _ in range(40)]
     for text in texts or filler:
         base = base_spans(text)
+        held = Places(base)
         for span in candidates(text):
-            inside = any(b.start < span.end and span.start < b.end for b in base)
+            inside = held.touch(span)
             if not inside and not plausible(text, span):
                 add(text, span, 0)
             elif not inside and span.kind in DRAWN:
@@ -398,7 +424,8 @@ def examples(texts: list[str], seed: int = 7) -> tuple[list[list[float]], list[s
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     """Trees and thresholds from about ``sample`` distinct texts with digits or a sign, chosen by hash.
 
-    Examples are made in the task that holds the sample; at most ``EXAMPLES`` of them come back.
+    Examples are made in the task that holds the sample, those of a text with a seed of its own; at most ``EXAMPLES`` of them come back,
+    the least by hash and in that order, so neither the layout of the table nor a repeated task changes the model.
     """
     marked = docs.where(F.col(text).rlike("[0-9]{3}|@")).select(text)
     # Counted by hashes; only texts of the sample are moved, as the filter by hash comes before distinct().
@@ -406,12 +433,15 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows, kinds, labels = examples(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.list_(pa.float64())), pa.array(kinds, pa.string()), pa.array(labels, pa.int32())],
-                ["row", "kind", "label"])
-
-    made = some.mapInArrow(task, "row array<double>, kind string, label int").limit(EXAMPLES).collect()
+            for said in batch.column(0).to_pylist():
+                whole = hashlib.sha256(said.encode()).digest()
+                rows, kinds, labels = examples([said], int.from_bytes(whole[:8], "big"))
+                marks = [hashlib.sha256(whole + i.to_bytes(4, "big")).digest() for i in range(len(rows))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(marks, pa.binary()), pa.array(rows, pa.list_(pa.float64())), pa.array(kinds, pa.string()),
+                     pa.array(labels, pa.int32())], ["mark", "row", "kind", "label"])
+
+    made = some.mapInArrow(task, "mark binary, row array<double>, kind string, label int").orderBy("mark").limit(EXAMPLES).collect()
     drawn = list(zip(*examples([])))
     made = [(r.row, r.kind, r.label) for r in made] + drawn
     held = np.array([i % 3 == 0 for i in range(len(made))])
@@ -426,10 +456,10 @@ def added_spans(text: str, base: list[Span], model: Model) -> list[Span]:
     """Accepted candidates that overlap neither a base span nor a better candidate."""
     judged = sorted(((p, s) for s in candidates(text) if (p := model.accepts(text, s)) is not None),
                     key=lambda x: (-x[0], x[1].start, MORE.index(x[1].kind)))
-    taken, added = list(base), []
+    taken, added = Places(base), []
     for _, span in judged:
-        if all(t.end <= span.start or span.end <= t.start for t in taken):
-            taken.append(span)
+        if not taken.touch(span):
+            taken.add(span)
             added.append(span)
     return added
 

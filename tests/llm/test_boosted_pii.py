@@ -1,6 +1,7 @@
 """Base spans against plain regular expressions, added spans, redaction, odd inputs."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -139,3 +140,38 @@ def test_copies_of_one_text_do_not_fill_the_sample(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"call 555-0199 {max(0, k - 90)}") for k in range(100)], "doc_id long, text string")
     pii.fit(docs)
     assert seen == [(10, 10)]
+
+
+def test_the_model_does_not_depend_on_the_layout(spark, documents):
+    """One table in 1, 5 and 9 partitions gives the same trees, line and thresholds."""
+    models = [pii.fit(documents.select("doc_id", "text").repartition(n)) for n in (1, 5, 9)]
+    assert models[0] == models[1] == models[2] and models[0].threshold
+
+
+def test_dense_texts_take_linear_time():
+    """A quarter of a million characters full of contacts."""
+    import time
+    model = pii.Model([pii.Tree([-1], [0.0], [5.0])], threshold=dict.fromkeys(pii.MORE, 0.5))
+    text = "".join(f"call ({200 + i % 700}) 555-{i % 10000:04d} or ann{i}@mail.example.com, see 10.0.{i % 250}.7 now; " for i in range(3600))
+    assert len(text) > 240_000
+    start = time.perf_counter()
+    found = pii.spans(text, model)
+    took = time.perf_counter() - start
+    assert len(found) > 9000 and took < 8
+    places = pii.Places(found)
+    assert all(places.touch(s) for s in found)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_places_find_what_a_scan_finds(seed):
+    rng = random.Random(seed)
+    span = lambda: pii.Span("email", a := rng.randrange(200), a + rng.randint(1, 9))
+    held = [span() for _ in range(20)]
+    places = pii.Places(held)
+    for _ in range(200):
+        one = span()
+        touches = any(h.start < one.end and one.start < h.end for h in held)
+        assert places.touch(one) == touches
+        if not touches and rng.random() < 0.3:
+            places.add(one)
+            held.append(one)
