@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on islands.
 
-A task encodes its documents and lays their pieces into blocks of ``BLOCK`` pieces; nothing
-larger than a block is ever optimised in one place. Every block is evolved on
+A task encodes its documents and lays their pieces into blocks of ``BLOCK`` pieces. What is left over in the tasks is regrouped
+across them, so the number of sequences does not follow the layout of the files; nothing
+of twice a block or more is ever optimised in one place. Every block is evolved on
 ``ISLANDS`` islands, each a row of its own that Spark deals out. An epoch ends with
 a shuffle that sends every island's elite to the next one. The best packing over a block's
 islands is applied to its pieces.
@@ -30,7 +31,7 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firstpast.llm.common import arrow_schema, slices
@@ -107,6 +108,21 @@ def blocks(docs: DataFrame, path: str, text: str, key: str, limit: int, end: int
     return docs.select(key, text).mapInArrow(task, schema)
 
 
+def regrouped(laid: DataFrame) -> DataFrame:
+    """Full blocks as they are, and the unfilled ones, one per reading task, gathered into blocks of ``BLOCK`` to less than twice that."""
+    lists = [c for c in laid.columns if c != "block"]
+    unfilled = laid.where(F.size("lengths") < BLOCK)
+    # Numbers only: a row per task that read documents.
+    before = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    groups = (unfilled.select("block", F.size("lengths").alias("n"))
+              .select("block", F.floor(F.coalesce(before, F.lit(0)) / BLOCK).alias("group")))
+    held = (unfilled.join(groups, "block").groupBy("group")
+            .agg(F.array_sort(F.collect_list(F.struct("block", *lists))).alias("every")))
+    # A field of an array of structs is the array of that field.
+    merged = held.select(F.col("every")[0]["block"].alias("block"), *[F.flatten(F.col("every")[c]).alias(c) for c in lists])
+    return laid.where(F.size("lengths") == BLOCK).unionByName(materialize(merged, "gathered-blocks"))
+
+
 # -- evolution -----------------------------------------------------------------
 
 Bins = list[tuple[int, ...]]
@@ -249,7 +265,7 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset, and the ids if asked for."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     kind = docs.schema[key].dataType.simpleString()
-    laid = materialize(blocks(docs, path, text, key, limit, end, with_ids), "blocks")
+    laid = regrouped(materialize(blocks(docs, path, text, key, limit, end, with_ids), "blocks"))
     best = packings(laid, limit)
     schema = (f"{key} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
               + ", ids array<long>" * with_ids)

@@ -126,3 +126,28 @@ def test_odd_inputs(tricky, nothing, library):
     assert sum(r.doc_id == 7 for r in rows) == 2
     assert ga.pack(nothing).count() == 0
     assert ga.pack(tricky.where(F.col("doc_id") == 5)).count() == -(-len(ids_of(library, dict(texts)[5])) // 1024)
+
+
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_sequences_do_not_follow_the_layout(spark, documents, parts):
+    """However many tasks read the documents, they need the same few sequences."""
+    docs = documents.select("doc_id", "text").limit(200).repartition(parts, "doc_id")
+    rows = ga.pack(docs).collect()
+    held = check_places(rows)
+    assert held <= -(-sum(r.length for r in rows) // ga.LIMIT) + 2
+    assert len({r.doc_id for r in rows}) == docs.select("doc_id").distinct().count()
+
+
+def test_unfilled_blocks_are_gathered(spark):
+    """Blocks of 40 tasks: none is lost, none of twice a block's size comes out, full ones stay."""
+    def one(number, n):
+        return (number, [number] * n, list(range(n)), [0] * n, [7] * n, [1] * n)
+
+    sizes = [ga.BLOCK, *[(37 * k) % (ga.BLOCK - 1) + 1 for k in range(40)], ga.BLOCK]
+    laid = spark.createDataFrame([one(k, n) for k, n in enumerate(sizes)], "block long, keys array<long>, pieces array<long>, "
+                                 "starts array<long>, lengths array<int>, crcs array<long>").repartition(5)
+    got = {r.block: r for r in ga.regrouped(laid).collect()}
+    assert sum(len(r.keys) for r in got.values()) == sum(sizes) and max(len(r.keys) for r in got.values()) < 2 * ga.BLOCK
+    assert len(got[0].keys) == ga.BLOCK and len(got) <= sum(sizes) // ga.BLOCK + 2
+    for r in got.values():
+        assert [(k, p) for k in sorted(set(r.keys)) for p in range(sizes[k])] == list(zip(r.keys, r.pieces))
