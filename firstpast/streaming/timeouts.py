@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from firstpast.operators.sets import anchored_set_stats
 from firstpast.streaming import waiting
-from firstpast.streaming.closing import landed, plausible
+from firstpast.streaming.closing import bucket_of, of_buckets, plausible
 from firstpast.streaming.sinks import BatchFunction, put_batch, write_batch
 from firstpast.streaming.slots import guard_slots
 
@@ -171,17 +171,17 @@ def set_stats_sink(packets_path: str, packet_schema: StructType, out: str, basel
                    version: int | None = None) -> BatchFunction:
     """A batch function for closed sets: their statistics, from their landed packets.
 
-    ``packets_path`` holds packets by batch and bucket of slots (``closing.land``); the buckets between the lowest
-    and the highest closed slot are read.
+    ``packets_path`` holds packets by batch and bucket of slots (``closing.land``); the buckets of the closed slots are read,
+    so that a slot far away adds one bucket and not all up to it.
     """
     def write(closed: DataFrame, batch_id: int) -> None:
         # Read by two branches of the statistics; the state store should answer once.
         keys = closed.select("slot", "fec_set_index").persist()
         try:
-            low, high = keys.agg(F.min("slot"), F.max("slot")).first()
-            if low is None:
+            own = [row[0] for row in keys.select(bucket_of("slot")).distinct().collect()]
+            if not own:
                 return
-            packets = landed(closed.sparkSession, packets_path, packet_schema, 1 << 62, low - 1, high)
+            packets = of_buckets(closed.sparkSession, packets_path, packet_schema, 1 << 62, own)
             of_closed = packets.join(keys, ["slot", "fec_set_index"], "left_semi")
             write_batch(anchored_set_stats(of_closed, baseline, version), out, batch_id)
         finally:
