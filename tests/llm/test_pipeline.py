@@ -52,8 +52,8 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir, tricky, nothing):
 def test_registered(spark):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(re.match(f"op{n}_", x) for x in names) for n in range(1, 11))
-    assert "op4_blob_ledger" in __spark_entry__.oracle_sql()
+    assert "pipeline" in names and all(any(re.match(f"op{n}_", x) for x in names) for n in range(1, 14))
+    assert {"op4_blob_ledger", "op9_schema_chat", "op11_line_first"} <= set(__spark_entry__.oracle_sql())
 
 
 def test_clean_documents_keep_their_text(spark, sf_dir, documents):
