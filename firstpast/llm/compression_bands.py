@@ -1,13 +1,19 @@
 """Quality rules: compression ratios of whole texts and fixed chunks, held against bands by length.
 
-A text's ratio is its Zstandard size over its UTF-8 size. Short texts compress
-badly whatever they say, long ones better the longer they are, so the limits
-depend on the length. A text is rejected when it as a whole lies under its
-band (repetitive) or over it (incompressible), or when more than half of its
-bytes lie in chunks that do.
+A text is first written in an alphabet of its own, so that its script does not
+count: its distinct characters are numbered in order of first occurrence, and
+each is the byte of its number. Texts that differ by a mapping of letters are the same
+bytes then. A text of more than ``ALPHABET`` distinct characters stays UTF-8. The ratio
+is the Zstandard size over the size so written.
+
+Short texts compress badly whatever they say, long ones better the longer they
+are, so the limits depend on the length. A text is rejected when it as a whole lies under its
+band (repetitive, told by the Zstandard size per character) or over it (incompressible, told by the ratio and the
+bytes as written), or when more than half of its characters lie in chunks that do. Chunks are written in alphabets of their own.
 
 Defined cases: a NULL text counts as the empty one; empty texts have ratio 1
-and fail the word rule; repeated rows are judged alike, each row gives one row.
+and fail the word rule; repeated rows are judged alike, each row gives one row. A last chunk of less than
+``LEAST_CHUNK`` characters is judged with the whole text only.
 Every row is judged in the task that reads it, so nothing is shuffled.
 """
 
@@ -31,7 +37,10 @@ LEAST_CHUNK = 2048
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-# (bytes from which the band holds, least ratio, greatest ratio)
+# So many characters have a byte each.
+ALPHABET = 256
+
+# (length from which the band holds, least size per character, greatest ratio)
 BANDS = ((0, 0.0, 9.0), (64, 0.50, 1.30), (128, 0.42, 1.00), (256, 0.36, 0.85), (512, 0.30, 0.80),
          (1024, 0.27, 0.75), (4096, 0.24, 0.72), (16384, 0.21, 0.70), (65536, 0.18, 0.70))
 CHUNK_BAND = (0.20, 0.72)
@@ -81,29 +90,41 @@ def band(size: int) -> tuple[float, float]:
     return next((low, high) for start, low, high in reversed(BANDS) if size >= start)
 
 
+def rewritten(text: str) -> bytes:
+    """The text in the alphabet of its characters in order of first occurrence, or UTF-8 if those are too many."""
+    numbers = {ord(c): i for i, c in enumerate(dict.fromkeys(text))}
+    return text.translate(numbers).encode("latin-1") if len(numbers) <= ALPHABET else text.encode()
+
+
 def judge():
     """The function of one text, sharing one compressor per task."""
     compressor = zstandard.ZstdCompressor(level=LEVEL)
 
-    def ratio(data: bytes) -> float:
-        return len(compressor.compress(data)) / len(data) if data else 1.0
+    def sizes(text: str) -> tuple[float, float, int]:
+        """Zstandard size per character and per byte as written, and bytes as written."""
+        if not text:
+            return 1.0, 1.0, 0
+        data = rewritten(text)
+        size = len(compressor.compress(data))
+        return size / len(text), size / len(data), len(data)
 
     def verdict(text: str) -> Verdict:
         data = text.encode()
         words = data.split()
         repeats = repeated_words(words)
         base_failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEATED * len(words)
-        whole = ratio(data)
-        low, high = band(len(data))
-        chunks = [data[i:i + CHUNK] for i in range(0, len(data), CHUNK)]
-        judged = [(len(c), whole if len(chunks) == 1 else ratio(c)) for c in chunks if len(c) >= LEAST_CHUNK]
-        total = max(1, sum(n for n, _ in judged))
-        repetitive = sum(n for n, r in judged if r < CHUNK_BAND[0]) / total
-        incompressible = sum(n for n, r in judged if r > CHUNK_BAND[1]) / total
-        kept = not base_failed and low <= whole <= high and repetitive <= 0.5 and incompressible <= 0.5
+        per_char, ratio, written = sizes(text)
+        low, high = band(len(text))[0], band(written)[1]
+        chunks = [text[i:i + CHUNK] for i in range(0, len(text), CHUNK)]
+        judged = [(len(c), *((per_char, ratio) if len(chunks) == 1 else sizes(c)[:2])) for c in chunks if len(c) >= LEAST_CHUNK]
+        total = max(1, sum(n for n, _, _ in judged))
+        repetitive = sum(n for n, r, _ in judged if r < CHUNK_BAND[0]) / total
+        incompressible = sum(n for n, _, r in judged if r > CHUNK_BAND[1]) / total
+        kept = (not base_failed and per_char >= low and ratio <= high
+                and repetitive <= 0.5 and incompressible <= 0.5)
         return Verdict(
             len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)),
-            duplicate_lines(data), repeats, base_failed, kept, whole, repetitive, incompressible)
+            duplicate_lines(data), repeats, base_failed, kept, ratio, repetitive, incompressible)
 
     return verdict
 
