@@ -243,17 +243,27 @@ def log_probabilities(seq: np.ndarray, deep: dict[int, Nodes]) -> np.ndarray:
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted (seq, n) rows in parts that keep together what shares its two most recent bytes."""
-    seq, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held, enough = 0, TOGETHER
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        seq, n = (np.concatenate(column) for column in zip(*parts))
+        return seq, n
+
     for batch in batches:
-        seq = np.concatenate([seq, batch.column(0).to_numpy()])
-        n = np.concatenate([n, batch.column(1).to_numpy()])
-        if len(seq) >= TOGETHER:
+        if batch.num_rows:
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            held += batch.num_rows
+        if held >= enough:
+            seq, n = joined()
             end = int(np.searchsorted(seq, seq[-1] >> 8 * (DEPTH - 1) << 8 * (DEPTH - 1)))
             if end:
                 yield seq[:end], n[:end]
-                seq, n = seq[end:], n[end:]
-    if len(seq):
-        yield seq, n
+            parts, held = [(seq[end:], n[end:])], len(seq) - end
+            # What cannot be cut yet is put together again only after it has doubled.
+            enough = max(TOGETHER, 2 * held)
+    if held:
+        yield joined()
 
 
 def tops(counts: DataFrame) -> dict[int, Nodes]:
@@ -299,7 +309,10 @@ def model(counts: DataFrame) -> DataFrame:
 # -- scores ------------------------------------------------------------------------
 
 def scores(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: tokens, how many of them training texts hold, the base and the model's log-probability."""
+    """One row per document: tokens, how many of them training texts hold, the base and the model's log-probability.
+
+    ``bits_per_byte`` is the model's code length of the text and its end, per byte of both.
+    """
     laid = materialize(chunks(docs, text, key), "chunks")
     found = materialize(leaves(laid), "leaves")
     counts = materialize(found.groupBy("seq").agg(F.sum("n").alias("n")), "sequence-counts")
@@ -318,7 +331,7 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     of_words = counted.select("chunk", (-1 - F.col("place")).alias("place"), F.col("c").cast("double").alias("value"))
     kind = docs.schema[key].dataType.simpleString()
     schema = (f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-              "score double")
+              "score double, bits_per_byte double")
     fields = arrow_schema(schema)
 
     def task(chunk: pa.Table, known: pa.Table) -> pa.Table:
@@ -332,9 +345,11 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         _, numbers, per_text = word_numbers(texts)
         base = np.log10((count + 1) / (train + distinct + 1))
         end = math.log10((ends + 1) / (train + distinct + 1))
+        coded = np.array(sizes) + 1
+        score = sums(logs[pd.factorize(sequences(texts))[0]], coded)
         made = (keys, held, per_text + 1, sums((count > 0)[numbers], per_text).astype(np.int64) + (ends > 0),
-                np.full(len(texts), train), sums(base[numbers], per_text) + end,
-                sums(logs[pd.factorize(sequences(texts))[0]], np.array(sizes) + 1))
+                np.full(len(texts), train), sums(base[numbers], per_text) + end, score,
+                -score / (math.log10(2) * coded))
         return pa.table([pa.array(c, f.type) for c, f in zip(made, fields)], schema=fields)
 
     known = of_leaves.union(of_words)

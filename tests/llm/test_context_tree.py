@@ -124,6 +124,25 @@ def test_probabilities_of_a_byte_add_up(monkeypatch):
     assert math.isclose(p[every >> 8 == context].sum(), 1.0, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("hot", [0, 70, 900])
+def test_parts_keep_together_what_shares_two_bytes(monkeypatch, hot):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(ct, "TOGETHER", 64)
+    rng = np.random.default_rng(hot)
+    seq = np.unique(np.concatenate([rng.integers(0, 1 << 40, 400), (77 << 24) + rng.integers(0, 1 << 24, hot)]))
+    n = rng.integers(0, 9, len(seq))
+    batches = [pa.RecordBatch.from_arrays([pa.array(seq[i:i + 10]), pa.array(n[i:i + 10])], ["seq", "n"])
+               for i in range(0, len(seq), 10)]
+    parts = list(ct._runs([batches[0].slice(0, 0), *batches]))
+    assert (np.concatenate([s for s, _ in parts]) == seq).all() and (np.concatenate([c for _, c in parts]) == n).all()
+    assert len(parts) > 2
+    for (a, _), (b, _) in zip(parts, parts[1:]):
+        assert a[-1] >> 24 != b[0] >> 24
+    assert list(ct._runs([])) == []
+
+
 def test_documents(spark, sf_dir, plain):
     rows = QUERIES["op5_context_tree"](spark, sf_dir).collect()
     total, want = base(plain)
@@ -133,6 +152,7 @@ def test_documents(spark, sf_dir, plain):
         n, known, score = want[r.doc_id, text]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert math.isclose(r.base_score, score, rel_tol=1e-9)
+        assert math.isclose(r.bits_per_byte, -r.score / math.log10(2) / (len((text or "").encode()) + 1), rel_tol=1e-9)
     # Held-out prose costs far less than eight bits a byte, and less than under the word counts.
     apart = [r for r in rows if r.held_out and r.n_tokens > 100]
     bits = sum(-r.score for r in apart) / math.log10(2) / sum(
