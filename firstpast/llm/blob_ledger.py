@@ -1,10 +1,10 @@
 """Secret scans over a ledger of blobs.
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger,
-a Parquet table in a shared folder, has rows ``(blob, rules, spans)``: the
-rule versions that were applied to a blob and what they found. A scan takes the
-blobs of which some current rule version is missing, one copy of each, and
-applies the missing ones only. Texts in which no rule's cheap test finds anything are marked
+a Parquet table in a shared folder, has rows ``(blob, rules, spans, covers)``: the
+rule versions that were applied to a blob, what they found, and all versions applied to it by then. A scan takes the blobs of which some current rule version is missing, one copy of each, and
+applies the missing ones only. A scan passes over the history with one anti join on blob
+and covers; only rows of the blobs it takes are grouped. Texts in which no rule's cheap test finds anything are marked
 without being moved. Marks and findings are in one row and one commit,
 so a scan that dies leaves nothing half done and the next one starts over. Findings
 are joined back to all paths that have, or ever had, the blob.
@@ -29,7 +29,7 @@ from firstpast.llm.common import unused
 from firstpast.session import materialize, working_path
 
 SPANS = "array<struct<rule:string,start:int,end:int>>"
-LEDGER = {"blob": "binary", "rules": "array<string>", "spans": SPANS}
+LEDGER = {"blob": "binary", "rules": "array<string>", "spans": SPANS, "covers": "array<string>"}
 
 
 def either_case(word: str) -> str:
@@ -112,8 +112,10 @@ def blob(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _applied(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("had"))
+def _applied(ledger: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The rule versions that these blobs had."""
+    rows = ledger.select("blob", "rules").join(blobs, "blob", "left_semi")
+    return rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("had"))
 
 
 def scan(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
@@ -127,17 +129,21 @@ def scan(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, text: str
     # Only texts in which some rule may find something are moved; of the others the address is enough.
     versions = docs.select(
         blob(F.col(text)).alias("blob"), F.when(sum_or([r.maybe(said) for r in rules]), said).alias("content"))
-    if not past.isEmpty():
-        full = _applied(past).where(F.size(F.array_except(wanted, "had")) == 0)
-        versions = versions.join(full, "blob", "left_anti")
-    todo = versions.dropDuplicates(["blob"]).withColumn("missing", wanted)
-    if not past.isEmpty():
-        todo = todo.join(_applied(past), "blob", "left").withColumn(
-            "missing", F.array_except(wanted, F.coalesce("had", F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    if past.isEmpty():
+        todo = versions.dropDuplicates(["blob"]).withColumn("had", none)
+    else:
+        full = past.where(F.size(F.array_except(wanted, F.coalesce("covers", "rules"))) == 0).select("blob")
+        fresh = versions.join(full, "blob", "left_anti").dropDuplicates(["blob"])
+        had = _applied(past, fresh.select("blob"))
+        todo = fresh.join(had, "blob", "left").withColumn("had", F.coalesce("had", none))
+    # Scans that ran at the same time may have covered a blob by several rows.
+    todo = todo.withColumn("missing", F.array_except(wanted, "had")).where(F.size("missing") > 0)
     content = F.col("content")
     found = F.concat(*[
         F.when(F.array_contains("missing", r.name), r.spans(content)).otherwise(F.array().cast(SPANS)) for r in rules])
-    todo.select("blob", F.col("missing").alias("rules"), found.alias("spans")).write.mode("append").parquet(ledger)
+    todo.select(
+        "blob", F.col("missing").alias("rules"), found.alias("spans"), F.array_union("had", "missing").alias("covers")).write.mode("append").parquet(ledger)
     return spark.read.schema(nothing.schema).parquet(ledger)
 
 

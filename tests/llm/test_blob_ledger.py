@@ -74,6 +74,27 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     assert spans == {(1, 0), (2, 0), (3, 0)}  # the values are shorter than the newer rule asks for
     assert {(r.doc_id, len(r.spans)) for r in bl.findings(later, ledger, bl.BASE).collect()} == {(1, 1), (2, 1), (3, 0)}
     assert bl.scan(later, ledger, newer).count() == 6
+    # The last row of a blob covers every rule version that it has had, so one anti join finds it whole.
+    whole = {r.name for r in (*bl.BASE, *newer)}
+    rows = [r for r in again.collect() if r.rules == ["assign@2"]]
+    assert len({bytes(r.blob) for r in rows}) == 3 and all(set(r.covers) == whole for r in rows)
+
+
+def test_a_ledger_without_covers_is_read(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token=abcdef12"), (2, None)], "doc_id long, text string")
+    new, old = str(tmp_path / "new"), str(tmp_path / "old")
+    bl.scan(docs, new, bl.BASE).drop("covers").write.parquet(old)
+    assert bl.scan(docs, old, bl.BASE).count() == 2
+
+
+def test_rules_covered_by_several_rows(spark, tmp_path):
+    """Scans at the same time leave a row each; a later scan for all of their rules adds none."""
+    docs = spark.createDataFrame([(1, "token=abcdef12"), (2, None)], "doc_id long, text string")
+    ledger, beside = str(tmp_path / "ledger"), str(tmp_path / "beside")
+    bl.scan(docs, ledger, bl.BASE[:1])
+    bl.scan(docs, beside, bl.BASE[1:]).write.mode("append").parquet(ledger)
+    assert bl.scan(docs, ledger, bl.BASE).count() == 4
+    assert {(r.doc_id, len(r.spans)) for r in bl.findings(docs, ledger, bl.BASE).collect()} == {(1, 1), (2, 0)}
 
 
 def test_redaction(spark, tricky, nothing):
