@@ -54,13 +54,17 @@ def label(col: str | Column, labels: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(pairs, column), column)
 
 
+# Prefixes of names that hold an address. Fixed values.
+ADDRESSED = ("fra", "ny")
+
+
 def ip_in_name(source: str | Column) -> Column:
     """The address in names like ``fra-1.2.3.4`` and ``ny-1.2.3.4``, else NULL."""
     column = _col(source)
     candidate = F.substring_index(column, "-", 1)
     rest = column.substr(F.length(candidate) + 2, F.length(column))
     dots = F.length(rest) - F.length(F.replace(rest, F.lit("."), F.lit("")))
-    return F.when(candidate.isin("fra", "ny") & F.contains(column, F.lit("-")) & (dots == 3), rest)
+    return F.when(candidate.isin(*ADDRESSED) & F.contains(column, F.lit("-")) & (dots == 3), rest)
 
 
 def host_of(url: str | Column) -> Column:

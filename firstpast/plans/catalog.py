@@ -485,13 +485,16 @@ def enriched_sources(spark, sf_dir):
     sources = suppliers.select(
         F.when(key % 3 == 0, F.concat(F.lit("fra-"), _ip()))
         .when(key % 3 == 1, _named("src-", "s_suppkey")).otherwise(_named("ny-", "s_suppkey")).alias("source"))
-    name_ip = suppliers.filter("s_acctbal > 0").select(_named("src-", "s_suppkey").alias("name"), _ip().alias("ip"))
-    asn = (suppliers.filter("s_acctbal < 8000")
+    name_ip = suppliers.select(
+        _named("src-", "s_suppkey").alias("name"), F.when(F.col("s_acctbal") > 0, _ip()).alias("ip"))
+    city = F.when(key % 4 == 0, "").otherwise(_named("city", "s_suppkey"))
+    country = F.when(key % 6 == 0, "").otherwise(F.col("r_name"))
+    known = F.col("s_acctbal") < 8000
+    asn = (suppliers
            .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
            .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-           .select(_ip().alias("ip"), F.col("n_name").alias("org"),
-                   F.when(key % 4 == 0, "").otherwise(_named("city", "s_suppkey")).alias("city"),
-                   F.when(key % 6 == 0, "").otherwise(F.col("r_name")).alias("country")))
+           .select(_ip().alias("ip"), *[F.when(known, c).alias(name) for name, c in (
+               ("org", F.col("n_name")), ("city", city), ("country", country))]))
     return dims.enrich_sources(sources, name_ip, asn)
 
 
