@@ -19,8 +19,9 @@ the same vector are searched once.
 
 Defined cases: NULL vectors, those with NULL or non-finite components or only zeros, and those of another length
 than most of the sample take no part; a NULL id takes no part; repeated rows count once for each
-id; ties go to the smaller id; an empty table gives no rows; fewer candidates than asked for are all returned
-if the leaves opened hold them, and a table with fewer vectors than ``SAMPLE_LEAF`` is one leaf.
+id; ties go to the smaller id; an empty table gives no rows; fewer candidates than asked for are all returned,
+and a table with fewer vectors than ``SAMPLE_LEAF`` is one leaf. A query whose leaves hold fewer vectors than asked for
+opens four times as many, and so on up to all of them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -154,7 +156,7 @@ def leaves_in_order(trees: list[Tree], query: np.ndarray) -> Iterator[tuple[int,
 
 def fit(vectors: DataFrame, rows: int) -> list[Tree]:
     """Trees on about ``SAMPLE`` vectors chosen by hash; ``rows`` is how many vectors there are in all."""
-    some = hashed_sample(vectors, SAMPLE, "id", of=rows).select("vector").collect()
+    some = sorted(hashed_sample(vectors, SAMPLE, "id", of=rows).select("id", "vector").collect(), key=lambda r: r.id)
     widths = [len(r.vector) for r in some]
     if not widths:
         return []
@@ -309,9 +311,22 @@ def _cells(placed: DataFrame, asked: DataFrame) -> DataFrame:
     return both[0].union(both[1])
 
 
+def _found(placed: DataFrame, asked: DataFrame, best: int) -> DataFrame:
+    """``(rep, vec_id, score, place)``: the best rows in the leaves that each query opens."""
+    cells = _cells(placed, asked).repartition("tree", "leaf", "a", "b").sortWithinPartitions("tree", "leaf", "a", "b", "asked")
+    found = cells.mapInArrow(lambda batches: _search(batches, best), "rep long, vec_id long, score double")
+    order = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+    return materialize(
+        found.groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
+        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= best), "nearest")
+
+
 def nearest(vectors: DataFrame, queries: Column, vector: str = "embedding", key: str = "vec_id",
             nearest: int = NEAREST, leaves: int | None = None) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's nearest others by cosine; ``leaves`` sets the effort unmeasured."""
+    """``query_id, rank, vec_id, score``: each query's nearest others by cosine; ``leaves`` sets the effort unmeasured.
+
+    Queries that found fewer than they should open more leaves, in the end all of them.
+    """
     good = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull())
     rows = good.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), queries.alias("asked")).distinct()
     # One more copy than asked for, as a query may be one of them.
@@ -328,13 +343,22 @@ def nearest(vectors: DataFrame, queries: Column, vector: str = "embedding", key:
     alike = materialize(asking.groupBy("vector").agg(F.min("id").alias("rep")), "representatives")
     leaves = leaves or effort(kept, alike.select(F.col("rep").alias("id"), "vector"), trees, nearest)
     placed = materialize(_placed(kept, trees, None), "placed")
-    asked = materialize(_placed(alike.select(F.col("rep").alias("id"), "vector"), trees, leaves), "asked")
-    cells = _cells(placed, asked).repartition("tree", "leaf", "a", "b").sortWithinPartitions("tree", "leaf", "a", "b", "asked")
-    found = cells.mapInArrow(lambda batches: _search(batches, nearest + 1), "rep long, vec_id long, score double")
-    best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
-    of_rep = materialize(
-        found.groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
-        .withColumn("place", F.row_number().over(best)).where(F.col("place") <= nearest + 1).drop("place"), "nearest")
+    reps = alike.select(F.col("rep").alias("id"), "vector")
+    every = sum(len(t.border) + 1 << len(t.further) for t in trees)
+    enough = min(nearest + 1, kept.count())
+    rounds = []
+    while True:
+        rounds.append(_found(placed, materialize(_placed(reps, trees, leaves), "asked"), nearest + 1))
+        if leaves >= every:
+            break
+        full = rounds[-1].where(F.col("place") == enough).select(F.col("rep").alias("id"))
+        reps = materialize(reps.join(full, "id", "left_anti"), "short")
+        if reps.isEmpty():
+            break
+        leaves = min(every, 4 * leaves)
+    # A query's later rounds hold what its earlier ones found, and more.
+    of_rep = rounds[0].drop("place") if len(rounds) == 1 else reduce(DataFrame.union, rounds).groupBy("rep", "vec_id").agg(
+        F.max("score").alias("score"))
     each = asking.join(alike, "vector").select(F.col("id").alias("query_id"), "rep")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (each.join(of_rep, "rep").where("vec_id <> query_id").withColumn("rank", rank)

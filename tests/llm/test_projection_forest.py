@@ -81,3 +81,19 @@ def test_levels_below_the_sample(monkeypatch, spark):
     assert len(pf.fit(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 400)[0].further) > 1
     got = by_query(pf.nearest(vectors, F.col("vec_id") % 50 == 0, leaves=100_000).collect())
     assert {q: [i for i, _ in f] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in brute(rows).items()}
+
+
+def test_short_queries_open_more_leaves(spark, monkeypatch):
+    monkeypatch.setattr(pf, "SAMPLE_LEAF", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_query(pf.nearest(vectors, F.col("vec_id") % 50 == 0, leaves=1).collect())
+    assert set(got) == set(range(0, 400, 50))
+    for q, found in got.items():
+        assert len({i for i, _ in found} - {q}) == 5
+    # With fewer candidates than asked for, all of them are found, in order.
+    few = vectors.where("vec_id IN (0, 7, 50, 211)")
+    got = by_query(pf.nearest(few, F.col("vec_id") % 50 == 0, leaves=1).collect())
+    want = brute([r for r in rows if r[0] in (0, 7, 50, 211)])
+    assert {q: [i for i, _ in f] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items()}
