@@ -297,6 +297,16 @@ def test_a_batch_reads_its_own_epochs(spark, tmp_path, monkeypatch):
     assert [p for p in read if "schedule" in p] == [f"{schedule}/epoch=2"]
 
 
+def test_an_epoch_is_one_file(spark, tmp_path):
+    """However many tasks its rows come from; before, every task added a file to every epoch."""
+    from firstpast.sources import writers
+
+    rows = spark.range(0, 1000, 1, 8).selectExpr("id * 7919 % 1000 AS slot", "'v' AS leader")
+    writers.replace_epoch(rows, str(tmp_path / "s"), 100)
+    assert len(list((tmp_path / "s").glob("epoch=*/*.parquet"))) == 10
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 1000
+
+
 def test_archives_have_as_many_files_as_their_rows_need(spark, tmp_path):
     """40 tasks, five windows of very different size: files follow the rows."""
     from firstpast.sources import writers
