@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from firstpast.operators import ranges, txns
 from firstpast.streaming.closing import bucket_of, land, of_buckets, plausible
 from firstpast.streaming.sinks import BatchFunction, put_batch, write_batch
-from firstpast.streaming.waiting import exists, names_in, remove
+from firstpast.streaming.waiting import names_in, remove
 
 
 _INDEX = "provider string, slot bigint, shred_index bigint, rx_ns bigint, data_complete boolean"
@@ -72,24 +72,33 @@ def throttled(out: str, key: str, time: str, gap: int, start: int = 0) -> BatchF
 
 
 def enriched(out: str, schedule_path: str, epoch_slots: int, refresh: Callable[[SparkSession, int], None] | None = None,
-             accepted: Column | None = None) -> BatchFunction:
+             accepted: Column | None = None, refresh_all: Callable[[SparkSession, list[int]], None] | None = None) -> BatchFunction:
     """Attach leaders from a schedule in folders by epoch (``writers.replace_epoch``), of which a batch reads its own epochs.
 
     ``refresh(spark, epoch)`` is called for an epoch that accepted packets (without ``accepted``: all) name and the schedule lacks; it adds
-    the epoch if it can. Slots of an epoch that stays unknown have no leader.
+    the epoch if it can. ``refresh_all(spark, epochs)`` stands in for it where one call can add several: a batch calls it once.
+    Slots of an epoch that stays unknown have no leader.
     """
     epoch = F.floor(F.col("slot") / F.lit(float(epoch_slots))).cast("bigint")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = {int(name.partition("=")[2]) for name in names_in(spark, schedule_path) if name.startswith("epoch=")}
+        def held() -> set[int]:
+            return {int(name.partition("=")[2]) for name in names_in(spark, schedule_path) if name.startswith("epoch=")}
+
+        known = held()
         trusted = F.lit(True) if accepted is None else accepted
         seen = batch.filter(plausible()).groupBy(epoch.alias("epoch")).agg(F.max(trusted).alias("trusted"))
-        # Epochs last for days: a batch names one or two, and forged ones that the schedule lacks stay away.
+        # Numbers of epochs, which last for days; forged ones that the schedule lacks stay away.
         wanted = {r.epoch for r in seen.filter(F.col("trusted") | F.col("epoch").isin(sorted(known))).collect()}
-        for missing in sorted(wanted - known) if refresh else ():
-            refresh(spark, missing)
-            known.update({missing} if exists(spark, f"{schedule_path}/epoch={missing}") else ())
+        missing = sorted(wanted - known)
+        if refresh_all and missing:
+            refresh_all(spark, missing)
+        elif refresh:
+            for one in missing:
+                refresh(spark, one)
+        if missing:
+            known = held()
         paths = [f"{schedule_path}/epoch={e}" for e in sorted(wanted & known)]
         fields = "slot bigint, leader string"
         schedule = spark.read.schema(fields).parquet(*paths) if paths else spark.createDataFrame([], fields)

@@ -297,6 +297,23 @@ def test_a_batch_reads_its_own_epochs(spark, tmp_path, monkeypatch):
     assert [p for p in read if "schedule" in p] == [f"{schedule}/epoch=2"]
 
 
+def test_unknown_epochs_of_a_batch_are_asked_for_at_once(spark, tmp_path):
+    from firstpast.sources import writers
+
+    schedule, out, asked = str(tmp_path / "schedule"), str(tmp_path / "out"), []
+    whole = spark.range(0, 60).selectExpr("id AS slot", "concat('v', id) AS leader")
+
+    def fetch(session, epochs):
+        asked.append(epochs)
+        writers.replace_epoch(whole.filter(F.floor(F.col("slot") / 10).isin(epochs)), schedule, 10)
+
+    attach = eager.enriched(out, schedule, 10, refresh_all=fetch)
+    attach(spark.createDataFrame([(3,), (25,), (41,)], "slot long"), 0)
+    attach(spark.createDataFrame([(4,), (33,), (99,)], "slot long"), 1)
+    assert asked == [[0, 2, 4], [3, 9]]
+    assert {r.slot: r.leader for r in spark.read.parquet(out).collect()} == {3: "v3", 25: "v25", 41: "v41", 4: "v4", 33: "v33", 99: None}
+
+
 def test_an_epoch_is_one_file(spark, tmp_path):
     """However many tasks its rows come from; before, every task added a file to every epoch."""
     from firstpast.sources import writers
