@@ -27,8 +27,9 @@ from firstpast.streaming.waiting import State
 # Fixed values.
 WAIT_SLOTS = 10
 RETIRE_SLOTS = 64
-# Slots in one folder of waiting packets.
+# Slots in one bucket of waiting packets, and buckets in one folder.
 WIDTH = 256
+SPAN = 256
 
 
 def plausible() -> Column:
@@ -40,26 +41,38 @@ def bucket_of(slot: str | int) -> Column:
 
 
 def land(packets: DataFrame, path: str, batch_id: int) -> None:
-    """Add packets to a table of waiting ones."""
-    (packets.withColumn("bucket", bucket_of("slot")).write.mode("overwrite").partitionBy("bucket")
+    """Add packets to a table of waiting ones, in a folder per ``SPAN`` buckets.
+
+    Files follow the rows and not the tasks that they come from; sorted by bucket, a reader skips what it does not want of a file.
+    """
+    bucket = bucket_of("slot")
+    (packets.withColumns({"bucket": bucket, "span": F.floor(bucket / F.lit(float(SPAN))).cast("bigint")})
+     .hint("rebalance", "span").sortWithinPartitions("span", "slot").write.mode("overwrite").partitionBy("span")
      .parquet(f"{path}/batch={batch_id}"))
 
 
+def _landed_table(spark: SparkSession, path: str, schema: StructType, batch_id: int) -> DataFrame:
+    fields = StructType([*schema.fields]).add("bucket", "long").add("batch", "long").add("span", "long")
+    return spark.read.schema(fields).parquet(path).filter(F.col("batch") <= batch_id)
+
+
 def of_buckets(spark: SparkSession, path: str, schema: StructType, batch_id: int, wanted: list[int]) -> DataFrame:
     """Rows of these buckets, of the batches up to ``batch_id``."""
-    table = spark.read.schema(StructType([*schema.fields]).add("batch", "long").add("bucket", "long")).parquet(path)
-    return table.filter((F.col("batch") <= batch_id) & F.col("bucket").isin(wanted)).drop("batch", "bucket")
+    spans = sorted({b // SPAN for b in wanted})
+    table = _landed_table(spark, path, schema, batch_id)
+    return table.filter(F.col("span").isin(spans) & F.col("bucket").isin(wanted)).drop("batch", "bucket", "span")
 
 
 def buckets(spark: SparkSession, path: str, schema: StructType, batch_id: int, above: int | None, upto: int | None) -> DataFrame:
     """Rows of the buckets that hold slots in (above, upto], of the batches up to ``batch_id``."""
-    table = spark.read.schema(StructType([*schema.fields]).add("batch", "long").add("bucket", "long")).parquet(path)
-    found = table.filter(F.col("batch") <= batch_id)
+    found = _landed_table(spark, path, schema, batch_id)
     if above is not None:
-        found = found.filter(F.col("bucket") >= (above + 1) // WIDTH)
+        low = (above + 1) // WIDTH
+        found = found.filter((F.col("span") >= low // SPAN) & (F.col("bucket") >= low))
     if upto is not None:
-        found = found.filter(F.col("bucket") <= upto // WIDTH)
-    return found.drop("batch", "bucket")
+        high = upto // WIDTH
+        found = found.filter((F.col("span") <= high // SPAN) & (F.col("bucket") <= high))
+    return found.drop("batch", "bucket", "span")
 
 
 def landed(spark: SparkSession, path: str, schema: StructType, batch_id: int, above: int | None, upto: int | None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from firstpast.operators import ranges, txns
-from firstpast.streaming.closing import bucket_of, land, of_buckets, plausible
+from firstpast.streaming.closing import land, of_buckets, plausible
 from firstpast.streaming.sinks import BatchFunction, put_batch, write_batch
 from firstpast.streaming.waiting import names_in, remove
 
@@ -34,13 +34,15 @@ def eager_ranges(store: str, out: str) -> BatchFunction:
         spark = batch.sparkSession
         indices = ranges.distinct_indices(batch.filter(plausible()))
         land(indices.select("provider", "slot", "shred_index", "rx_ns", "data_complete"), store, batch_id)
+        kind = StructType.fromDDL(_INDEX)
+        fresh = spark.read.schema(StructType([*kind.fields]).add("bucket", "long")).parquet(f"{store}/batch={batch_id}")
         # As many numbers as the batch has buckets of slots.
-        own = [row[0] for row in batch.filter(plausible()).select(bucket_of("slot")).distinct().collect()]
+        own = [row[0] for row in fresh.select("bucket").distinct().collect()]
         if not own:
             return
-        stored = of_buckets(spark, store, StructType.fromDDL(_INDEX), batch_id, own)
-        touched = indices.select("provider", "slot").distinct()
-        filled = ranges.completed_ranges(stored.join(touched, ["provider", "slot"], "left_semi"))
+        # Only rows of earlier batches are held against the slots of this one; its own belong to them anyway.
+        earlier = of_buckets(spark, store, kind, batch_id - 1, own).join(fresh.select("provider", "slot"), ["provider", "slot"], "left_semi")
+        filled = ranges.completed_ranges(fresh.select(*kind.names).unionByName(earlier))
         emitted_store = f"{store}-emitted"
         land(spark.createDataFrame([], _RANGE), emitted_store, -1)  # so that there is a table to read
         emitted = of_buckets(spark, emitted_store, StructType.fromDDL(_RANGE), batch_id - 1, own)

@@ -324,6 +324,15 @@ def test_an_epoch_is_one_file(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 1000
 
 
+def test_landed_files_follow_the_rows(spark, tmp_path):
+    """8 tasks with packets of 100 buckets each leave a file per folder of buckets, and reading takes the asked buckets only."""
+    rows = spark.range(0, 100 * closing.WIDTH, 1, 8).selectExpr("id * 7919 % 25600 AS slot")
+    closing.land(rows, str(tmp_path / "in"), 0)
+    assert len(list((tmp_path / "in").glob("**/*.parquet"))) <= 8
+    got = closing.of_buckets(spark, str(tmp_path / "in"), rows.schema, 0, [3, 70])
+    assert sorted({r.slot // closing.WIDTH for r in got.collect()}) == [3, 70] and got.count() == 2 * closing.WIDTH
+
+
 def test_archives_have_as_many_files_as_their_rows_need(spark, tmp_path):
     """40 tasks, five windows of very different size: files follow the rows."""
     from firstpast.sources import writers
