@@ -333,11 +333,10 @@ SELECT {by}, min(ns) AS first_ns, max(ns) AS last_ns, count(*) AS packets FROM l
 @query
 def stream_settled_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots of a provider that had no packet for half a minute; most such quiet periods end in another batch."""
-    out, state = working_path(spark, "settled"), working_path(spark, "state")
-    parts = _by_time(spark, sf_dir, 25)
-    settled = lambda s: slots.settled_slots(s, 30).drop("session")
-    catalog._fed(parts, "packets", lambda s: sinks.start(settled(s), sinks.table_sink(out, "settled"), state))
-    return spark.read.parquet(out).filter("provider <> 'clock'").drop("batch")
+    out, state, store = (working_path(spark, n) for n in ("settled", "state", "lives"))
+    settle = idle.ended_lives(store, out, ("provider", "slot"), 30, 30)
+    catalog._fed(_by_time(spark, sf_dir, 25), "packets", lambda s: sinks.start(s, settle, state))
+    return spark.read.parquet(out).filter("provider <> 'clock'").select("provider", "slot", "packets", "first_ns", "last_ns")
 
 
 CHECKS["stream_settled_slots"] = _lives_check("provider, slot", 30)
@@ -346,16 +345,9 @@ CHECKS["stream_settled_slots"] = _lives_check("provider, slot", 30)
 @query
 def stream_idle_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lives of slots whose state is dropped after 20 silent seconds; slots come back many times."""
-    out, state = working_path(spark, "idle"), working_path(spark, "state")
-    parts = _by_time(spark, sf_dir, 25)
-    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rocks)
-    try:
-        catalog._fed(parts, "packets", lambda s: sinks.start(idle.idle_slots(s, idle.SLOT_TTL_SECS, 30),
-                                                             lambda df, b: sinks.put_batch(df, out, b), state))
-    finally:
-        spark.conf.set(name, before)
+    out, state, store = (working_path(spark, n) for n in ("idle", "state", "lives"))
+    end = idle.ended_lives(store, out, ("slot",), idle.SLOT_TTL_SECS, 30)
+    catalog._fed(_by_time(spark, sf_dir, 25), "packets", lambda s: sinks.start(s, end, state))
     return spark.read.parquet(out).filter("slot >= 0").drop("batch")
 
 

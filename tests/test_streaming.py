@@ -438,6 +438,30 @@ def test_lives_do_not_depend_on_the_order_of_packets(seed):
     assert all(b[0] - a[1] >= 7 for a, b in zip(whole, whole[1:]))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_ended_lives_are_those_of_the_whole_table(spark, tmp_path, seed):
+    """Batches in any order inside the delay, each done twice, give the lives of all packets, to the nanosecond."""
+    import random
+    rng = random.Random(seed)
+    ttl, delay = 2_000_000_000, 5
+    packets = sorted((rng.randrange(60_000_000_000), rng.randrange(4)) for _ in range(300))
+    packets += [(70_000_000_000, 9), (72_000_000_000, 9), (73_999_999_999, 9), (500_000_000_000, 5)]
+    packets.sort(key=lambda p: p[0] + rng.randrange(delay * 1_000_000_000))
+    end = idle.ended_lives(str(tmp_path / "store"), str(tmp_path / "out"), ("slot",), 2, delay)
+    for k in range(0, len(packets), 60):
+        batch = spark.createDataFrame([(s, t) for t, s in packets[k:k + 60]], "slot long, rx_ns long").repartition(3)
+        for _ in range(2):
+            end(batch, k // 60)
+    got = sorted(r[:4] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = sorted((slot, *life) for slot in range(10) for life in idle.joined_lives([(t, t, 1) for t, s in packets if s == slot], ttl))
+    assert got == [w for w in want if w[0] != 5]
+    assert len(list((tmp_path / "store" / "lives").iterdir())) <= 2
+    # Too late: dropped and counted.
+    end(spark.createDataFrame([(1, 3)], "slot long, rx_ns long"), -(-len(packets) // 60))
+    assert waiting.read_note(spark, f"{tmp_path}/store/clock/batch={-(-len(packets) // 60)}")["late"] == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(got)
+
+
 def test_the_memory_of_triggers_is_emptied_at_its_size(spark, tmp_path):
     out = str(tmp_path / "out")
     write = idle.seen_once(out, "k", 3)
