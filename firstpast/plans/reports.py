@@ -63,15 +63,16 @@ def performance_report(arrivals: DataFrame, schedule: DataFrame, brands: DataFra
     ``firsts`` with ``providers`` adds the share of first deliveries per address, ``interest`` the coverage
     of watched addresses.
 
-    Ranking is the expensive step and feeds five reports, so its result is written
-    once to the shared folder and re-read.
+    The arrivals, their ranking and each table that goes to more than one file are worked out once, written to the shared
+    folder and read again.
     """
+    arrivals = materialize(arrivals, "arrivals")
     ranked = materialize(race.ranked_races(arrivals), "ranked")
-    per_source = stats.per_source_stats(ranked)
+    per_source = materialize(stats.per_source_stats(ranked), "per-source")
     totals = materialize(dims.slot_totals(ranked, schedule, brands), "slot-totals")
-    own = stats.own_vs_other(totals, brands, source_brand if source_brand is not None else brand_of("source"))
+    own = materialize(stats.own_vs_other(totals, brands, source_brand if source_brand is not None else brand_of("source")), "own")
     pairs = h2h.head_to_head(ranked)
-    panel = stats.signature_panel(arrivals, baselines)
+    panel = materialize(stats.signature_panel(arrivals, baselines), "panel")
 
     writers.write_report_csv(order_sources(per_source), path, "per_source")
     writers.write_report_csv(pairs, path, "head_to_head", "hub", "source_a", "source_b")

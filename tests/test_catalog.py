@@ -196,3 +196,15 @@ def test_an_archive_reads_set_rows_that_are_written(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(writers, "write_rotated", lambda rows, *a, **k: (plans.append(_optimized(rows)), write(rows, *a, **k)))
     assert QUERIES["sets_archive"](spark, sf_dir).count() > 0
     assert len(plans) == 1 and "Aggregate" not in plans[0]
+
+
+def test_a_performance_report_works_its_tables_out_once(spark, sf_dir, monkeypatch):
+    """What goes to several files is read back; the trend reads arrivals whose deltas are known."""
+    from firstpast.sources import writers
+
+    plans, write = {}, writers.write_report_csv
+    monkeypatch.setattr(writers, "write_report_csv", lambda df, path, report, *o: (
+        plans.update({report: _optimized(df)}), write(df, path, report, *o)))
+    assert QUERIES["performance_files"](spark, sf_dir).count() == 9
+    assert not [r for r in ("per_source", "own_vs_other", "signature_panel", "signature_mismatch") if "Aggregate" in plans[r]]
+    assert "Join" not in plans["daily_trend"]
