@@ -76,7 +76,19 @@ def packed(time: str | Column, *parts: tuple[Column, int]) -> Column:
 
 def unpacked(number: str | Column, *sizes: int) -> list[Column]:
     """The parts of a packed number, given their sizes in the same order."""
-    rest = F.pmod(number, F.lit(Decimal(_REST))).cast("bigint")
+    return parts_of(F.pmod(number, F.lit(Decimal(_REST))).cast("bigint"), *sizes)
+
+
+def rest_of(number: str | Column, time: str | Column) -> Column:
+    """What is packed behind a time that is known: a subtraction, where ``unpacked`` divides. ``parts_of`` takes it apart."""
+    column = F.col(number) if isinstance(number, str) else number
+    known = F.col(time) if isinstance(time, str) else time
+    return (column - known.cast("decimal(19,0)") * F.lit(Decimal(_REST))).cast("bigint")
+
+
+def parts_of(rest: str | Column, *sizes: int) -> list[Column]:
+    """The parts of what is packed behind a time."""
+    rest = F.col(rest) if isinstance(rest, str) else rest
     found = []
     for size in reversed(sizes):
         found.append(F.pmod(rest, F.lit(size).cast("bigint")))
@@ -93,7 +105,8 @@ def time_of(number: str | Column) -> Column:
 
 def leading_bytes(text: str, n: int) -> Column:
     """The first ``n`` bytes (7 at most) of a text as a number that sorts like them."""
-    digits = F.rpad(F.substring(F.hex(text), 1, 2 * n), 2 * n, "0")
+    # The first n characters hold the first n bytes; the rest of a long text is left alone.
+    digits = F.rpad(F.substring(F.hex(F.substring(text, 1, n)), 1, 2 * n), 2 * n, "0")
     return F.conv(digits, 16, 10).cast("bigint")
 
 

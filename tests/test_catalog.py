@@ -107,6 +107,14 @@ def test_sets_aggregate_by_hash_over_one_scan(spark, sf_dir, name):
     assert sum("FileScan" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
 
 
+@pytest.mark.parametrize("name", ["set_rows", "truth_match", "anchored_set_stats"])
+def test_payloads_are_grouped_as_numbers(spark, sf_dir, name):
+    """No exchange goes by the text of a payload hash, and set rows gather no lists of arrivals."""
+    plan = final_plan(__spark_entry__.queries()[name](spark, sf_dir))
+    assert not any("hashpartitioning" in line and "payload_hash" in line for line in plan.splitlines())
+    assert name != "set_rows" or "collect_list" not in plan
+
+
 def test_head_to_head_forms_pairs_without_a_join(spark):
     ranked = spark.createDataFrame([("h", 1, 0, "a", 0)], "hub string, slot long, fec_set_index long, source string, rank long")
     from firstpast.operators.h2h import head_to_head

@@ -173,6 +173,17 @@ def test_packed_numbers_sort_like_tuples(spark, order):
     assert all((r.t, r.a, r.b) == (r.t_, r.x, r.y) for r in out)
 
 
+def test_rest_behind_a_known_time(spark):
+    """The subtraction gives what the division gave, also before 1970 and at the last time."""
+    from firstpast.functions.numeric import leading_bytes, packed, parts_of, rest_of
+    rows_ = [(t, a, b) for t in (-5, 0, (1 << 63) - 1) for a in (0, (1 << 56)) for b in (0, 2)]
+    df = spark.createDataFrame(rows_, "t long, a long, b long").withColumn("n", packed("t", (F.col("a"), (1 << 56) + 1), (F.col("b"), 3)))
+    parts = parts_of(rest_of("n", "t"), (1 << 56) + 1, 3)
+    assert all((r.a, r.b) == (r.x, r.y) for r in df.select("a", "b", parts[0].alias("x"), parts[1].alias("y")).collect())
+    texts = spark.createDataFrame([("\u00e9\u00e9tail",), ("a",), ("0123456789",)], "s string").select("s", leading_bytes("s", 3).alias("n"))
+    assert all(r.n == int.from_bytes(r.s.encode()[:3].ljust(3, b"\0"), "big") for r in texts.collect())
+
+
 # -- contested scoreboard ------------------------------------------------------
 
 def set_row(provider, fec, decode, valid=True):
