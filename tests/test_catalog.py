@@ -115,6 +115,17 @@ def test_payloads_are_grouped_as_numbers(spark, sf_dir, name):
     assert name != "set_rows" or "collect_list" not in plan
 
 
+def test_counters_ask_for_no_positions(spark, sf_dir):
+    assert "slot_position" not in final_plan(__spark_entry__.queries()["provider_counters"](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["anchored_set_stats", "delay_histogram"])
+def test_facts_of_a_set_need_no_join_of_their_own(spark, sf_dir, name):
+    """Roots are reduced once; the only join attaches the facts to the payloads. Positions are folded without lists."""
+    plan = final_plan(__spark_entry__.queries()[name](spark, sf_dir))
+    assert sum("Join" in line for line in plan.splitlines()) == 1 and "collect_list" not in plan
+
+
 def test_head_to_head_forms_pairs_without_a_join(spark):
     ranked = spark.createDataFrame([("h", 1, 0, "a", 0)], "hub string, slot long, fec_set_index long, source string, rank long")
     from firstpast.operators.h2h import head_to_head
