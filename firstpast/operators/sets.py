@@ -88,13 +88,15 @@ def dedup_payload(shreds: DataFrame, *also: Column) -> DataFrame:
     content hash a stand-in ``data_code`` (0: none), of a leader ``leader_code``; ``name_data`` and ``set_rows`` give the texts back.
     """
     # The hash leads the key: where rows are compared, it tells them apart at once.
-    keys = [*PAYLOAD, "slot", "fec_set_index", "provider"]
+    place = ["slot", "fec_set_index", "provider"]
+    keys = [*PAYLOAD, *place]
     # Verdicts are no grouping columns either: a filter on them would reach one reader's scan and undo the sharing.
     first = F.min(packed("rx_ns", (_three_valued("merkle_ok"), 3), (_three_valued("sig_ok"), 3), (_code("data_hash"), _CODE))).alias("first")
     name = F.when(F.col("leader").isNotNull(), F.xxhash64("leader")) if "leader" in shreds.columns else None
     leader = [] if name is None else [F.max(name).alias("leader_code")]
     merkle, sig, data = parts_of("said", 3, 3, _CODE)
-    return (with_payload(shreds).filter(all_known(*keys)).groupBy(*also, *keys, *_FIXED)
+    # The numbers of a payload are known with its hash; a filter would work the tie out twice.
+    return (with_payload(shreds).filter(all_known(*place)).groupBy(*also, *keys, *_FIXED)
             .agg(F.min("rx_ns").alias("rx_ns"), first, F.count("*").alias("copies"), *leader)
             .filter(_all_in_use("copies", "rx_ns", "first"))
             .withColumn("said", rest_of("first", "rx_ns"))
@@ -338,7 +340,7 @@ def payload_variants(packets: DataFrame, version: int | None = None) -> DataFram
     Facts of sets and distinct payloads are both taken from these rows, so that they share one scan and one exchange.
     """
     keys = [*PAYLOAD, *PROVIDER_SET]
-    return (with_payload(packets).filter(all_known(*keys))
+    return (with_payload(packets).filter(all_known(*PROVIDER_SET))
             .groupBy(*keys, "is_code", "position", "num_data", "num_coding", "sig_ok", _shown(version).alias("shown"))
             .agg(F.min("rx_ns").alias("rx_ns"), F.count("*").alias("copies")).filter(_all_in_use("copies", "rx_ns")))
 

@@ -115,6 +115,13 @@ def test_payloads_are_grouped_as_numbers(spark, sf_dir, name):
     assert name != "set_rows" or "collect_list" not in plan
 
 
+@pytest.mark.parametrize("name", ["set_rows", "provider_counters"])
+def test_payload_ties_are_worked_out_once(spark, sf_dir, name):
+    """No filter asks for the bytes that settle ties; the payload hash is known or the packet is left out."""
+    plan = final_plan(__spark_entry__.queries()[name](spark, sf_dir))
+    assert not any("Filter" in line and "conv(" in line for line in plan.splitlines())
+
+
 def test_counters_ask_for_no_positions(spark, sf_dir):
     assert "slot_position" not in final_plan(__spark_entry__.queries()["provider_counters"](spark, sf_dir))
 
